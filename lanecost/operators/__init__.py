@@ -1,0 +1 @@
+"""Operators of the cost-anomaly and evidence engine."""

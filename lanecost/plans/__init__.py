@@ -1,0 +1 @@
+"""Plans of the cost-anomaly and evidence engine."""

@@ -1,0 +1 @@
+"""Sources of the cost-anomaly and evidence engine."""
