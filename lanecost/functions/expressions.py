@@ -50,7 +50,10 @@ def fixed_text(value: Column, digits: int) -> Column:
 
 
 def signed_text(value: Column, digits: int) -> Column:
-    return F.format_string(f"%+.{digits}f", F.bround(value, digits))
+    """Like :func:`fixed_text` with a sign; a small negative value shows as minus zero."""
+    rounded = F.bround(value, digits)
+    shown = F.format_string(f"%+.{digits}f", rounded)
+    return F.when((value < 0) & (rounded == 0), f"-{0:.{digits}f}").otherwise(shown)
 
 
 def iso(date: Column) -> Column:

@@ -112,30 +112,43 @@ def compile_scope(notes: DataFrame, known_routes: DataFrame) -> DataFrame:
 
 # --- interval -----------------------------------------------------------------------
 
-def parse_explicit_range(text: Column, source_date: Column) -> Column:
-    """Struct (first, last, error) of the first month-name range in the text.
-
-    A missing start year is the note's year, a missing end year the start year; a
-    range that runs backwards rolls over the year end only from October on into
-    March at the latest.
+def parse_explicit_range(notes: DataFrame) -> DataFrame:
+    """Add ``range``: struct (first, last, error) of the first month-name range in the
+    note, NULL when there is none.
+
+    A missing start year is the note's year, a missing end year the start year; a range
+    that runs backwards rolls over the year end only from October on into March at the
+    latest. The groups are extracted into one column first: later steps then read it
+    instead of repeating the pattern.
     """
-    group = lambda i: F.regexp_extract(text, _FLAGS + EXPLICIT_RANGE, i)
-    number = lambda i: F.when(group(i) != "", group(i).try_cast("int"))
-    month = lambda i: ((F.position(F.lower(F.substring(group(i), 1, 3)), F.lit(MONTH_STEMS)) + 2) / 3).cast("int")
-    m1, d1, m2, d2 = month(1), number(2), month(4), number(5)
-    y1 = F.coalesce(number(3), F.year(source_date))
-    backwards = number(6).isNull() & (m2 * 100 + d2 < m1 * 100 + d1)
+    text = F.col("note")
+    groups = F.array(*[F.regexp_extract(text, _FLAGS + EXPLICIT_RANGE, i) for i in range(1, 7)])
+    part = lambda i: F.get("_groups", F.lit(i))
+    month = lambda i: ((F.position(F.lower(F.substring(part(i), 1, 3)), F.lit(MONTH_STEMS)) + 2) / 3).cast("int")
+    number = lambda i: F.nullif(part(i), F.lit("")).try_cast("int")
+    m1, d1, m2, d2, y1, end_year = (F.col(c) for c in ("_m1", "_d1", "_m2", "_d2", "_y1", "_end_year"))
+    backwards = end_year.isNull() & (m2 * 100 + d2 < m1 * 100 + d1)
     rolls = (m1 >= 10) & (m2 <= 3)
-    y2 = F.coalesce(number(6), y1 + F.when(backwards & rolls, 1).otherwise(0))
+    y2 = F.coalesce(end_year, y1 + F.when(backwards & rolls, 1).otherwise(0))
     day = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
-    first, last = day(y1, m1, d1), day(y2, m2, d2)
+    first, last = F.col("_first"), F.col("_last")
     error = (
-        F.when(backwards & ~rolls, "range_ends_before_start")
+        F.when(F.col("_groups").isNull(), None)
+        .when(backwards & ~rolls, "range_ends_before_start")
         .when(first.isNull() | last.isNull(), "impossible_date")
         .when(last < first, "range_ends_before_start"))
-    return F.struct(
-        F.when(error.isNull(), first).alias("first"),
-        F.when(error.isNull(), last).alias("last"), error.alias("error"))
+    sound = F.col("_error").isNull()
+    return (
+        notes.withColumn("_groups", F.when(_says(text, EXPLICIT_RANGE), groups))
+        .withColumns({"_m1": month(0), "_d1": number(1), "_m2": month(3), "_d2": number(4),
+                      "_y1": F.coalesce(number(2), F.year("date")), "_end_year": number(5)})
+        .withColumns({"_first": F.when(m1.isNotNull(), day(y1, m1, d1)),
+                      "_last": F.when(m2.isNotNull(), day(y2, m2, d2))})
+        .withColumn("_error", error)
+        .withColumn("range", F.when(F.col("_groups").isNotNull(), F.struct(
+            F.when(sound, first).alias("first"), F.when(sound, last).alias("last"),
+            F.col("_error").alias("error"))))
+        .drop("_groups", "_m1", "_d1", "_m2", "_d2", "_y1", "_end_year", "_first", "_last", "_error"))
 
 
 def compile_interval(notes: DataFrame) -> DataFrame:
@@ -151,7 +164,7 @@ def compile_interval(notes: DataFrame) -> DataFrame:
             F.lit(basis).alias("temporal_basis"), warnings.alias("interval_warnings"),
             error.alias("interval_error"))
 
-    r = F.col("_range")
+    r = F.col("range")
     default_warnings = _codes(
         (F.lit(True), "temporal_scope_defaulted_to_source_date"),
         (_says(text, TIME_HINT), "temporal_phrase_ambiguous"))
@@ -164,9 +177,8 @@ def compile_interval(notes: DataFrame) -> DataFrame:
         .when(_says(text, THIS_WEEK), made(monday, F.date_add(monday, 6), "calendar_week"))
         .when(_says(text, AFTER_COMPLETION), made(day, no_date, "state_after_completion"))
         .otherwise(made(day, day, "source_date_fallback", default_warnings)))
-    ranged = notes.withColumn(
-        "_range", F.when(_says(text, EXPLICIT_RANGE), parse_explicit_range(text, day)))
-    return ranged.withColumn("_interval", interval).select("*", "_interval.*").drop("_range", "_interval")
+    ranged = parse_explicit_range(notes)
+    return ranged.withColumn("_interval", interval).select("*", "_interval.*").drop("range", "_interval")
 
 
 # --- impact -------------------------------------------------------------------------

@@ -63,39 +63,37 @@ def _packed(ids: DataFrame, vectors: DataFrame) -> DataFrame:
 
 # --- block products -----------------------------------------------------------------
 
-def _dense_matrix(frame: pd.DataFrame) -> np.ndarray:
-    return np.vstack(frame["vector"].to_numpy()).astype("float64")
-
-
-def _sparse_scores(queries: pd.DataFrame, docs: pd.DataFrame, columns: int = 4096) -> np.ndarray:
-    """Dot products of two packed sparse blocks, vocabulary slice by slice."""
-    q_rows = np.repeat(np.arange(len(queries)), [len(t) for t in queries["terms"]])
-    d_rows = np.repeat(np.arange(len(docs)), [len(t) for t in docs["terms"]])
-    scores = np.zeros((len(queries), len(docs)))
-    if not len(q_rows) or not len(d_rows):
+def _scorer(kind: str):
+    """Score matrix of two blocks. Everything the tasks run is nested here, so that the
+    function travels by value and the executors need numpy and pandas only."""
+
+    def dense(queries, docs):
+        matrix = lambda frame: np.vstack(frame["vector"].to_numpy()).astype("float64")
+        return matrix(queries) @ matrix(docs).T
+
+    def sparse(queries, docs, columns=4096):
+        """Dot products of packed sparse rows, one slice of the query vocabulary at a time."""
+        places = lambda frame: np.repeat(np.arange(len(frame)), [len(t) for t in frame["terms"]])
+        joined = lambda frame, c: np.concatenate([np.asarray(v) for v in frame[c]])
+        q_rows, d_rows = places(queries), places(docs)
+        scores = np.zeros((len(queries), len(docs)))
+        if not len(q_rows) or not len(d_rows):
+            return scores
+        codes, vocabulary = pd.factorize(joined(queries, "terms"))
+        d_codes = pd.Index(vocabulary).get_indexer(joined(docs, "terms"))
+        q_w, d_w = joined(queries, "weights"), joined(docs, "weights")
+        for low in range(0, len(vocabulary), columns):
+            high = min(low + columns, len(vocabulary))
+            sides = []
+            for rows, at, w, n in ((q_rows, codes, q_w, len(queries)), (d_rows, d_codes, d_w, len(docs))):
+                pick = (at >= low) & (at < high)
+                side = np.zeros((n, high - low))
+                side[rows[pick], at[pick] - low] = w[pick]
+                sides.append(side)
+            scores += sides[0] @ sides[1].T
         return scores
-    q_terms = pd.Series(np.concatenate(queries["terms"].to_numpy()))
-    d_terms = np.concatenate(docs["terms"].to_numpy())
-    codes, vocabulary = pd.factorize(q_terms)
-    d_codes = pd.Index(vocabulary).get_indexer(d_terms)
-    q_w = np.concatenate(queries["weights"].to_numpy())
-    d_w = np.concatenate(docs["weights"].to_numpy())
-    for low in range(0, len(vocabulary), columns):
-        high = min(low + columns, len(vocabulary))
-        q = np.zeros((len(queries), high - low))
-        d = np.zeros((len(docs), high - low))
-        pick = (codes >= low) & (codes < high)
-        q[q_rows[pick], codes[pick] - low] = q_w[pick]
-        pick = (d_codes >= low) & (d_codes < high)
-        d[d_rows[pick], d_codes[pick] - low] = d_w[pick]
-        scores += q @ d.T
-    return scores
-
-
-def _scores(kind: str, queries: pd.DataFrame, docs: pd.DataFrame) -> np.ndarray:
-    if kind == "dense":
-        return _dense_matrix(queries) @ _dense_matrix(docs).T
-    return _sparse_scores(queries, docs)
+
+    return dense if kind == "dense" else sparse
 
 
 def _dealt(side: DataFrame, prefix: str, other: DataFrame, block_rows: int) -> DataFrame:
@@ -115,11 +113,13 @@ def block_product(queries: DataFrame, docs: DataFrame, kind: str, reduce_block,
 
     A group holds about ``block_rows`` rows of each side whatever the table sizes.
     """
-    def product(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+    scores_of, names = _scorer(kind), schema.names
+
+    def product(q, d):
         if q.empty or d.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pd.DataFrame({name: [] for name in names})
         d = d.sort_values("id", kind="stable").reset_index(drop=True)
-        return reduce_block(q["id"].to_numpy(), d["id"].to_numpy(), _scores(kind, q, d))
+        return reduce_block(q["id"].to_numpy(), d["id"].to_numpy(), scores_of(q, d))
 
     left = _dealt(queries, "q", docs, block_rows).groupBy("_qb", "_db")
     right = _dealt(docs, "d", queries, block_rows).groupBy("_qb", "_db")
@@ -182,8 +182,10 @@ def query_note_cross(queries: DataFrame, docs: DataFrame, query_cols=("id", "tex
         T.StructField("scored", T.LongType()), T.StructField("zero_scores", T.LongType()),
         T.StructField("best_score", T.DoubleType())])
 
+    digits = policy.score_digits
+
     def summary(q_ids, d_ids, scores):
-        rounded = np.round(scores, policy.score_digits)
+        rounded = np.round(scores, digits)
         return pd.DataFrame({
             "query_id": q_ids, "scored": rounded.shape[1],
             "zero_scores": (rounded == 0).sum(axis=1), "best_score": rounded.max(axis=1)})

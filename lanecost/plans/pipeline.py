@@ -109,6 +109,11 @@ class Analysis:
         digests = explain.evidence_digest(explain.request_evidence(self.packets))
         return explain.request_key(self.requests, digests, "template", "none")
 
+    @cached_property
+    def reasons(self) -> DataFrame:
+        """Verdict, reason and source: what the outputs need, without the request keys."""
+        return explain.template_reason(self.decisions).withColumn("explanation_source", F.lit("template"))
+
     @cached_property
     def records(self) -> DataFrame:
         return explain.explanation_records(self.decisions, self.request_keys)
@@ -128,11 +133,11 @@ class Analysis:
 
     @cached_property
     def final(self) -> DataFrame:
-        return report.final_output(self.reviewed, self.records)
+        return report.final_output(self.reviewed, self.reasons)
 
     @cached_property
     def view(self) -> DataFrame:
-        return reads.anomaly_view(self.metrics, self.decisions, self.records)
+        return reads.anomaly_view(self.metrics, self.decisions, self.reasons)
 
     @cached_property
     def evidence_rows(self) -> DataFrame:

@@ -67,16 +67,16 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NOTES_SQL = """
-WITH base AS (
+WITH e1 AS (
   SELECT event_id, CAST(event_id % 10 AS INT) AS t,
          CAST(floor(event_id / 10) AS INT) % 5 AS o, CAST(floor(event_id / 50) AS INT) % 5 AS d
   FROM {events}
-), dated AS (
+), e2 AS (
   SELECT event_id, t, o, d,
          DATE '1995-01-02' + CAST(CASE WHEN t IN (2, 3, 6, 8, 9) THEN 2090 + (event_id * 37) % 400
                                        ELSE (event_id * 37) % 2490 END AS INT) AS day
-  FROM base
-), scoped AS (
+  FROM e1
+), e3 AS (
   SELECT event_id, t, day, day + CAST(12 AS INT) AS day2,
          CASE WHEN event_id % 46 = 0 THEN 'all routes' WHEN event_id % 23 = 0 THEN 'All Routes'
               WHEN event_id % 31 = 0 THEN 'ATLANTIS-LEMURIA'
@@ -84,7 +84,7 @@ WITH base AS (
                                  WHEN 3 THEN 'EUROPE' ELSE 'MIDDLE EAST' END, '-',
                           CASE d WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'AMERICA' WHEN 2 THEN 'ASIA'
                                  WHEN 3 THEN 'EUROPE' ELSE 'MIDDLE EAST' END) END AS applies_to
-  FROM dated
+  FROM e2
 )
 SELECT concat('N', lpad(CAST(event_id AS STRING), 9, '0')) AS note_id, day AS date, applies_to,
   CASE
@@ -111,7 +111,7 @@ SELECT concat('N', lpad(CAST(event_id AS STRING), 9, '0')) AS note_id, day AS da
     WHEN t = 8 THEN 'Traffic returned to normal once repairs ended.'
     ELSE 'A tracking mandate was introduced; its cost was absorbed by transporters without a rate change.'
   END AS note
-FROM scoped
+FROM e3
 """
 
 RAW_TEXT_SQL = """

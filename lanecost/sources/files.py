@@ -41,17 +41,26 @@ def read_text_table(spark: SparkSession, path: str, columns, multi_line: bool =
     if found:
         raise InputRejected(f"header of {path}: {found}")
     schema = text_schema(header, CORRUPT)
-    # an empty field is empty text, not NULL; the cache line keeps the corrupt column readable
-    return (
+    raw = (
         spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT).option("escape", '"')
-        .option("emptyValue", "").option("nullValue", "\u0000").option("multiLine", multi_line)
-        .option("enforceSchema", False).csv(path))
+        .option("multiLine", multi_line).option("enforceSchema", False)
+        .option("columnPruning", False)  # a pruned parse would not see ragged records
+        .csv(path))
+    # an empty field is empty text: no text of a CSV file stands for NULL
+    return raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in header],
+                      _is_corrupt(F.col(header[0])).alias("malformed"))
+
+
+def _is_corrupt(any_field):
+    """Corrupt flag. It also reads one field, because Spark refuses a query that needs
+    nothing but the corrupt record of a raw file."""
+    return F.col(CORRUPT).isNotNull() | F.coalesce(F.length(any_field) < 0, F.lit(False))
 
 
 def malformed_issues(raw: DataFrame, dataset: str) -> DataFrame:
     """One blocking issue per table with ragged records, however many there are."""
-    return raw.agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("n")).where("n > 0").select(
+    return raw.agg(F.count_if("malformed").alias("n")).where("n > 0").select(
         F.lit("error").alias("severity"), F.lit("malformed_csv").alias("code"),
         F.lit(dataset).alias("dataset"), F.lit(None).cast("string").alias("column"),
         F.lit(None).cast("bigint").alias("row_number"))
@@ -59,7 +68,7 @@ def malformed_issues(raw: DataFrame, dataset: str) -> DataFrame:
 
 def scan_malformed_rows(raw: DataFrame) -> DataFrame:
     return raw.agg(F.count(F.lit(1)).alias("rows"),
-                   F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed_rows"))
+                   F.count_if("malformed").alias("malformed_rows"))
 
 
 def _numbered(raw: DataFrame) -> DataFrame:
@@ -69,7 +78,7 @@ def _numbered(raw: DataFrame) -> DataFrame:
 def scan_shipments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(normalised shipments, issues). The rows are usable only when no issue is an error."""
     raw = read_text_table(spark, path, SHIPMENT_COLUMNS)
-    sound = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    sound = raw.where("NOT malformed").drop("malformed")
     issues = issue_union(malformed_issues(raw, "shipments"), shipment_issues(_numbered(sound)))
     return normalize_shipments(sound), issues
 
@@ -77,7 +86,7 @@ def scan_shipments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def scan_context_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(normalised notes, issues). Quoted text may hold commas and line breaks."""
     raw = read_text_table(spark, path, NOTE_COLUMNS, multi_line=True)
-    sound = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    sound = raw.where("NOT malformed").drop("malformed")
     issues = issue_union(malformed_issues(raw, "context_notes"), note_issues(_numbered(sound)))
     return normalize_notes(sound), issues
 
@@ -89,10 +98,10 @@ def contract_lines(spark: SparkSession, path: str) -> DataFrame:
                           F.col("_metadata.file_block_start").alias("start")).alias("part"),
         F.monotonically_increasing_id().alias("position"))
     parsed = F.from_csv("value", ", ".join(f"{c} string" for c in (*OUTPUT_COLUMNS, CORRUPT)),
-                        {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE", "escape": '"',
-                         "emptyValue": "", "nullValue": "\u0000"})
+                        {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE", "escape": '"'})
     return lines.withColumn("r", parsed).select(
-        "part", "position", "value", *[F.col(f"r.{c}").alias(c) for c in OUTPUT_COLUMNS],
+        "part", "position", "value",
+        *[F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in OUTPUT_COLUMNS],
         F.col(f"r.{CORRUPT}").isNotNull().alias("malformed"))
 
 
