@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 # Fixed value. Text that counts as a number: digits with single underscores between
@@ -13,9 +13,15 @@ NUMBER_TEXT = (
 )
 
 
+# Fixed value: every character that counts as white space.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def parsed_number(text: Column) -> Column:
@@ -28,9 +34,11 @@ def week_start(date: Column) -> Column:
     return F.date_trunc("week", date).cast("date")
 
 
-def exact(value: Column) -> Column:
-    """Decimal form of a quantity, so that a sum does not depend on row order."""
-    return value.cast("decimal(28,8)")
+def exact(df: DataFrame, column: str) -> Column:
+    """Decimal form of a quantity, so that a sum does not depend on row order. A decimal
+    column is exact already and stays as narrow as it is."""
+    value = F.col(column)
+    return value if isinstance(df.schema[column].dataType, T.DecimalType) else value.cast("decimal(28,8)")
 
 
 def close(left: Column, right: Column, rel: float, absolute: float) -> Column:

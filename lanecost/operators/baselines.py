@@ -8,20 +8,22 @@ from ..functions.expressions import close, failures
 from ..schemas import BASELINE_COLUMNS, HISTORY_WEEKS, KEY, require_columns
 from .quality import check_table
 
-# A route's partition holds one row per observed week, so its size is bounded by
-# the calendar however many shipments the route has.
-HISTORY = Window.partitionBy("route", "route_type").orderBy("week_of")
+
+def history_window():
+    """Weeks of a route in order. A partition holds one row per observed week, so its
+    size is bounded by the calendar however many shipments the route has."""
+    return Window.partitionBy("route", "route_type").orderBy("week_of")
 
 
 def own_history_baseline(weekly: DataFrame) -> DataFrame:
     """Mean rate of the previous up to eight observed weeks; gaps are skipped."""
-    frame = HISTORY.rowsBetween(-HISTORY_WEEKS, -1)
+    frame = history_window().rowsBetween(-HISTORY_WEEKS, -1)
     return weekly.withColumn(
         "own_history_avg_cost_per_tonne_km", F.avg("cost_per_tonne_km").over(frame))
 
 
 def history_weeks_used(weekly: DataFrame) -> DataFrame:
-    used = F.least(F.row_number().over(HISTORY) - 1, F.lit(HISTORY_WEEKS))
+    used = F.least(F.row_number().over(history_window()) - 1, F.lit(HISTORY_WEEKS))
     return weekly.withColumn("history_weeks_used", used.cast("long"))
 
 
@@ -62,7 +64,7 @@ def baseline_reconciliation(weekly: DataFrame, baselines: DataFrame) -> DataFram
     """
     require_columns(baselines, BASELINE_COLUMNS)
     numbered = weekly.select(
-        *KEY, "cost_per_tonne_km", F.row_number().over(HISTORY).alias("n"))
+        *KEY, "cost_per_tonne_km", F.row_number().over(history_window()).alias("n"))
     earlier = numbered.select(
         "route", "route_type", F.col("cost_per_tonne_km").alias("past"),
         F.explode(F.sequence(F.col("n") + 1, F.col("n") + HISTORY_WEEKS)).alias("n"))

@@ -79,8 +79,9 @@ def note_blocks(notes: DataFrame, *carry: str) -> DataFrame:
         F.col("applies_to_routes"))
     return (
         notes.where("compile_error IS NULL AND effective_from IS NOT NULL")
-        .withColumns({"_lo": lo, "_hi": hi, "scope_route": F.explode(scope)})
-        .select(*carry, "scope_route", F.inline(F.concat(*parts))))
+        .withColumns({"_lo": lo, "_hi": hi, "scope_route": F.explode_outer(scope)})
+        .select(*carry, "scope_route", F.inline_outer(F.concat(*parts)))
+        .where("block IS NOT NULL AND scope_route IS NOT NULL"))
 
 
 def candidate_blocks(candidates: DataFrame, *carry: str) -> DataFrame:
@@ -252,7 +253,8 @@ def gate_results_view(assessed: DataFrame) -> DataFrame:
 
 
 def rejection_histogram(assessed: DataFrame) -> DataFrame:
-    return assessed.select(F.explode("rejection_codes").alias("rejection_code")).groupBy(
+    return assessed.select(F.explode_outer("rejection_codes").alias("rejection_code")).where(
+        "rejection_code IS NOT NULL").groupBy(
         "rejection_code").agg(F.count(F.lit(1)).alias("pairs"))
 
 

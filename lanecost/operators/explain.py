@@ -217,7 +217,7 @@ def approved_claims(packets: DataFrame) -> DataFrame:
             date_text("effective_from"), date_text("effective_to")),
         F.transform(F.coalesce(numeric_claims(F.col("magnitude_text")), F.array().cast("array<string>")),
                     lambda v: F.struct(F.lit("number").alias("kind"), v.alias("value"))))
-    return packets.select(*KEY, F.inline(facts)).where("value IS NOT NULL").distinct()
+    return packets.select(*KEY, F.inline_outer(facts)).where("value IS NOT NULL").distinct()
 
 
 def _with_requests(texts: DataFrame, requests: DataFrame) -> DataFrame:
@@ -257,8 +257,8 @@ def unapproved_claims(joined: DataFrame, packets: DataFrame) -> DataFrame:
         F.col("route").alias("request_route"), F.col("route_type").alias("request_route_type"),
         F.col("week_of").alias("request_week"), "kind", "value")
     return (
-        joined.select("text_id", "request_route", "request_route_type", "request_week", F.inline(claims))
-        .join(facts, ["request_route", "request_route_type", "request_week", "kind", "value"], "left_anti"))
+        joined.select("text_id", "request_route", "request_route_type", "request_week", F.inline_outer(claims))
+        .where("value IS NOT NULL").join(facts, ["request_route", "request_route_type", "request_week", "kind", "value"], "left_anti"))
 
 
 def numeric_claim_check(texts: DataFrame, requests: DataFrame, packets: DataFrame) -> DataFrame:

@@ -330,5 +330,5 @@ def note_compile_counts(compiled: DataFrame) -> DataFrame:
         F.transform("compilation_warnings", lambda w: F.struct(
             F.lit("warning").alias("kind"), w.alias("value"))))
     return (
-        compiled.where("compile_error IS NULL").select(F.inline(facts))
+        compiled.where("compile_error IS NULL").select(F.inline_outer(facts)).where("kind IS NOT NULL")
         .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("notes")))

@@ -7,6 +7,7 @@ is supplied as a column, since a distributed scan has no global line counter.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,89 +22,94 @@ from ..schemas import (
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
-def _issue(condition: Column, code: str | Column, dataset: str, column: str) -> Column:
-    code = F.lit(code) if isinstance(code, str) else code
-    return F.when(condition, F.struct(
-        F.lit("error").alias("severity"), code.alias("code"),
-        F.lit(dataset).alias("dataset"), F.lit(column).alias("column"),
-    ))
+@dataclass(frozen=True)
+class Rule:
+    """An issue code (NULL when the value is fine) for one column of a dataset."""
 
+    dataset: str
+    column: str
+    code: Column
 
-def text_issues(columns, dataset: str) -> list[Column]:
+
+def text_rules(columns, dataset: str) -> list[Rule]:
     return [
-        _issue(F.col(c).isNull() | (strip(F.col(c)) == ""),
-               F.when(F.col(c).isNull(), "missing_value").otherwise("blank_value"),
-               dataset, c)
-        for c in columns
-    ]
+        Rule(dataset, c, F.when(F.col(c).isNull(), "missing_value").when(strip(F.col(c)) == "", "blank_value"))
+        for c in columns]
 
 
-def numeric_issues(columns, dataset: str) -> list[Column]:
-    found = []
+def numeric_rules(columns, dataset: str) -> list[Rule]:
+    """Reads the parsed value from the column :func:`row_issues` adds for it."""
+    rules = []
     for c in columns:
-        value, number = F.col(c), parsed_number(F.col(c))
-        code = (
+        value, number = F.col(c), F.col(f"_number_{c}")
+        rules.append(Rule(dataset, c, (
             F.when(value.isNull(), "missing_value")
             .when(strip(value) == "", "blank_value")
             .when(number.isNull(), "invalid_type")
             .when(~finite(number), "non_finite_value")
-            .when(number <= 0, "non_positive_value")
-        )
-        found.append(_issue(code.isNotNull(), code, dataset, c))
-    return found
+            .when(number <= 0, "non_positive_value"))))
+    return rules
 
 
-def date_issues(column: str, dataset: str) -> list[Column]:
+def date_rules(column: str, dataset: str) -> list[Rule]:
     value = F.col(column)
     real = value.rlike(ISO_DATE) & F.try_to_date(value, "yyyy-MM-dd").isNotNull()
-    code = (
+    return [Rule(dataset, column, (
         F.when(value.isNull(), "missing_value")
         .when(strip(value) == "", "blank_value")
-        .when(~F.coalesce(real, F.lit(False)), "invalid_date")
-    )
-    return [_issue(code.isNotNull(), code, dataset, column)]
+        .when(~F.coalesce(real, F.lit(False)), "invalid_date")))]
 
 
-def domain_issues(column: str, allowed, code: str, dataset: str) -> list[Column]:
+def domain_rules(column: str, allowed, code: str, dataset: str) -> list[Rule]:
     stripped = strip(F.col(column))
-    return [_issue((stripped != "") & ~stripped.isin(*allowed), code, dataset, column)]
+    return [Rule(dataset, column, F.when((stripped != "") & ~stripped.isin(*allowed), code))]
 
 
-def derived_finite_issues(dataset: str = "shipments") -> list[Column]:
-    quantity = parsed_number(F.col("quantity_tonnes"))
-    distance = parsed_number(F.col("distance_km"))
+def derived_finite_rules(dataset: str = "shipments") -> list[Rule]:
+    quantity, distance = F.col("_number_quantity_tonnes"), F.col("_number_distance_km")
     bad = (quantity > 0) & (distance > 0) & ~finite(quantity * distance)
-    return [_issue(bad, "non_finite_value", dataset, "tonne_km")]
-
-
-def row_issues(raw: DataFrame, rules: list[Column]) -> DataFrame:
-    """Evaluate the rules in one pass; healthy rows produce nothing."""
+    return [Rule(dataset, "tonne_km", F.when(bad, "non_finite_value"))]
+
+
+def row_issues(raw: DataFrame, rules: list[Rule], numbers=()) -> DataFrame:
+    """Evaluate the rules in one pass; healthy rows produce nothing.
+
+    Each number is parsed once and each code computed once, as a column of its own;
+    the issue rows are then built from those columns. The outer form of the generator
+    with a filter after it is deliberate here and below: for the inner form Spark infers
+    a "not empty" filter and repeats the whole expression underneath to evaluate it.
+    """
+    parsed = raw.withColumns({f"_number_{c}": parsed_number(F.col(c)) for c in numbers})
+    coded = parsed.select("row_number", *[rule.code.alias(f"_{i}") for i, rule in enumerate(rules)])
+    issues = [
+        F.when(F.col(f"_{i}").isNotNull(), F.struct(
+            F.lit("error").alias("severity"), F.col(f"_{i}").alias("code"),
+            F.lit(rule.dataset).alias("dataset"), F.lit(rule.column).alias("column")))
+        for i, rule in enumerate(rules)]
     return (
-        raw.select("row_number", F.array_compact(F.array(*rules)).alias("found"))
-        .select("row_number", F.inline("found"))
-        .select(*ISSUE_COLUMNS)
-    )
+        coded.select("row_number", F.array_compact(F.array(*issues)).alias("found"))
+        .select("row_number", F.inline_outer("found")).where("code IS NOT NULL").select(*ISSUE_COLUMNS))
 
 
 def dq_text(raw: DataFrame, columns, dataset: str) -> DataFrame:
-    return row_issues(raw, text_issues(columns, dataset))
+    return row_issues(raw, text_rules(columns, dataset))
 
 
 def dq_numeric(raw: DataFrame, columns, dataset: str) -> DataFrame:
-    return row_issues(raw, numeric_issues(columns, dataset))
+    return row_issues(raw, numeric_rules(columns, dataset), columns)
 
 
 def dq_date(raw: DataFrame, column: str, dataset: str) -> DataFrame:
-    return row_issues(raw, date_issues(column, dataset))
+    return row_issues(raw, date_rules(column, dataset))
 
 
 def dq_domain(raw: DataFrame, column: str = "route_type", allowed=ROUTE_TYPES,
               code: str = "invalid_route_type", dataset: str = "shipments") -> DataFrame:
-    return row_issues(raw, domain_issues(column, allowed, code, dataset))
+    return row_issues(raw, domain_rules(column, allowed, code, dataset))
 
 
 def dq_derived_finite(raw: DataFrame) -> DataFrame:
-    return row_issues(raw, derived_finite_issues())
+    return row_issues(raw, derived_finite_rules(), ("quantity_tonnes", "distance_km"))
 
 
 def dq_identifier(raw: DataFrame, column: str, dataset: str) -> DataFrame:
@@ -129,17 +135,17 @@ def dq_empty(raw: DataFrame, dataset: str) -> DataFrame:
 
 def shipment_issues(raw: DataFrame) -> DataFrame:
     rules = (
-        text_issues(SHIPMENT_TEXT_COLUMNS, "shipments")
-        + numeric_issues(SHIPMENT_NUMERIC_COLUMNS, "shipments")
-        + date_issues("shipment_date", "shipments")
-        + domain_issues("route_type", ROUTE_TYPES, "invalid_route_type", "shipments")
-        + derived_finite_issues()
-    )
-    return issue_union(row_issues(raw, rules), dq_identifier(raw, "shipment_id", "shipments"))
+        text_rules(SHIPMENT_TEXT_COLUMNS, "shipments")
+        + numeric_rules(SHIPMENT_NUMERIC_COLUMNS, "shipments")
+        + date_rules("shipment_date", "shipments")
+        + domain_rules("route_type", ROUTE_TYPES, "invalid_route_type", "shipments")
+        + derived_finite_rules())
+    return issue_union(row_issues(raw, rules, SHIPMENT_NUMERIC_COLUMNS),
+                       dq_identifier(raw, "shipment_id", "shipments"))
 
 
 def note_issues(raw: DataFrame) -> DataFrame:
-    rules = text_issues(NOTE_TEXT_COLUMNS, "context_notes") + date_issues("date", "context_notes")
+    rules = text_rules(NOTE_TEXT_COLUMNS, "context_notes") + date_rules("date", "context_notes")
     return issue_union(row_issues(raw, rules), dq_identifier(raw, "note_id", "context_notes"))
 
 

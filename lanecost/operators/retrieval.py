@@ -22,16 +22,21 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 # --- TF-IDF vectors -----------------------------------------------------------------
 
 def text_terms(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf) over lower-case words and neighbouring word pairs."""
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0))
+    """(id, term, tf) over lower-case words and neighbouring word pairs.
+
+    The texts are dealt by id before they are split, so counting the terms of a text
+    needs no shuffle of the much larger term rows.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
     pairs = F.when(
         F.size("_w") > 1,
         F.zip_with(F.slice(F.col("_w"), F.lit(1), F.size("_w") - 1),
                    F.slice(F.col("_w"), F.lit(2), F.size("_w") - 1),
                    lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    dealt = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
     return (
-        texts.select(F.col(id_col).alias("id"), words.alias("_w"))
-        .select("id", F.explode(F.concat("_w", pairs)).alias("term"))
+        dealt.select("id", words.alias("_w"))
+        .select("id", F.explode_outer(F.concat("_w", pairs)).alias("term")).where("term IS NOT NULL")
         .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -43,22 +48,24 @@ def inverse_document_frequency(terms: DataFrame, documents: DataFrame) -> DataFr
         "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
 
 
-def tfidf_vectors(terms: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, term, weight), unit length per id. Terms outside the vocabulary vanish
-    before the length is taken."""
-    raw = terms.join(idf, "term").select(
-        "id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
-    return raw.join(length, "id").select("id", "term", (F.col("w") / F.col("_len")).alias("weight"))
+def packed_vectors(ids: DataFrame, terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One unit-length TF-IDF row per id: parallel arrays of terms and weights.
 
-
-def _packed(ids: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One row per id with its parallel term and weight arrays; empty when it has none.
-    The arrays are as long as the text has distinct terms."""
-    packed = vectors.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("v"))
+    ``vocabulary`` is (term, idf, used). Terms outside it vanish before the length is
+    taken; terms that are not ``used`` count for the length and are then left out. Two
+    shuffles: to the terms, and back to the ids, where the length and the arrays come
+    from one aggregate. An array is as long as a text has distinct used terms.
+    """
+    weight = (1 + F.log("tf")) * F.col("idf")
+    packed = (
+        terms.join(vocabulary, "term").select("id", "term", "used", weight.alias("w"))
+        .groupBy("id").agg(
+            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"),
+            F.collect_list(F.when(F.col("used"), F.struct("term", "w"))).alias("v")))
     return ids.join(packed, "id", "left").select(
         "id", F.coalesce(F.col("v.term"), F.array().cast("array<string>")).alias("terms"),
-        F.coalesce(F.col("v.weight"), F.array().cast("array<double>")).alias("weights"))
+        F.coalesce(F.transform(F.col("v.w"), lambda w: w / F.col("_len")),
+                   F.array().cast("array<double>")).alias("weights"))
 
 
 # --- block products -----------------------------------------------------------------
@@ -159,11 +166,10 @@ def sparse_sides(queries: DataFrame, docs: DataFrame, query_cols=("id", "text"),
     d_terms = text_terms(docs, *doc_cols)
     q_ids = queries.select(F.col(query_cols[0]).alias("id"))
     d_ids = docs.select(F.col(doc_cols[0]).alias("id"))
-    idf = inverse_document_frequency(d_terms, d_ids)
-    q_vectors = tfidf_vectors(q_terms, idf)
-    used = q_terms.select("term").distinct()
-    d_vectors = tfidf_vectors(d_terms, idf).join(used, "term", "left_semi")
-    return _packed(q_ids, q_vectors), _packed(d_ids, d_vectors)
+    asked = q_terms.select("term").distinct().withColumn("_asked", F.lit(True))
+    vocabulary = inverse_document_frequency(d_terms, d_ids).join(asked, "term", "left").select(
+        "term", "idf", F.coalesce("_asked", F.lit(False)).alias("used"))
+    return packed_vectors(q_ids, q_terms, vocabulary.where("used")), packed_vectors(d_ids, d_terms, vocabulary)
 
 
 def tfidf_sparse(queries: DataFrame, docs: DataFrame, query_cols=("id", "text"),

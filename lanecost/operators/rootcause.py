@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import exact, flag, signed_text
 from ..schemas import HISTORY_WEEKS, KEY, RootCausePolicy
-from .baselines import HISTORY
+from .baselines import history_window
 from .candidates import candidate_key
 
 LENSES = ("transporter", "material")
@@ -51,7 +51,7 @@ def reference_week_join(candidates: DataFrame, weekly: DataFrame) -> DataFrame:
     Weeks are numbered per route; a past week n serves the candidates n+1..n+8, so
     this is an equi-join with at most eight rows per week.
     """
-    numbered = weekly.select(*KEY, F.row_number().over(HISTORY).alias("n"))
+    numbered = weekly.select(*KEY, F.row_number().over(history_window()).alias("n"))
     current = candidates.select(*KEY).join(numbered, list(KEY))
     past = numbered.select(
         "route", "route_type", F.col("week_of").alias("ref_week"),
@@ -99,8 +99,8 @@ def category_shares(shipments: DataFrame) -> DataFrame:
         shipments.select(*KEY, "tonne_km", "freight_cost_inr", F.inline(lenses))
         .groupBy(*KEY, "lens", "category")
         .agg(F.count(F.lit(1)).alias("shipments"),
-             F.sum(exact(F.col("tonne_km"))).alias("_tk"),
-             F.sum(exact(F.col("freight_cost_inr"))).alias("_fr")))
+             F.sum(exact(shipments, "tonne_km")).alias("_tk"),
+             F.sum(exact(shipments, "freight_cost_inr")).alias("_fr")))
     whole = totals.groupBy(*KEY, "lens").agg(F.sum("_tk").alias("_all"))
     d = lambda c: F.col(c).cast("double")
     return totals.join(whole, [*KEY, "lens"]).select(

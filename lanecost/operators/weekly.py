@@ -23,7 +23,7 @@ def weekly_route_metrics(shipments: DataFrame) -> DataFrame:
     as a single partial row.
     """
     require_columns(shipments, (*KEY, "freight_cost_inr", "quantity_tonnes", "tonne_km"))
-    totals = [F.sum(exact(F.col(src))).cast("double").alias(dst) for dst, src in TOTALS.items()]
+    totals = [F.sum(exact(shipments, src)).cast("double").alias(dst) for dst, src in TOTALS.items()]
     return (
         shipments.groupBy(*KEY)
         .agg(F.count(F.lit(1)).alias("shipment_count"), *totals)
@@ -51,10 +51,10 @@ def weekly_reconciliation(shipments: DataFrame, weekly: DataFrame) -> DataFrame:
     """Group totals equal input totals, keys are unique, the rate formula holds."""
     left = shipments.agg(
         F.count(F.lit(1)).alias("n_in"),
-        *[F.sum(exact(F.col(src))).cast("double").alias(f"{dst}_in") for dst, src in TOTALS.items()])
+        *[F.sum(exact(shipments, src)).cast("double").alias(f"{dst}_in") for dst, src in TOTALS.items()])
     right = weekly.agg(
         F.sum("shipment_count").alias("n_out"),
-        *[F.sum(exact(F.col(dst))).cast("double").alias(f"{dst}_out") for dst in TOTALS],
+        *[F.sum(exact(weekly, dst)).cast("double").alias(f"{dst}_out") for dst in TOTALS],
         failures(close(
             F.col("cost_per_tonne_km"),
             F.col("total_freight_cost_inr") / F.col("total_tonne_km"), 1e-12, 1e-12,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import week_start
 from ..schemas import SHIPMENT_COLUMNS, SHIPMENT_DERIVED_COLUMNS
+from ..session import spread_rows
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -37,8 +38,8 @@ def raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = t("customer").select("c_custkey", "c_nationkey").join(target, "c_nationkey")
     part = t("part").select("p_partkey", F.col("p_type").alias("material"))
     orders = t("orders").select("o_orderkey", "o_custkey")
-    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                 "l_quantity", "l_extendedprice", "l_shipdate")
+    lines = spread_rows(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                             "l_quantity", "l_extendedprice", "l_shipdate"), "l_orderkey")
     money = lambda c: F.col(c).cast("decimal(18,2)")
     gap = F.abs(F.col("rs") - F.col("rc"))
     return (
@@ -170,11 +171,11 @@ FROM (SELECT conv_id, turn, role,
 
 
 def context_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(NOTES_SQL, events=table(spark, sf_dir, "events").select("event_id"))
+    return spark.sql(NOTES_SQL, events=spread_rows(table(spark, sf_dir, "events").select("event_id"), "event_id"))
 
 
 def raw_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RAW_TEXT_SQL, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(RAW_TEXT_SQL, orders=spread_rows(table(spark, sf_dir, "orders"), "o_orderkey"))
 
 
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_rows(scan: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a scan to all cores when its files give fewer splits than cores.
+
+    For CPU-heavy row work on few files. A scan that already has enough splits, which is
+    every large one, is returned as it is. Planning only, no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
