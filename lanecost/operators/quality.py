@@ -67,7 +67,8 @@ def domain_rules(column: str, allowed, code: str, dataset: str) -> list[Rule]:
 
 def derived_finite_rules(dataset: str = "shipments") -> list[Rule]:
     quantity, distance = F.col("_number_quantity_tonnes"), F.col("_number_distance_km")
-    bad = (quantity > 0) & (distance > 0) & ~finite(quantity * distance)
+    above = lambda v: (v > 0) & ~F.isnan(v)  # not-a-number sorts above every number
+    bad = above(quantity) & above(distance) & ~finite(quantity * distance)
     return [Rule(dataset, "tonne_km", F.when(bad, "non_finite_value"))]
 
 

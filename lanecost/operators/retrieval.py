@@ -120,11 +120,11 @@ def block_product(queries: DataFrame, docs: DataFrame, kind: str, reduce_block,
 
     A group holds about ``block_rows`` rows of each side whatever the table sizes.
     """
-    scores_of, names = _scorer(kind), schema.names
+    scores_of = _scorer(kind)
 
     def product(q, d):
         if q.empty or d.empty:
-            return pd.DataFrame({name: [] for name in names})
+            return pd.DataFrame()
         d = d.sort_values("id", kind="stable").reset_index(drop=True)
         return reduce_block(q["id"].to_numpy(), d["id"].to_numpy(), scores_of(q, d))
 

@@ -165,9 +165,8 @@ SELECT 'error' AS severity, code, 'shipments' AS dataset, col AS "column", row_n
   UNION ALL
   SELECT row_number, 'route_type', 'invalid_route_type' FROM raw_rows WHERE trim(route_type) NOT IN ('Short', 'Medium', 'Long') AND trim(route_type) <> ''
   UNION ALL
-  SELECT row_number, 'tonne_km', 'non_finite_value' FROM raw_rows WHERE (quantity_tonnes IN ('nan') AND FALSE) OR (quantity_tonnes = '1e308' AND distance_km = '1e10')
-    OR (distance_km = 'inf' AND try_cast(replace(trim(quantity_tonnes), '_', '') AS DOUBLE) > 0)
-    OR (quantity_tonnes = 'nan')
+  SELECT row_number, 'tonne_km', 'non_finite_value' FROM raw_rows WHERE (quantity_tonnes = '1e308' AND distance_km = '1e10')
+    OR (distance_km = 'inf' AND quantity_tonnes <> 'nan' AND try_cast(replace(trim(quantity_tonnes), '_', '') AS DOUBLE) > 0)
   UNION ALL
   SELECT row_number, 'shipment_id', 'duplicate_identifier' FROM (SELECT row_number, trim(shipment_id) AS id, count(*) OVER (PARTITION BY trim(shipment_id)) AS n FROM raw_rows) d
   WHERE id <> '' AND n > 1) i WHERE code IS NOT NULL"""
