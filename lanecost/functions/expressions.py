@@ -93,3 +93,15 @@ def as_rows(one_row: DataFrame, name: str, value: str) -> DataFrame:
         F.struct(F.lit(c).alias(name), F.col(c).alias(value)) for c in one_row.columns
     ])
     return one_row.select(F.inline(pairs))
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns that later steps read but never repeat.
+
+    A filter on a derived column is pushed down by substituting its expression, so a
+    chain of derived columns can be evaluated, and planned, many times over. The
+    one-element generator is a barrier: what is above it only reads its output.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    bound = df.select("*", F.explode_outer(F.array(row)).alias("_once"))
+    return bound.select("*", "_once.*").drop("_once")

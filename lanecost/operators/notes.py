@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.expressions import failures, flag, strip
+from ..functions.expressions import computed_once, failures, flag, strip
 from ..schemas import COMPILED_NOTE_SCHEMA, NOTE_COLUMNS, require_columns
 
 # The phrase patterns and their order are the meaning of the rules.
@@ -138,17 +138,17 @@ def parse_explicit_range(notes: DataFrame) -> DataFrame:
         .when(first.isNull() | last.isNull(), "impossible_date")
         .when(last < first, "range_ends_before_start"))
     sound = F.col("_error").isNull()
-    return (
-        notes.withColumn("_groups", F.when(_says(text, EXPLICIT_RANGE), groups))
-        .withColumns({"_m1": month(0), "_d1": number(1), "_m2": month(3), "_d2": number(4),
+    matched = computed_once(notes, {"_groups": F.when(_says(text, EXPLICIT_RANGE), groups)})
+    dated = (
+        matched.withColumns({"_m1": month(0), "_d1": number(1), "_m2": month(3), "_d2": number(4),
                       "_y1": F.coalesce(number(2), F.year("date")), "_end_year": number(5)})
         .withColumns({"_first": F.when(m1.isNotNull(), day(y1, m1, d1)),
                       "_last": F.when(m2.isNotNull(), day(y2, m2, d2))})
-        .withColumn("_error", error)
-        .withColumn("range", F.when(F.col("_groups").isNotNull(), F.struct(
-            F.when(sound, first).alias("first"), F.when(sound, last).alias("last"),
-            F.col("_error").alias("error"))))
-        .drop("_groups", "_m1", "_d1", "_m2", "_d2", "_y1", "_end_year", "_first", "_last", "_error"))
+        .withColumn("_error", error))
+    return computed_once(dated, {"range": F.when(F.col("_groups").isNotNull(), F.struct(
+        F.when(sound, first).alias("first"), F.when(sound, last).alias("last"),
+        F.col("_error").alias("error")))}).drop(
+        "_groups", "_m1", "_d1", "_m2", "_d2", "_y1", "_end_year", "_first", "_last", "_error")
 
 
 def compile_interval(notes: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def compile_interval(notes: DataFrame) -> DataFrame:
         .when(_says(text, AFTER_COMPLETION), made(day, no_date, "state_after_completion"))
         .otherwise(made(day, day, "source_date_fallback", default_warnings)))
     ranged = parse_explicit_range(notes)
-    return ranged.withColumn("_interval", interval).select("*", "_interval.*").drop("range", "_interval")
+    return computed_once(ranged, {"_interval": interval}).select("*", "_interval.*").drop("range", "_interval")
 
 
 # --- impact -------------------------------------------------------------------------
@@ -214,7 +214,7 @@ def magnitude_upper_bound(magnitude: Column) -> Column:
 def compile_impact(notes: DataFrame) -> DataFrame:
     """Five cues, fixed precedence; contradictions stay unknown with a warning."""
     text = F.col("note")
-    flags = notes.withColumns({
+    flags = computed_once(notes, {
         "_rate": _says(text, NO_RATE_CHANGE), "_material": _says(text, NO_MATERIAL_IMPACT),
         "_stable": _says(text, STABLE), "_down": _says(text, DECREASE),
         "_up": _says(text, INCREASE), "_magnitude": extract_magnitude(text),
