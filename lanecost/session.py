@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,16 +20,10 @@ def session_builder(app_name: str = "lanecost") -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context_dir = spark.sparkContext.getCheckpointDir()
-    if context_dir:
-        return context_dir.rstrip("/")
-    local = tempfile.mkdtemp(prefix="lanecost-")
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The shared folder the session names; where it names none, a folder of the warehouse,
+    which every executor reaches as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
