@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, tokencount
+from . import bpe, langid, linededup, mixing, secrets, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_line_dedup", linededup.oracle(0.03, 5))
+def line_dedup(spark, sf_dir):
+    return linededup.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("source")
+
+
+@query("op2_source_mixing", mixing.ORACLE)
+def source_mixing(spark, sf_dir):
+    return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op3_token_counts")
 def token_counts(spark, sf_dir):
     return tokencount.attribute_tokens(
@@ -42,6 +52,11 @@ def language_id(spark, sf_dir):
     return out.select("doc_id", (~langid.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op7_secret_scan")
+def secret_scan(spark, sf_dir):
+    return secrets.digests(documents(spark, sf_dir))
+
+
 @query("op8_byte_bpe")
 def byte_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
