@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, linededup, mixing, secrets, tokencount
+from . import bpe, langid, linededup, mixing, secrets, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,8 @@ def secret_scan(spark, sf_dir):
 def byte_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                        public_tokenizers.PATTERN)
+
+
+@query("op9_simhash")
+def simhash_groups(spark, sf_dir):
+    return simhash.digests(documents(spark, sf_dir))
