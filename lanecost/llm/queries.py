@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, kdsearch, langid, linededup, mixing, secrets, simhash, tokencount
+from . import bpe, imatch, kdsearch, langid, linededup, mixing, secrets, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,11 @@ def token_counts(spark, sf_dir):
         fields=("source", "lang", "text"), lines_of=("text",))
 
 
+@query("op4_imatch")
+def imatch_fingerprints(spark, sf_dir):
+    return imatch.digests(documents(spark, sf_dir))
+
+
 @query("op5_kd_search", kdsearch.ORACLE)
 def kd_search(spark, sf_dir):
     vectors = kdsearch.scaled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
