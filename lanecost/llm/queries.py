@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, imatch, kdsearch, langid, linededup, mixing, secrets, simhash, tokencount
+from . import bpe, imatch, kdsearch, langid, linededup, mixing, secrets, simhash, suffixdedup, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ def byte_bpe(spark, sf_dir):
 @query("op9_simhash")
 def simhash_groups(spark, sf_dir):
     return simhash.digests(documents(spark, sf_dir))
+
+
+@query("op10_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    return suffixdedup.digests(documents(spark, sf_dir))
