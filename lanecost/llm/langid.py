@@ -19,7 +19,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, written
 
 UNKNOWN = "und"
 #: Bytes of text compressed at a time.
@@ -38,7 +38,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", passages: i
     """
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"))
-    have = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # a written table, one row per label: its size is known, so the texts need not be shuffled by label
+    have = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
     # a hash below this share leaves about four times the passages, a bounded number per language
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = rows.join(have, "lang").withColumn("draw", draw).where(

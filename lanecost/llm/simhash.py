@@ -19,7 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, fresh, written
 from .components import components
 
 #: Shingles hashed at a time.
@@ -82,31 +82,36 @@ def links(distinct: DataFrame, max_distance: int = 3) -> DataFrame:
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_distance: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): the near-duplicate class of each row.
+    """(doc_id, body, fp, root, component_id): the near-duplicate class of each row.
 
-    component_id is the smallest doc_id of the class, null if all are null. Repeated rows are
-    members like any other. An empty table gives no rows.
+    component_id is the smallest doc_id of the class, null if all are null; root the class's least
+    fingerprint, body a hash of the text. Repeated rows are members like any other. An empty
+    table gives no rows.
     """
-    marked = written(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle, into="fp").drop("text"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("body"))
+    marked = written(with_fingerprint(texts, shingle=shingle, into="fp").drop("text"))
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), max_distance)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = written(rooted.join(classes, "root").select("fp", "component_id"))
-    return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+    table = written(rooted.join(classes, "root").select("fp", "root", "component_id"))
+    return marked.join(table, "fp").select("doc_id", "body", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` with one row per near-duplicate class: that of the smallest doc_id; of several
-    rows with this id, or of rows without id, one."""
-    found = groups(docs, doc_id, text, **settings).where("doc_id <=> component_id")
-    rows = found.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = written(rows.select("doc_id", "rows"))
-    chosen = kept.toDF("chosen", "rows")
-    out = docs.join(chosen, F.col(f"`{doc_id}`").eqNullSafe(F.col("chosen")))
-    once = out.where("rows = 1").drop("chosen", "rows")
-    several = out.where("rows > 1").drop("chosen", "rows").dropDuplicates([doc_id])
-    return once.unionByName(several)
+    """``docs`` with one row per near-duplicate class: one of those with the smallest doc_id, the
+    least by fingerprint and text hash; equal rows are interchangeable."""
+    first = groups(docs, doc_id, text, **settings).where("doc_id <=> component_id")
+    rows = first.groupBy("root", "component_id", "fp", "body").agg(F.count(F.lit(1)).alias("rows"))
+    least = F.min_by(F.struct("body", "rows"), F.struct("fp", "body")).alias("least")
+    chosen = written(rows.groupBy("root", "component_id").agg(least).select(
+        F.col("component_id").alias("chosen"), "least.body", "least.rows"))
+    body = fresh("body")
+    marked = docs.withColumn(body, F.xxhash64(text)).alias("d")
+    out = marked.join(chosen.alias("c"), F.col(f"d.{doc_id}").eqNullSafe(F.col("c.chosen")) & (F.col(f"d.{body}") == F.col("c.body")))
+    once = out.where("c.rows = 1").select("d.*")
+    several = out.where("c.rows > 1").select("d.*").dropDuplicates([doc_id, body])
+    return once.unionByName(several).drop(body)
 
 
 def digests(docs: DataFrame) -> DataFrame:
