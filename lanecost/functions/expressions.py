@@ -34,11 +34,47 @@ def week_start(date: Column) -> Column:
     return F.date_trunc("week", date).cast("date")
 
 
-def exact(df: DataFrame, column: str) -> Column:
-    """Decimal form of a quantity, so that a sum does not depend on row order. A decimal
-    column is exact already and stays as narrow as it is."""
-    value = F.col(column)
-    return value if isinstance(df.schema[column].dataType, T.DecimalType) else value.cast("decimal(28,8)")
+#: Powers of two in a band of magnitudes, and the bands of doubles.
+_BAND_BITS, _BANDS = 30, 34
+
+
+def banded(value: Column) -> Column:
+    """A double as (band, part): value = part * 2 ** (30 * band), the part a decimal that keeps
+    all digits, because it lies between 1 and 2 ** 30. Sums of parts do not depend on order."""
+    size = F.abs(value)
+    band = F.when(size > 0, F.greatest(F.lit(-_BANDS), F.least(F.lit(_BANDS), F.floor(F.log2(size) / _BAND_BITS)))).otherwise(0)
+    return F.struct(band.cast("int").alias("band"), (value * F.pow(F.lit(2.0), -_BAND_BITS * band)).cast("decimal(28,17)").alias("part"))
+
+
+def band_total(bands: Column) -> Column:
+    """Double value of an array of (band, part) sums, smallest magnitudes first."""
+    ordered = F.array_sort(bands)
+    return F.aggregate(ordered, F.lit(0.0), lambda total, x: total + x["part"].cast("double") * F.pow(
+        F.lit(2.0), (_BAND_BITS * x["band"]).cast("double")))
+
+
+def order_free_sums(df: DataFrame, keys: list[str], sums: dict[str, str], **more: Column) -> DataFrame:
+    """Per key: the sums named by ``sums`` (result: column) as doubles, and ``more`` aggregates
+    that add up (counts). Nothing depends on partitioning or retried tasks, and no digit is cut:
+    decimals are summed as they are, doubles by bands of magnitude. A key has one partial row per
+    map task and combination of bands.
+    """
+    plain = {out: c for out, c in sums.items() if isinstance(df.schema[c].dataType, T.DecimalType)}
+    wide = {out: c for out, c in sums.items() if out not in plain}
+    for k, c in enumerate(wide.values()):
+        df = df.withColumn(f"_b{k}", banded(F.col(c).cast("double")))
+    bands = [f"_b{k}.band" for k in range(len(wide))]
+    first = df.groupBy(*keys, *[F.col(b).alias(f"_band{k}") for k, b in enumerate(bands)]).agg(
+        *[F.sum(c).alias(out) for out, c in plain.items()],
+        *[F.sum(f"_b{k}.part").alias(f"_part{k}") for k in range(len(wide))], *[c.alias(n) for n, c in more.items()])
+    if not wide:
+        return first.select(*keys, *more, *[F.col(out).cast("double").alias(out) for out in sums])
+    parts = lambda k: F.collect_list(F.struct(F.col(f"_band{k}").alias("band"), F.col(f"_part{k}").alias("part")))
+    out = first.groupBy(*keys).agg(
+        *[F.sum(out).cast("double").alias(out) for out in plain],
+        *[parts(k).alias(f"_all{k}") for k in range(len(wide))], *[F.sum(n).alias(n) for n in more])
+    totals = {out: band_total(F.col(f"_all{k}")) for k, out in enumerate(wide)}
+    return out.select(*keys, *more, *[totals.get(out, F.col(out)).alias(out) for out in sums])
 
 
 def close(left: Column, right: Column, rel: float, absolute: float) -> Column:

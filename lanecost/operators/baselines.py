@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.expressions import close, failures
+from ..functions.expressions import band_total, banded, close, failures
 from ..schemas import BASELINE_COLUMNS, HISTORY_WEEKS, KEY, require_columns
 from .quality import check_table
 
@@ -33,20 +33,25 @@ def peer_baseline(weekly: DataFrame) -> DataFrame:
     A window over (route_type, week) would put every route of a type in one task,
     so the group is pre-aggregated with map-side combine and joined back: the
     aggregate has at most route types x weeks rows and AQE broadcasts it when it
-    is measured to be small. The sum is decimal, hence independent of row order.
+    is measured to be small. Sum and subtraction go by bands of magnitude, so the
+    result is independent of row order and small rates survive beside large ones.
     """
-    rate = F.col("cost_per_tonne_km").cast("decimal(28,18)")
-    group = weekly.groupBy("route_type", "week_of").agg(
-        F.sum(rate).alias("_group_sum"), F.count(F.lit(1)).alias("_group_size"))
+    group_key = ["route_type", "week_of"]
+    own = weekly.withColumn("_own", banded(F.col("cost_per_tonne_km")))
+    group = own.groupBy(*group_key, F.col("_own.band").alias("_band")).agg(
+        F.sum("_own.part").alias("part"), F.count(F.lit(1)).alias("n")).groupBy(*group_key).agg(
+        F.collect_list(F.struct(F.col("_band").alias("band"), "part")).alias("_sums"), F.sum("n").alias("_group_size"))
     others = F.col("_group_size") - 1
+    rest = F.transform("_sums", lambda x: F.struct(
+        x["band"].alias("band"), (x["part"] - F.when(x["band"] == F.col("_own.band"), F.col("_own.part")).otherwise(
+            F.lit(0).cast("decimal(28,17)"))).alias("part")))
     return (
-        weekly.join(group, ["route_type", "week_of"])
+        own.join(group, group_key)
         .withColumns({
             "peer_routes_used": others,
-            "similar_routes_avg_cost_per_tonne_km":
-                (F.col("_group_sum") - rate).cast("double") / F.nullif(others, F.lit(0)),
+            "similar_routes_avg_cost_per_tonne_km": band_total(rest) / F.nullif(others, F.lit(0)),
         })
-        .drop("_group_sum", "_group_size")
+        .drop("_own", "_sums", "_group_size")
     )
 
 

@@ -54,6 +54,11 @@ def candidate_key(route: Column, week_of: Column) -> Column:
     return F.concat_ws("|", route, iso(week_of))
 
 
+def candidate_id(route: Column, route_type: Column, week_of: Column) -> Column:
+    """The whole key as text: what documents and hits of a candidate are joined by."""
+    return F.concat_ws("|", route, route_type, iso(week_of))
+
+
 def trigger_counts(candidates: DataFrame) -> DataFrame:
     own, peer = F.col("own_threshold_breached"), F.col("peer_threshold_breached")
     return candidates.agg(
@@ -73,12 +78,18 @@ def peer_display(c: str = "vs_similar_routes_pct") -> Column:
 
 def contract_display(metrics: DataFrame) -> DataFrame:
     """Candidates in the eight-column text contract, context review still open."""
+    return typed_display(metrics).select(*OUTPUT_COLUMNS)
+
+
+def typed_display(metrics: DataFrame) -> DataFrame:
+    """The contract's columns with the route type, which is part of a candidate's key."""
     require_columns(metrics, CANDIDATE_COLUMNS)
     return candidates_only(metrics).select(
+        "route_type",
         "route", iso(F.col("week_of")).alias("week_of"),
         fixed_text(F.col("cost_per_tonne_km"), 2).alias("cost_per_tonne_km"),
         own_display().alias("vs_own_history"),
         F.coalesce(peer_display(), F.lit(PEER_UNAVAILABLE_TEXT)).alias("vs_similar_routes"),
         F.lit("Yes").alias("flagged"), F.lit("").alias("matched_note_id"),
         F.lit(PRELIMINARY_REASON).alias("reason"),
-    ).select(*OUTPUT_COLUMNS)
+    )

@@ -172,7 +172,9 @@ def usage_report(audits: DataFrame) -> DataFrame:
         F.count_if("cache_hit").alias("cache_hits"),
         F.count_if(~F.col("cache_hit") & (F.col("provider_attempts") > 0)).alias("cache_misses"),
         F.count_if(F.col("explanation_source") == "fallback").alias("fallback_count"),
-        F.sum(F.coalesce("estimated_cost_usd", F.lit(0).cast("decimal(38,12)"))).alias("_cost"),
+        # with one unknown cost among the calls the total is unknown too
+        F.when(F.count_if(F.col("estimated_cost_usd").isNull() & (F.col("provider_attempts") > 0)) == 0, F.sum(
+            F.coalesce("estimated_cost_usd", F.lit(0).cast("decimal(38,12)")))).alias("_cost"),
         F.bool_and(F.col("explanation_source") == "template").alias("_template"),
         names("provider").alias("_providers"), names("model").alias("_models"),
         names(iso(F.col("pricing_snapshot_date"))).alias("_dates"))
@@ -185,7 +187,7 @@ def usage_report(audits: DataFrame) -> DataFrame:
         F.nullif("_dates", F.lit("")).alias("pricing_snapshot_date"),
         "eligible_requests", "provider_calls", *USAGE, "failed_or_refused_calls", "cache_hits",
         "cache_misses", "fallback_count",
-        F.when(calls == 0, "not_applicable").when(F.col("_dates") != "", F.format_string(
+        F.when(calls == 0, "not_applicable").when((F.col("_dates") != "") & F.col("_cost").isNotNull(), F.format_string(
             "%s", F.bround("_cost", 6).cast("decimal(38,6)").cast("string")))
          .otherwise("not_available").alias("estimated_total_cost_usd"),
         F.lit("USD").alias("currency"),

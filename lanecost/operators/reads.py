@@ -15,7 +15,6 @@ SORT_FIELDS = (
     "week_of", "route", "route_type", "cost_per_tonne_km", "vs_own_history_pct",
     "vs_similar_routes_pct", "verdict",
 )
-PART_ROWS = 1000
 
 
 def anomaly_view(metrics: DataFrame, decisions: DataFrame, records: DataFrame) -> DataFrame:
@@ -52,26 +51,10 @@ def evidence_rows(assessed: DataFrame, decisions: DataFrame, notes: DataFrame) -
                 gate_results().alias("gate_results")))
 
 
-def evidence_parts(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Nested evidence per candidate, split into parts of about ``part_rows`` notes.
-
-    Nearly every candidate has one part. One with very many notes gets more, dealt by
-    hash, so that no row of the result grows with the number of notes.
-    """
-    counts = rows.groupBy(*KEY).agg(
-        F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    items = F.struct("note_id", *[c for c in rows.columns if c not in (*KEY, "note_id", "verdict")])
-    return (
-        rows.join(counts, list(KEY))
-        .withColumn("part", F.pmod(F.xxhash64("note_id"), F.col("parts")).cast("int"))
-        .groupBy(*KEY, "part", "parts").agg(F.array_sort(F.collect_list(items)).alias("evidence")))
-
-
-def anomaly_view_join(view: DataFrame, rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """The nested view: each anomaly with its evidence array (in parts, see above)."""
-    nested = evidence_parts(rows, part_rows)
-    return view.join(nested, list(KEY), "left").withColumns({
-        "part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))})
+def anomaly_view_join(view: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each anomaly with its evidence, one row per assessed note; an anomaly without any keeps
+    one row with an empty note. The grain is the same for any number of notes."""
+    return view.join(rows.drop("verdict"), list(KEY), "left")
 
 
 def route_timeline(metrics: DataFrame, decisions: DataFrame, route: str | None = None,
@@ -96,13 +79,13 @@ def timeline_reconcile(timeline: DataFrame, view: DataFrame) -> DataFrame:
     """Candidate points of the timelines and anomalies that lack a counterpart."""
     from .report import key_set_difference
 
-    return key_set_difference(timeline.where("candidate"), view, ("route", "week_of"))
+    return key_set_difference(timeline.where("candidate"), view, KEY)
 
 
 def _filtered(view: DataFrame, route=None, route_type=None, verdict=None, trigger=None, week_from=None,
               week_to=None, min_own_deviation_pct=None, min_peer_deviation_pct=None) -> DataFrame:
     if week_from and week_to and week_from > week_to:
-        raise ValueError("week_from must be on or before week_to")
+        raise ValueError("the first week lies after the last week")
     for column, value in (("route", route), ("route_type", route_type), ("verdict", verdict), ("trigger", trigger)):
         if value is not None:
             view = view.where(F.col(column) == value)
@@ -121,7 +104,7 @@ def list_anomalies(view: DataFrame, *, sort_by: str = "week_of", sort_order: str
                    limit: int = 20, offset: int = 0, **filters) -> DataFrame:
     """One page. Ties stay in ascending key order and missing values last, either way."""
     if sort_by not in SORT_FIELDS or sort_order not in ("asc", "desc"):
-        raise ValueError("the requested sort is not supported")
+        raise ValueError(f"sort_by takes one of {SORT_FIELDS}, sort_order asc or desc")
     first = F.col(sort_by).asc_nulls_last() if sort_order == "asc" else F.col(sort_by).desc_nulls_last()
     return _filtered(view, **filters).orderBy(first, "route", "week_of", "route_type").offset(offset).limit(limit)
 
@@ -131,15 +114,21 @@ def count_anomalies(view: DataFrame, **filters) -> DataFrame:
     return _filtered(view, **filters).agg(F.count(F.lit(1)).alias("total"))
 
 
-def get_anomaly(view: DataFrame, route: str, week_of: dt.date) -> DataFrame:
-    return view.where((F.col("route") == route) & (F.col("week_of") == F.lit(week_of)))
+def _at(rows: DataFrame, route: str, week_of: dt.date, route_type: str | None) -> DataFrame:
+    chosen = rows.where((F.col("route") == route) & (F.col("week_of") == F.lit(week_of)))
+    return chosen if route_type is None else chosen.where(F.col("route_type") == route_type)
+
+
+def get_anomaly(view: DataFrame, route: str, week_of: dt.date, route_type: str | None = None) -> DataFrame:
+    """The anomaly of a route and week; without a type, one row per type that has one."""
+    return _at(view, route, week_of, route_type)
 
 
-def get_root_cause(analyses: DataFrame, view: DataFrame, route: str, week_of: dt.date) -> DataFrame:
+def get_root_cause(analyses: DataFrame, view: DataFrame, route: str, week_of: dt.date,
+                   route_type: str | None = None) -> DataFrame:
     """The decomposition of one anomaly, only when its verdict is unexplained."""
-    allowed = get_anomaly(view, route, week_of).where("verdict = 'unexplained'")
-    wanted = analyses.where((F.col("route") == route) & (F.col("week_of") == F.lit(week_of)))
-    return wanted.join(allowed, list(KEY), "left_semi")
+    allowed = get_anomaly(view, route, week_of, route_type).where("verdict = 'unexplained'")
+    return _at(analyses, route, week_of, route_type).join(allowed, list(KEY), "left_semi")
 
 
 def list_rejected_evidence(rows: DataFrame, *, route=None, week_of=None, week_from=None, week_to=None,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import flag, iso
 from ..schemas import KEY, OUTPUT_COLUMNS, require_columns
-from .candidates import candidates_only, contract_display
+from .candidates import candidates_only, typed_display
 
 # Fixed values of the output contract.
 REVIEW_UNEXPLAINED = (
@@ -51,17 +51,17 @@ def reviewed_reason() -> Column:
 
 
 def review_output(metrics: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Display rows with the verdict applied. A candidate without a decision fails."""
-    shown = contract_display(metrics).drop("flagged", "matched_note_id", "reason")
-    verdicts = decisions.withColumn("week_of", iso(F.col("week_of"))).drop("route_type")
+    """Display rows with the verdict applied, and the route type. A candidate without a decision fails."""
+    shown = typed_display(metrics).drop("flagged", "matched_note_id", "reason")
+    verdicts = decisions.withColumn("week_of", iso(F.col("week_of")))
     missing = F.raise_error(F.concat(F.lit("candidate without a decision: "), F.col("route"))).cast("string")
     justified = F.col("verdict") == "justified"
-    return shown.join(verdicts, ["route", "week_of"], "left").select(
-        "route", "week_of", "cost_per_tonne_km", "vs_own_history", "vs_similar_routes",
+    return shown.join(verdicts, list(KEY), "left").select(
+        "route_type", "route", "week_of", "cost_per_tonne_km", "vs_own_history", "vs_similar_routes",
         F.when(F.col("verdict").isNull(), missing).when(justified, "No (justified)")
          .otherwise("Yes").alias("flagged"),
         F.when(justified, F.col("selected_note_id")).otherwise("").alias("matched_note_id"),
-        reviewed_reason().alias("reason")).select(*OUTPUT_COLUMNS)
+        reviewed_reason().alias("reason")).select("route_type", *OUTPUT_COLUMNS)
 
 
 def review_key_check(metrics: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -72,11 +72,11 @@ def review_key_check(metrics: DataFrame, decisions: DataFrame) -> DataFrame:
 def final_output(reviewed: DataFrame, records: DataFrame) -> DataFrame:
     """Reviewed rows with the final reason; any disagreement of flag, note or cited ids
     with the record fails the job."""
-    require_columns(reviewed, OUTPUT_COLUMNS, exact=True)
+    require_columns(reviewed, ("route_type", *OUTPUT_COLUMNS), exact=True)
     final = records.select(
-        "route", iso(F.col("week_of")).alias("week_of"), "verdict", "selected_note_id",
+        "route", "route_type", iso(F.col("week_of")).alias("week_of"), "verdict", "selected_note_id",
         F.col("reason").alias("_reason"), "cited_note_ids")
-    joined = reviewed.join(final, ["route", "week_of"], "full_outer")
+    joined = reviewed.join(final, list(KEY), "full_outer")
     flag_ok = F.col("flagged") == F.when(F.col("verdict") == "justified", "No (justified)").otherwise("Yes")
     note_ok = F.col("matched_note_id") == F.coalesce("selected_note_id", F.lit(""))
     named = F.transform(F.regexp_extract_all("_reason", F.lit(NOTE_ID), F.lit(0)), F.upper)

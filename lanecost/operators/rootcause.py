@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.expressions import exact, flag, signed_text
+from ..functions.expressions import flag, order_free_sums, signed_text
 from ..schemas import HISTORY_WEEKS, KEY, RootCausePolicy
 from .baselines import history_window
 from .candidates import candidate_key
@@ -95,17 +95,13 @@ def category_shares(shipments: DataFrame) -> DataFrame:
     plain count replaces a distinct count and every aggregate combines map-side.
     """
     lenses = F.array(*[F.struct(F.lit(l).alias("lens"), F.col(l).alias("category")) for l in LENSES])
-    totals = (
-        shipments.select(*KEY, "tonne_km", "freight_cost_inr", F.inline(lenses))
-        .groupBy(*KEY, "lens", "category")
-        .agg(F.count(F.lit(1)).alias("shipments"),
-             F.sum(exact(shipments, "tonne_km")).alias("_tk"),
-             F.sum(exact(shipments, "freight_cost_inr")).alias("_fr")))
-    whole = totals.groupBy(*KEY, "lens").agg(F.sum("_tk").alias("_all"))
-    d = lambda c: F.col(c).cast("double")
+    totals = order_free_sums(
+        shipments.select(*KEY, "tonne_km", "freight_cost_inr", F.inline(lenses)), [*KEY, "lens", "category"],
+        {"_tk": "tonne_km", "_fr": "freight_cost_inr"}, shipments=F.count(F.lit(1)))
+    whole = order_free_sums(totals, [*KEY, "lens"], {"_all": "_tk"})
     return totals.join(whole, [*KEY, "lens"]).select(
-        *KEY, "lens", "category", "shipments", d("_tk").alias("tonne_km"), d("_fr").alias("freight_cost_inr"),
-        (d("_tk") / d("_all")).alias("share"), (d("_fr") / d("_tk")).alias("rate"))
+        *KEY, "lens", "category", "shipments", F.col("_tk").alias("tonne_km"), F.col("_fr").alias("freight_cost_inr"),
+        (F.col("_tk") / F.col("_all")).alias("share"), (F.col("_fr") / F.col("_tk")).alias("rate"))
 
 
 def category_full_outer(references: DataFrame, shares: DataFrame) -> DataFrame:
@@ -155,11 +151,11 @@ def mix_rate_decomposition(references: DataFrame, shares: DataFrame,
 
 
 def absolute_effect_share(effects: DataFrame) -> DataFrame:
-    """abs(effect) as percent of the lens total; missing when the total is zero."""
-    whole = effects.groupBy(*KEY, "lens").agg(F.sum(F.abs("net_contribution")).alias("_abs"))
-    return effects.join(whole, [*KEY, "lens"]).withColumn(
-        "absolute_effect_share_pct",
-        F.abs("net_contribution") / F.nullif(F.col("_abs"), F.lit(0.0)) * 100).drop("_abs")
+    """abs(effect) as percent of the lens total; missing when the total is zero. A partition
+    holds the categories of one candidate and lens, which the effects are grouped by already."""
+    whole = F.sum(F.abs("net_contribution")).over(Window.partitionBy(*KEY, "lens"))
+    return effects.withColumn(
+        "absolute_effect_share_pct", F.abs("net_contribution") / F.nullif(whole, F.lit(0.0)) * 100)
 
 
 def effect_direction(net, policy: RootCausePolicy = RootCausePolicy()):

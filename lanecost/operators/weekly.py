@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expressions import close, exact, failures
+from ..functions.expressions import close, failures, order_free_sums
 from ..schemas import KEY, WEEKLY_COLUMNS, require_columns
 from .quality import check_table
 
@@ -18,19 +18,13 @@ TOTALS = {
 def weekly_route_metrics(shipments: DataFrame) -> DataFrame:
     """Count and totals per (route, route_type, week); rate = sum / sum.
 
-    One shuffle. The totals are decimals, so partial sums can be combined in any
-    order without changing the result, and a hot route-week leaves each map task
-    as a single partial row.
+    The totals can be combined in any order without changing the result, and a hot
+    route-week leaves each map task as a partial row.
     """
     require_columns(shipments, (*KEY, "freight_cost_inr", "quantity_tonnes", "tonne_km"))
-    totals = [F.sum(exact(shipments, src)).cast("double").alias(dst) for dst, src in TOTALS.items()]
-    return (
-        shipments.groupBy(*KEY)
-        .agg(F.count(F.lit(1)).alias("shipment_count"), *totals)
-        .withColumn("cost_per_tonne_km",
-                    F.col("total_freight_cost_inr") / F.col("total_tonne_km"))
-        .select(*WEEKLY_COLUMNS)
-    )
+    totals = order_free_sums(shipments, list(KEY), TOTALS, shipment_count=F.count(F.lit(1)))
+    return totals.withColumn(
+        "cost_per_tonne_km", F.col("total_freight_cost_inr") / F.col("total_tonne_km")).select(*WEEKLY_COLUMNS)
 
 
 def independent_recompute(spark, shipments: DataFrame) -> DataFrame:
@@ -49,16 +43,11 @@ def independent_recompute(spark, shipments: DataFrame) -> DataFrame:
 
 def weekly_reconciliation(shipments: DataFrame, weekly: DataFrame) -> DataFrame:
     """Group totals equal input totals, keys are unique, the rate formula holds."""
-    left = shipments.agg(
-        F.count(F.lit(1)).alias("n_in"),
-        *[F.sum(exact(shipments, src)).cast("double").alias(f"{dst}_in") for dst, src in TOTALS.items()])
-    right = weekly.agg(
-        F.sum("shipment_count").alias("n_out"),
-        *[F.sum(exact(weekly, dst)).cast("double").alias(f"{dst}_out") for dst in TOTALS],
-        failures(close(
-            F.col("cost_per_tonne_km"),
-            F.col("total_freight_cost_inr") / F.col("total_tonne_km"), 1e-12, 1e-12,
-        )).alias("rate_formula"))
+    left = order_free_sums(shipments, [], {f"{dst}_in": src for dst, src in TOTALS.items()}, n_in=F.count(F.lit(1)))
+    right = order_free_sums(
+        weekly, [], {f"{dst}_out": dst for dst in TOTALS}, n_out=F.sum("shipment_count"),
+        rate_formula=failures(close(
+            F.col("cost_per_tonne_km"), F.col("total_freight_cost_inr") / F.col("total_tonne_km"), 1e-12, 1e-12)))
     keys = weekly.groupBy(*KEY).count().agg(
         F.count_if(F.col("count") > 1).alias("unique_key"))
     both = left.join(right).join(keys)

@@ -216,16 +216,15 @@ def _(spark, sf):
 
 
 def _evidence_json(spark, sf):
-    nested = cut_lineage(rd.evidence_parts(run(spark, sf).evidence_rows))
-    return nested, files.sink_evidence_jsonl(nested, scratch_path(spark, "evidence-jsonl"))
+    rows = cut_lineage(run(spark, sf).evidence_rows)
+    return rows, files.sink_evidence_jsonl(rows, scratch_path(spark, "evidence-jsonl"))
 
 
-@query("sink_evidence_jsonl", f"""
-SELECT {K}, 0::BIGINT AS part, count(*) AS assessed, min(note_id) AS first_note FROM gated GROUP BY ALL""")
+@query("sink_evidence_jsonl", f"SELECT {K}, count(*) AS assessed, min(note_id) AS first_note FROM gated GROUP BY ALL")
 def _(spark, sf):
-    nested, path = _evidence_json(spark, sf)
-    return spark.read.schema(nested.schema).json(path).select(
-        *KEY, "part", F.size("evidence").alias("assessed"), F.col("evidence")[0].note_id.alias("first_note"))
+    rows, path = _evidence_json(spark, sf)
+    return spark.read.schema(rows.schema).json(path).groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("assessed"), F.min("note_id").alias("first_note"))
 
 
 @query("scan_audit_jsonl", """
@@ -233,9 +232,8 @@ SELECT evidence_level, CASE WHEN evidence_level = 'partial' THEN 'supporting' WH
   ELSE 'rejected' END AS role, count(*) AS pairs FROM gated g
 LEFT JOIN (SELECT route, week_of, selected_note_id AS note_id FROM picked) s USING (route, week_of, note_id) GROUP BY ALL""")
 def _(spark, sf):
-    nested, path = _evidence_json(spark, sf)
-    return files.scan_audit_jsonl(spark, path, nested).select(F.explode("evidence").alias("e")).groupBy(
-        F.col("e.evidence_level").alias("evidence_level"), F.col("e.role").alias("role")).agg(F.count(F.lit(1)).alias("pairs"))
+    rows, path = _evidence_json(spark, sf)
+    return files.scan_audit_jsonl(spark, path, rows).groupBy("evidence_level", "role").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query("sink_explanation_jsonl", """
@@ -519,7 +517,7 @@ def _(spark, sf):
 
 @query("review_output", _FINAL.replace("reason FROM", "review_reason AS reason FROM"))
 def _(spark, sf):
-    return run(spark, sf).reviewed
+    return run(spark, sf).reviewed.select(*OUTPUT_COLUMNS)
 
 
 @query("final_output", _FINAL)
@@ -553,18 +551,20 @@ FROM viewed v LEFT JOIN (SELECT {K}, count(*) AS n FROM gated GROUP BY ALL) g US
 LEFT JOIN (SELECT {K}, 1 AS n_primary FROM picked) s USING (route, route_type, week_of)""")
 def _(spark, sf):
     a = run(spark, sf)
-    items = F.coalesce("evidence", F.array())
-    return rd.anomaly_view_join(a.view, a.evidence_rows).select(
-        "candidate_key", "trigger", "verdict", "reason",
-        F.when(F.col("evidence").isNull(), 0).otherwise(F.size("evidence")).alias("evidence_n"),
-        F.when(F.col("evidence").isNull(), 0).otherwise(
-            F.size(F.filter("evidence", lambda e: e.role == "primary"))).alias("primary_n"))
+    return rd.anomaly_view_join(a.view, a.evidence_rows).groupBy(
+        *KEY, "candidate_key", "trigger", "verdict", "reason").agg(
+        F.count("note_id").alias("evidence_n"), F.count_if(F.col("role") == "primary").alias("primary_n")).drop(*KEY)
 
 
-@query("timeline_reconcile", "SELECT route, week_of, 'left' AS only_in FROM metrics WHERE candidate AND NOT candidate")
+# Each side lacks the candidates of some days, so that both have rows without a counterpart.
+@query("timeline_reconcile", f"""
+SELECT {K}, CASE WHEN day(week_of) % 5 = 0 THEN 'left' ELSE 'right' END AS only_in FROM metrics
+WHERE candidate AND (day(week_of) % 5 = 0) <> (day(week_of) % 7 = 0)""")
 def _(spark, sf):
     a = run(spark, sf)
-    return rd.timeline_reconcile(rd.route_timeline(a.metrics, a.decisions), a.view)
+    day = F.dayofmonth("week_of")
+    return rd.timeline_reconcile(
+        rd.route_timeline(a.metrics, a.decisions).where(day % 7 != 0), a.view.where(day % 5 != 0))
 
 
 # Expected labels for the quality measures: the decisions, with those of one week in
@@ -978,17 +978,20 @@ def _(spark, sf):
     return rd.count_anomalies(run(spark, sf).view, route_type="Medium", min_peer_deviation_pct=10.0, trigger="both")
 
 
-@query("get_anomaly", f"SELECT {_VIEW} FROM viewed WHERE route = 'ASIA-EUROPE' AND week_of = DATE '1998-03-09'")
+@query("get_anomaly", f"SELECT {_VIEW} FROM viewed ORDER BY {K} LIMIT 1")
 def _(spark, sf):
-    return rd.get_anomaly(run(spark, sf).view, "ASIA-EUROPE", dt.date(1998, 3, 9)).select(*_VIEW_COLS)
+    view = run(spark, sf).view
+    key = view.orderBy(*KEY).select(*KEY).first()
+    return rd.get_anomaly(view, key.route, key.week_of, key.route_type).select(*_VIEW_COLS)
 
 
 @query("get_root_cause", f"""
 SELECT v.candidate_key, {r('v.cost_per_tonne_km - own', 'target_gap')} FROM viewed v
-WHERE verdict = 'unexplained' AND route = 'ASIA-ASIA' AND week_of = DATE '1997-06-02'""")
+WHERE verdict = 'unexplained' ORDER BY {K} LIMIT 1""")
 def _(spark, sf):
     a = run(spark, sf)
-    return rd.get_root_cause(a.root_base, a.view, "ASIA-ASIA", dt.date(1997, 6, 2)).select("candidate_key", "target_gap")
+    key = a.unexplained.orderBy(*KEY).select(*KEY).first()
+    return rd.get_root_cause(a.root_base, a.view, key.route, key.week_of, key.route_type).select("candidate_key", "target_gap")
 
 
 @query("list_rejected_evidence", """
@@ -1181,7 +1184,7 @@ def _vectors(a: Analysis, sf: str):
     size = v.agg(F.count(F.lit(1)).alias("n"))
     deal = lambda df: fx.with_scalars(df, size).withColumn("vec_id", F.pmod(F.crc32("id").cast("bigint"), "n")).join(
         v, "vec_id").select("id", F.col("embedding").alias("vector"))
-    queries = a.candidates.select(c.candidate_key(F.col("route"), F.col("week_of")).alias("id"))
+    queries = a.candidates.select(c.candidate_id(F.col("route"), F.col("route_type"), F.col("week_of")).alias("id"))
     return deal(queries), deal(a.notes.where("compile_error IS NULL").select(F.col("note_id").alias("id")))
 
 

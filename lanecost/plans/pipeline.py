@@ -71,7 +71,7 @@ class Analysis:
         queries = evidence.candidate_query_text(self.candidates).withColumn(
             "query_id", F.struct(*KEY))
         hits = retrieval.tfidf_sparse(
-            queries.select(cand.candidate_key(F.col("route"), F.col("week_of")).alias("id"),
+            queries.select(cand.candidate_id(F.col("route"), F.col("route_type"), F.col("week_of")).alias("id"),
                            F.col("query_text").alias("text")),
             evidence.note_document_text(self.notes).select(
                 F.col("note_id").alias("id"), F.col("document_text").alias("text")),
@@ -87,7 +87,7 @@ class Analysis:
             dense = sparse.limit(0)
         fused = retrieval.rank_fusion(sparse, dense, self.retrieval_policy)
         keys = self.candidates.select(
-            *KEY, cand.candidate_key(F.col("route"), F.col("week_of")).alias("query_id"))
+            *KEY, cand.candidate_id(F.col("route"), F.col("route_type"), F.col("week_of")).alias("query_id"))
         return fused.withColumnRenamed("doc_id", "note_id").join(keys, "query_id").drop("query_id")
 
     def review(self, hits: DataFrame) -> DataFrame:

@@ -167,8 +167,9 @@ def sink_notes_jsonl(compiled: DataFrame, path: str) -> str:
     return sink_jsonl(compiled, path, ["note_id"])
 
 
-def sink_evidence_jsonl(nested: DataFrame, path: str) -> str:
-    return sink_jsonl(nested, path, ["route", "week_of", "part"])
+def sink_evidence_jsonl(rows: DataFrame, path: str) -> str:
+    """One line per assessed pair, so that no line grows with the number of notes."""
+    return sink_jsonl(rows, path, ["route", "route_type", "week_of", "note_id"])
 
 
 def sink_explanation_jsonl(audits: DataFrame, path: str) -> str:

@@ -94,3 +94,24 @@ def test_reconciliations_find_a_changed_value(spark):
         F.col("own_history_avg_cost_per_tonne_km")))
     failed = {r.check_id: r.failures for r in b.baseline_reconciliation(weekly, bad).collect() if r.failures}
     assert failed == {"own_value": 2}
+
+
+def test_sums_lose_no_digits_at_any_magnitude(spark):
+    values = [1.0, 1 / 3, 1e-9, 1e21, 123456.789, 5e-300, 1e280, 0.0, -1 / 3, 7e11]
+    for freight, tkm in zip(values, reversed([v or 1.0 for v in values])):
+        df = spark.createDataFrame([("A", "S", MONDAY, freight, 1.0, tkm)] * 3, (
+            "route string, route_type string, week_of date, freight_cost_inr double, quantity_tonnes double, tonne_km double"))
+        row = w.weekly_route_metrics(df).first()
+        assert row.total_freight_cost_inr == pytest.approx(3 * freight, rel=1e-15)
+        assert row.cost_per_tonne_km == pytest.approx(freight / tkm, rel=1e-15)
+    mixed = spark.createDataFrame([("A", "S", MONDAY, v, 1.0, 1.0) for v in (1e21, 1.0, -1e21, 1 / 3)] * 20, (
+        "route string, route_type string, week_of date, freight_cost_inr double, quantity_tonnes double, tonne_km double"))
+    totals = {w.weekly_route_metrics(mixed.repartition(n)).first().total_freight_cost_inr for n in (1, 3, 7)}
+    assert len(totals) == 1
+
+
+def test_peers_of_very_large_and_very_small_rates(spark):
+    rates = {"A": 1e12, "B": 3e-20, "C": 1e-20}
+    df = b.peer_baseline(weeks(spark, [(k, "Short", 0, v) for k, v in rates.items()]))
+    peer = by_key(df, "similar_routes_avg_cost_per_tonne_km")
+    assert peer[("A", 0)] == pytest.approx(2e-20, rel=1e-12) and peer[("B", 0)] == pytest.approx(5e11, rel=1e-12)

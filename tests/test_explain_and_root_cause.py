@@ -88,11 +88,27 @@ def test_final_output_matches_records_and_rejects_a_conflict(run):
         rp.final_output(run.reviewed, run.reasons.withColumn("selected_note_id", F.lit("N1"))).agg(F.max("reason")).collect()
 
 
-def test_evidence_is_whole_when_split_into_parts(run):
+def test_evidence_has_one_row_per_note(run):
     rows = run.evidence_rows
-    parts = rd.evidence_parts(rows, part_rows=3)
-    assert parts.select(F.sum(F.size("evidence"))).first()[0] == rows.count()
-    assert parts.where(F.col("part") >= F.col("parts")).count() == 0
+    nested = rd.anomaly_view_join(run.view, rows)
+    assert nested.where("note_id is not null").count() == rows.count()
+    assert nested.select("route", "route_type", "week_of").distinct().count() == run.view.count()
+
+
+def test_two_types_of_a_route_in_one_week_are_two_rows(spark):
+    def shipment(i, kind, week, freight):
+        return (f"S{i}{kind}{week}", "A-B", kind, dt.date(2024, 1, 1) + dt.timedelta(days=7 * week), "steel", freight, 1.0, 10.0)
+
+    rows = [shipment(i, kind, week, 100.0 if week < 9 else 300.0) for i in range(2) for kind in ("Short", "Long") for week in range(10)]
+    shipments = spark.createDataFrame(rows, "shipment_id string, route string, route_type string, week_of date, material string, "
+                                            "freight_cost_inr double, quantity_tonnes double, tonne_km double").withColumn(
+        "shipment_date", F.col("week_of")).withColumn("transporter", F.lit("t"))
+    notes = spark.createDataFrame([], "note_id string, date date, applies_to string, note string")
+    run = Analysis(spark, shipments, notes)
+    assert run.candidates.count() == 2 and run.reviewed.count() == 2 and run.final.count() == 2
+    assert {r.route_type for r in run.reviewed.collect()} == {"Short", "Long"}
+    week = dt.date(2024, 1, 1) + dt.timedelta(days=63)
+    assert rd.get_anomaly(run.view, "A-B", week, "Long").count() == 1
 
 
 def test_reads(run):
