@@ -1,16 +1,18 @@
 """I-Match fingerprints with randomised lexicons, in DataFrame operations only.
 
 The lexicon holds the terms whose share of documents lies in a band (equivalently, whose
-inverse document frequency does). As every document holds a limited number of distinct terms, at most
-(mean distinct terms / least share) terms can be in the band, however many documents there
-are; that bound makes the lexicon small enough to broadcast, and its rows are counted before
-it is. Each term is a member of ``draws`` chains of ever smaller random sub-lexicons, decided
-by its hashes: it is in level r of chain j if its j-th hash ends with r zero bits.
-The fingerprint is the hash of the sorted distinct terms a document has in each sub-lexicon.
+inverse document frequency does). As every document holds a limited number of distinct terms,
+at most (mean distinct terms / least share) terms can be in the band, however many documents
+there are; with that bound it is broadcast. Terms are carried as 64-bit hashes.
+
+From the lexicon, ``DRAWS`` chains of ever smaller random sub-lexicons are drawn: a term is in
+level r of chain j if its j-th hash ends with r zero bits. Of each chain the fingerprint has the
+hash of the sorted distinct terms of the document in the smallest sub-lexicon that holds any of
+them, so short and long documents both have a few terms behind each mark.
 
 Documents are dealt once, to ranges of doc_id, together with one copy of the document that
-follows the range; finding the next document, the aggregation of terms and the comparison of
-neighbours all stay in that partitioning.
+follows the range. The next document, the aggregation of terms and the comparison of
+neighbours all stay in that partitioning: the texts are shuffled once and the terms never.
 """
 
 from __future__ import annotations
@@ -20,86 +22,81 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import written
 
-#: Chains of sub-lexicons, levels in a chain (the smallest holds 2 ** -(LEVELS - 1) of the band).
-DRAWS, LEVELS = 8, 10
+#: Chains of sub-lexicons, one mark each.
+DRAWS = 12
 #: Share of documents a term of the band occurs in, and the least number of documents.
-LEAST_SHARE, MOST_SHARE, LEAST_DOCUMENTS = 0.0005, 0.2, 2
+LEAST_SHARE, MOST_SHARE, LEAST_DOCUMENTS = 0.005, 0.2, 2
 #: Documents of a range, and the most ranges.
 RANGE_ROWS, RANGES = 500, 20_000
-#: A lexicon of more rows is joined by shuffling instead.
-BROADCAST_ROWS = 2_000_000
 #: What separates terms.
 BREAK = r"[\s\p{Punct}]+"
 
 
-def terms(text: Column) -> Column:
-    """Distinct lower-case terms of a whole text."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), BREAK, -1)), "")
-
+def term_rows(texts: DataFrame, *keys: str | Column) -> DataFrame:
+    """``keys`` and id for each distinct lower-case term of the whole text, and for the empty term."""
+    held = F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower("text"), BREAK, -1)))
+    return texts.select("*", F.explode(held).alias("term")).select(*keys, F.xxhash64("term").alias("id"), "term")
 
-def lexicon(texts: DataFrame, least_share: float, most_share: float) -> DataFrame:
-    """(term, levels): terms of the band; levels has, for each chain, the deepest level the term is in."""
-    total = texts.agg(F.count(F.lit(1)).alias("all"))
-    held = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-    # checked before the join with the total, so that most terms never leave the aggregate
-    held = held.where(F.col("documents") >= LEAST_DOCUMENTS).join(total)
-    band = held.where((F.col("documents") >= F.lit(least_share) * F.col("all")) & (F.col("documents") <= F.greatest(
-        F.lit(float(LEAST_DOCUMENTS)), F.lit(most_share) * F.col("all"))))
 
-    def level(j: int) -> Column:
-        bits = F.xxhash64("term", F.lit(j))
-        return sum((F.when(bits.bitwiseAND(F.lit((1 << r) - 1)) == 0, 1).otherwise(0) for r in range(2, LEVELS)),
-                   F.when(bits.bitwiseAND(F.lit(1)) == 0, 1).otherwise(0))
+def lexicon(texts: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
+    """(id): the hashes of the terms of the band. Every document counts."""
+    rows = term_rows(texts).groupBy("id").agg(F.count(F.lit(1)).alias("documents"), F.max(F.col("term") == "").alias("blank"))
+    rows = rows.where("documents >= 2 or blank")
+    total = rows.where("blank").select(F.col("documents").alias("all"))  # every document has the empty term
+    return rows.where("not blank").join(total).where(
+        (F.col("documents") >= F.lit(least_share) * F.col("all")) & (F.col("documents") <= F.greatest(
+            F.lit(float(LEAST_DOCUMENTS)), F.lit(most_share) * F.col("all")))).select("id")
 
-    return band.select("term", F.array(*[level(j) for j in range(DRAWS)]).alias("levels"))
 
+def marks(held: Column) -> Column:
+    """One mark per chain from the hashes of the terms of a document; null if there are none."""
+    def level(term: Column, j: int) -> Column:  # the lowest bit that is set: the higher, the deeper
+        bits = F.shiftrightunsigned(F.xxhash64(term, F.lit(j)), 1)
+        return bits.bitwiseAND(-bits)
 
-def fingerprints(texts: DataFrame, keys: list[str], words: DataFrame) -> DataFrame:
-    """(keys, marks): one mark per sub-lexicon, null where it has no term of the text.
-
-    ``texts`` has ``keys``, which name a row, and text; a partitioning by some of them is kept.
-    """
-    rows = texts.select(*keys, F.explode_outer(terms(F.col("text"))).alias("term")).join(words, "term", "left")
-    entry = F.when(F.col("levels").isNotNull(), F.struct("term", "levels"))
-    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("held"))
+    def mark(j: int) -> Column:
+        deepest = F.array_max(F.transform(held, lambda t: level(t, j)))
+        own = F.filter(F.zip_with(held, F.array_repeat(deepest, F.size(held)), lambda t, most: F.when(level(t, j) == most, t)),
+                       lambda t: t.isNotNull())
+        return F.when(F.size(held) > 0, F.xxhash64(own, F.lit(j)))
 
-    def mark(held: Column, j: int, r: int) -> Column:
-        return F.xxhash64(F.filter(held, lambda x: x["levels"][j] >= r), F.lit(j * LEVELS + r))
+    return F.array(*[mark(j) for j in range(DRAWS)])
 
-    def marks(held: Column) -> Column:
-        return F.array(*[mark(held, j, r) for j in range(DRAWS) for r in range(LEVELS)])
 
-    unused = marks(F.array().cast("array<struct<term:string,levels:array<int>>>"))
-    raw = grouped.select(*keys, marks(F.col("held")).alias("raw"))
-    return raw.select(*keys, F.zip_with("raw", unused, lambda own, none: F.when(own != none, own)).alias("marks"))
+def fingerprints(texts: DataFrame, keys: list[str], carried: Column, words: DataFrame) -> DataFrame:
+    """keys, carried, marks of each text. ``texts`` has ``keys``, which name a row, and text; a
+    partitioning by some of them is kept. ``carried`` goes along on the row of the empty term only."""
+    blank = texts.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("id"))
+    rows = term_rows(texts, *keys, F.when(F.col("term") == "", carried).alias("carried")).drop("term")
+    rows = rows.join(F.broadcast(words.union(blank)), "id")
+    none = F.xxhash64(F.lit(""))
+    held = rows.groupBy(*keys).agg(F.max("carried").alias("carried"), F.sort_array(F.array_remove(F.collect_list("id"), none)).alias("held"))
+    return held.select(*keys, "carried", marks(F.col("held")).alias("marks"))
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Share of the chains whose smallest sub-lexicon that either text has terms of gives both the
-    same mark; chains without any don't count. 1 for equal fingerprints."""
-    pairs = F.zip_with(left, right, lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a == b, F.lit(False))))
-    last = [F.aggregate(F.slice(pairs, j * LEVELS + 1, LEVELS), F.lit(None).cast("boolean"),
-                        lambda state, same: F.coalesce(same, state)) for j in range(DRAWS)]
-    verdicts = F.array_compact(F.array(*last))
-    same = F.size(F.filter(verdicts, lambda v: v))
-    return F.when(F.size(verdicts) == 0, F.lit(1.0)).otherwise(same / F.greatest(F.size(verdicts), F.lit(1))).cast("double")
+    """Share of the chains, of those used by either text, whose marks agree; 1 for equal fingerprints."""
+    pairs = F.filter(F.zip_with(left, right, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                     lambda p: p["a"].isNotNull() | p["b"].isNotNull())
+    same = F.size(F.filter(pairs, lambda p: F.coalesce(p["a"] == p["b"], F.lit(False))))
+    return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(same / F.greatest(F.size(pairs), F.lit(1))).cast("double")
 
 
-def shown(marks: Column) -> Column:
-    """Text form of a fingerprint: a digest of each mark, 0 for an unused sub-lexicon."""
-    return F.array_join(F.transform(marks, lambda m: F.coalesce(F.lower(F.hex(m)), F.lit("0"))), ".")
+def shown(fingerprint: Column) -> Column:
+    """Text form of a fingerprint: the marks in hexadecimal, 0 for an unused chain."""
+    return F.array_join(F.transform(fingerprint, lambda m: F.coalesce(F.lower(F.hex(m)), F.lit("0"))), ".")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with range, place (order within it), real, and next_text; ascending
-    doc_id, null first, equal ids by text; the document after the last is the first.
+    """docs (doc_id, text) with range, place (order within it), real, next_text; ascending doc_id,
+    null first, equal ids by text; the document after the last is the first.
 
-    Each range also ends with a copy of its successor (real is false), whose next_text is null.
+    Each range also ends with a copy of the document that follows it, which is not real.
     """
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double").alias("at"))
     count = ids.count()
     wanted = max(1, min(RANGES, -(-count // RANGE_ROWS)))
-    cuts = ids.approxQuantile("at", [i / wanted for i in range(1, wanted)], 0.2 / wanted) if count and wanted > 1 else []
+    cuts = ids.approxQuantile("at", [i / wanted for i in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     dealt = docs.withColumn("at", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double"))
     if len(splits) > 2:
@@ -125,31 +122,32 @@ def compare(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float
     """Fingerprints of each document and of its edited text, and likeness to the edited text and
     to the next document.
 
-    Returns doc_id, n_chars, edited, marks, edited_marks, near_edited, near_next. The edited text
-    has its last floor(n_chars / 4) characters replaced by as many first ones of the next
-    document. Null texts count as empty; a text without terms of the lexicon has a fingerprint of unused
-    marks, which equals that of any other such text. Repeated rows are documents of their own.
+    Returns doc_id, n_chars, edited_sha256, marks, edited_marks, near_edited, near_next. The
+    edited text has its last floor(n_chars / 4) characters replaced by as many first ones of the
+    next document. Null texts count as empty; a text without terms of the lexicon has a
+    fingerprint of unused marks, which equals that of any other such text. Repeated rows are
+    documents of their own. An empty table gives no rows.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     words = written(lexicon(texts, least_share, most_share))
-    if words.count() <= BROADCAST_ROWS:
-        words = F.broadcast(words)
     size, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - cut),
                       F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), cut))
-    own = neighbours(texts).select("range", "place", "real", "doc_id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = own.select("range", "place", "real", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(
-        F.struct(F.lit(0).alias("form"), F.col("text").alias("text")),
-        F.struct(F.lit(1).alias("form"), F.col("edited").alias("text")))).alias("t")).select(
-        "range", "place", "real", "doc_id", "n_chars", "edited_sha256", "t.form", "t.text")
-    keys = ["range", "place", "real", "doc_id", "n_chars", "edited_sha256"]
-    marked = fingerprints(both, [*keys, "form"], words)
-    row = marked.groupBy(*keys).agg(
-        F.max(F.when(F.col("form") == 0, F.col("marks"))).alias("marks"),
-        F.max(F.when(F.col("form") == 1, F.col("marks"))).alias("edited_marks"))
+    own = neighbours(texts).select("range", "place", F.explode(F.array(
+        F.struct(F.lit(0).alias("form"), F.col("text").alias("text"), "doc_id", size.cast("long").alias("n_chars"), "real"),
+        F.struct(F.lit(1).alias("form"), edited.alias("text"), "doc_id", size.cast("long").alias("n_chars"), "real"))).alias("t"))
+    own = own.select("range", "place", "t.*")
+    carried = F.struct("doc_id", "n_chars", "real", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    marked = fingerprints(own, ["range", "place", "form"], carried, words)
+
+    def of(form: int, what: str) -> Column:
+        return F.max(F.when(F.col("form") == form, F.col(what)))
+
+    row = marked.groupBy("range", "place").agg(
+        of(0, "carried").alias("own"), of(0, "marks").alias("marks"), of(1, "carried").alias("edited"), of(1, "marks").alias("edited_marks"))
     following = F.lead("marks").over(Window.partitionBy("range").orderBy("place"))
-    return row.withColumn("next_marks", following).where("real").select(
-        "doc_id", "n_chars", "edited_sha256", "marks", "edited_marks",
+    return row.withColumn("next_marks", following).where("own.real").select(
+        "own.doc_id", "own.n_chars", F.col("edited.sha256").alias("edited_sha256"), "marks", "edited_marks",
         likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
         likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))
 
