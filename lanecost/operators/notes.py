@@ -65,7 +65,7 @@ PERCENT = (
     r"(?:-\s*\d+(?:\.\d+)?)?\s*(?:%|percent\b)")
 CURRENCY = r"(?:INR|₹)\s*\d+(?:\.\d+)?\s+per\s+(?:kilometre|kilometer|km)\b"
 PERCENT_UPPER = r"\d+(?:\.\d+)?\s*(?:-\s*(\d+(?:\.\d+)?))?\s*(?:%|percent\b)"
-MONTH_STEMS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 # Case-insensitive, word classes over all of Unicode.
 _FLAGS = "(?iU)"
@@ -124,7 +124,8 @@ def parse_explicit_range(notes: DataFrame) -> DataFrame:
     text = F.col("note")
     groups = F.array(*[F.regexp_extract(text, _FLAGS + EXPLICIT_RANGE, i) for i in range(1, 7)])
     part = lambda i: F.get("_groups", F.lit(i))
-    month = lambda i: ((F.position(F.lower(F.substring(part(i), 1, 3)), F.lit(MONTH_STEMS)) + 2) / 3).cast("int")
+    names = F.array(*map(F.lit, MONTHS))
+    month = lambda i: F.array_position(names, F.lower(F.substring(part(i), 1, 3))).cast("int")
     number = lambda i: F.nullif(part(i), F.lit("")).try_cast("int")
     m1, d1, m2, d2, y1, end_year = (F.col(c) for c in ("_m1", "_d1", "_m2", "_d2", "_y1", "_end_year"))
     backwards = end_year.isNull() & (m2 * 100 + d2 < m1 * 100 + d1)

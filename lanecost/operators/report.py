@@ -167,50 +167,55 @@ def output_contract_checks(rows: DataFrame, expected: DataFrame, headers: DataFr
 
 
 def tamper_variants(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ten corrupted copies of an output, with their headers: (rows, headers).
+    """One corruption per check of the contract, named after the check: (rows, headers).
 
-    The first row and the first flagged row are found by a one-row aggregate.
+    A record is written as a line, the line is damaged, and the damaged line is parsed
+    again. Field values are damaged in the record of the least key.
     """
-    key = F.struct("route", "week_of")
-    firsts = rows.agg(F.min(key).alias("_first"), F.max(key).alias("_last"),
-                      F.min(F.when(F.col("flagged") == "Yes", key)).alias("_open"))
-    base = rows.join(firsts)
-    is_first, is_last, is_open = key == F.col("_first"), key == F.col("_last"), key == F.col("_open")
-
-    def change(name, column, value, where=is_first):
-        return base.withColumn(column, F.when(where, value).otherwise(F.col(column))).withColumn(
-            "variant", F.lit(name))
-
-    cost = F.format_string("%.2f", F.col("cost_per_tonne_km").cast("decimal(20,2)").cast("double") + 0.01)
-    extra = base.where(is_first)
-    broken = extra.select(
-        *[F.lit(None).cast("string").alias(c) if c in OUTPUT_COLUMNS
-          else (F.lit(True).alias("malformed") if c == "malformed" else F.col(c)) for c in base.columns])
-    copies = {
-        "bad_header": base, "index_column": base.withColumn("malformed", F.lit(True)),
-        "changed_cost": change("changed_cost", "cost_per_tonne_km", cost),
-        "changed_percentage": change("changed_percentage", "vs_own_history",
-                                     F.lit("+99.9% vs this route's past average")),
-        "wrong_flag": change("wrong_flag", "flagged",
-                             F.when(F.col("flagged") == "No (justified)", "Yes").otherwise("No (justified)")),
-        "note_on_flagged": change("note_on_flagged", "matched_note_id", F.lit("N999"), is_open),
-        "unauthorized_note": change("unauthorized_note", "reason", F.concat("reason", F.lit(" N999"))),
-        "duplicate_row": base.unionByName(extra),
-        "missing_row": base.where(~is_last),
-        "broken_quoting": base.unionByName(broken),
+    first = rows.agg(F.min(F.struct("route", "week_of")).alias("_first"))
+    base = rows.join(first).withColumn("_hit", F.struct("route", "week_of") == F.col("_first"))
+    cost = F.col("cost_per_tonne_km")
+    fields: dict[str, dict[str, Column]] = {
+        "dates": {"week_of": F.concat(F.substring("week_of", 1, 5), F.lit("13-01"))},
+        "cost_format": {"cost_per_tonne_km": F.concat(cost, F.lit("5"))},
+        "percentage_format": {"vs_own_history": F.regexp_replace("vs_own_history", "^[+-]", "")},
+        "flags": {"flagged": F.lit("Perhaps")},
+        "note_mapping": {"flagged": F.lit("Yes"), "matched_note_id": F.lit("N7")},
+        "reasons": {"reason": F.lit("  ")},
+        "authoritative_reconciliation": {"cost_per_tonne_km": F.concat(F.lit("1"), cost)},
+        "reason_note_authority": {"flagged": F.lit("No (justified)"), "matched_note_id": F.lit(""), "reason": F.lit("As N7 says.")},
+    }
+    whole = {
+        "readable": base.where(F.lit(False)), "header": base, "header_once": base,
+        "row_count": base.where(~F.col("_hit")), "field_count": base,
+        "unique_keys": base.unionByName(base.where("_hit")), "sorted": base.withColumn("position", -F.col("position")),
     }
+    damaged = [df.withColumn("variant", F.lit(name)) for name, df in whole.items()]
+    for name, values in fields.items():
+        changed = {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}
+        damaged.append(base.withColumns(changed).withColumn("variant", F.lit(name)))
+    lines = reduce(lambda a, b: a.unionByName(b), damaged).withColumn(
+        "_line", F.to_csv(F.struct(*OUTPUT_COLUMNS), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}))
+    lines = lines.withColumn("_line", F.concat("_line", F.when(
+        F.col("_hit") & (F.col("variant") == "field_count"), ",surplus").otherwise("")))
+    schema = ", ".join(f"{c} string" for c in (*OUTPUT_COLUMNS, "_corrupt"))
+    parsed = lines.withColumn("_record", F.from_csv("_line", F.lit(schema), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"'}))
+    back = parsed.withColumns({
+        "malformed": F.col("malformed") | F.col("_record._corrupt").isNotNull(),
+        **{c: F.col(f"_record.{c}") for c in OUTPUT_COLUMNS}}).select(*rows.columns)
     header = ",".join(OUTPUT_COLUMNS)
-    named = {"bad_header": header.replace("route", "bad_route", 1), "index_column": "index," + header}
+    swapped = ",".join((*OUTPUT_COLUMNS[1::-1], *OUTPUT_COLUMNS[2:]))
     headers = rows.sparkSession.createDataFrame(
-        [(n, named.get(n, header), 1) for n in copies], "variant string, header string, copies int")
-    all_rows = reduce(lambda a, b: a.unionByName(b),
-                      [df.withColumn("variant", F.lit(n)) for n, df in copies.items()])
-    return all_rows.drop("_first", "_last", "_open"), headers
+        [(c, swapped if c == "header" else header, 2 if c == "header_once" else 1) for c in CHECKS],
+        "variant string, header string, copies int")
+    return back, headers
 
 
 def tamper_detection(rows: DataFrame, expected: DataFrame) -> DataFrame:
-    """Which corruption was caught, and by how many checks."""
+    """Per corruption: how many checks it failed, and whether the one it aims at is among them."""
     bad_rows, headers = tamper_variants(rows)
+    failed = F.col("status") == "fail"
     return output_contract_checks(bad_rows, expected, headers).groupBy("variant").agg(
-        F.count_if(F.col("status") == "fail").alias("failed_checks"),
-        F.bool_or(F.col("status") == "fail").alias("detected"))
+        F.count_if(failed).alias("failed_checks"),
+        F.bool_or(failed & (F.col("check_id") == F.concat(F.lit("output."), F.col("variant")))).alias("detected"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import flag, order_free_sums, signed_text
-from ..schemas import HISTORY_WEEKS, KEY, RootCausePolicy
+from ..schemas import Decomposition, HISTORY_WEEKS, KEY
 from .baselines import history_window
 from .candidates import candidate_key
 
@@ -60,7 +60,7 @@ def reference_week_join(candidates: DataFrame, weekly: DataFrame) -> DataFrame:
 
 
 def root_cause_base(candidates: DataFrame, weekly: DataFrame, references: DataFrame,
-                    policy: RootCausePolicy = RootCausePolicy()) -> DataFrame:
+                    settings: Decomposition = Decomposition()) -> DataFrame:
     """Current rate, baseline, gap, and whether they agree with the weekly rows."""
     past = weekly.select("route", "route_type", F.col("week_of").alias("ref_week"),
                          F.col("cost_per_tonne_km").alias("ref_rate"))
@@ -68,7 +68,7 @@ def root_cause_base(candidates: DataFrame, weekly: DataFrame, references: DataFr
         F.count(F.lit(1)).alias("reference_week_count"), F.avg("ref_rate").alias("_mean"),
         F.array_sort(F.collect_list("ref_week")).alias("reference_weeks"))
     current = weekly.select(*KEY, F.col("cost_per_tonne_km").alias("current_cost_per_tonne_km"))
-    tol = policy.reconstruction_tolerance
+    tol = settings.gap_tolerance
     return (
         candidates.join(current, list(KEY), "left").join(window, list(KEY), "left")
         .select(
@@ -116,7 +116,7 @@ def category_full_outer(references: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def mix_rate_decomposition(references: DataFrame, shares: DataFrame,
-                           policy: RootCausePolicy = RootCausePolicy()) -> DataFrame:
+                           settings: Decomposition = Decomposition()) -> DataFrame:
     """Effects per candidate, lens and category, averaged over the reference weeks."""
     now, past = F.col("now"), F.col("past")
     both, entered, left = (now.isNotNull() & past.isNotNull(), past.isNull(), now.isNull())
@@ -140,8 +140,8 @@ def mix_rate_decomposition(references: DataFrame, shares: DataFrame,
         "net_contribution",
         F.col("mix_effect") + F.col("rate_effect") + F.col("entry_effect") + F.col("exit_effect"))
     return absolute_effect_share(effects).withColumns({
-        "direction": effect_direction(F.col("net_contribution"), policy),
-        "support_level": category_support(policy),
+        "direction": effect_direction(F.col("net_contribution"), settings),
+        "support_level": category_support(settings),
     }).select(
         *KEY, "lens", "category", "current_shipment_count", "reference_shipment_count",
         "reference_weeks_present", "current_tonne_km_share", "reference_mean_tonne_km_share",
@@ -158,51 +158,51 @@ def absolute_effect_share(effects: DataFrame) -> DataFrame:
         "absolute_effect_share_pct", F.abs("net_contribution") / F.nullif(whole, F.lit(0.0)) * 100)
 
 
-def effect_direction(net, policy: RootCausePolicy = RootCausePolicy()):
-    tol = policy.reconstruction_tolerance
+def effect_direction(net, settings: Decomposition = Decomposition()):
+    tol = settings.gap_tolerance
     return (F.when(net > tol, "increases_gap").when(net < -tol, "offsets_gap").otherwise("neutral"))
 
 
-def category_support(policy: RootCausePolicy = RootCausePolicy()):
+def category_support(settings: Decomposition = Decomposition()):
     """Transition first, then strong, else limited."""
     now, past, weeks = (F.col(c) for c in ("current_shipment_count", "reference_shipment_count",
                                           "reference_weeks_present"))
     moved = (F.col("entry_effect") != 0) | (F.col("exit_effect") != 0)
     return (
         F.when(moved & ((now == 0) | (weeks == 0)), "transition_only")
-        .when((now >= policy.min_current_category_shipments)
-              & (past >= policy.min_reference_category_shipments) & (weeks >= 3), "strong")
+        .when((now >= settings.support.shipments_now)
+              & (past >= settings.support.shipments_before) & (weeks >= settings.support.weeks_before), "strong")
         .otherwise("limited"))
 
 
 def decomposition_reconcile(contributions: DataFrame, base: DataFrame,
-                            policy: RootCausePolicy = RootCausePolicy()) -> DataFrame:
+                            settings: Decomposition = Decomposition()) -> DataFrame:
     """Per candidate and lens: do the effects add up to the gap?"""
     sums = contributions.groupBy(*KEY, "lens").agg(F.sum("net_contribution").alias("reconstructed_gap"))
     error = F.col("reconstructed_gap") - F.col("target_gap")
     return sums.join(base.select(*KEY, "target_gap"), list(KEY)).select(
         *KEY, "lens", "target_gap", "reconstructed_gap", error.alias("reconstruction_error"),
-        (F.abs(error) <= policy.reconstruction_tolerance).alias("reconciles"))
+        (F.abs(error) <= settings.gap_tolerance).alias("reconciles"))
 
 
-def lead_rank(contributions: DataFrame, policy: RootCausePolicy = RootCausePolicy()) -> DataFrame:
+def lead_rank(contributions: DataFrame, settings: Decomposition = Decomposition()) -> DataFrame:
     """Top leads (positive) and offsets (negative) per candidate and lens.
 
     A lens partition holds at most as many rows as pass the share threshold, that is
-    100 / min_lead_abs_share_pct, so the window is small by construction.
+    100 / least_share_pct, so the window is small by construction.
     """
     net = F.col("net_contribution")
     eligible = contributions.where(
-        (net != 0) & (F.abs(net) >= policy.min_lead_abs_effect)
-        & (F.coalesce("absolute_effect_share_pct", F.lit(0.0)) >= policy.min_lead_abs_share_pct)
+        (net != 0) & (F.abs(net) >= settings.lead.least_effect)
+        & (F.coalesce("absolute_effect_share_pct", F.lit(0.0)) >= settings.lead.least_share_pct)
     ).withColumn("kind", F.when(net > 0, "lead").otherwise("offset"))
     order = Window.partitionBy(*KEY, "lens", "kind").orderBy(F.abs(net).desc(), "category")
-    limit = F.when(F.col("kind") == "lead", policy.max_leads_per_lens).otherwise(
-        min(policy.max_offsets_per_lens, policy.max_leads_per_lens))
+    limit = F.when(F.col("kind") == "lead", settings.lead.shown[0]).otherwise(
+        min(settings.lead.shown))
     return eligible.withColumn("lead_rank", F.row_number().over(order)).where(F.col("lead_rank") <= limit)
 
 
-def operational_leads(contributions: DataFrame, policy: RootCausePolicy = RootCausePolicy()) -> DataFrame:
+def operational_leads(contributions: DataFrame, settings: Decomposition = Decomposition()) -> DataFrame:
     narrative = F.concat(
         F.col("category"), F.lit(" showed "),
         F.when(F.col("kind") == "lead", "a positive").otherwise("an offsetting"),
@@ -210,7 +210,7 @@ def operational_leads(contributions: DataFrame, policy: RootCausePolicy = RootCa
         signed_text(F.col("net_contribution"), 4),
         F.lit(" INR/t-km. This is an operational lead, not accepted contextual evidence."),
         F.when(F.col("support_level") != "strong", " It has limited support.").otherwise(""))
-    return lead_rank(contributions, policy).select(
+    return lead_rank(contributions, settings).select(
         *KEY, "lens", "kind", "lead_rank", "category", F.col("net_contribution").alias("effect"),
         "support_level", narrative.alias("narrative"))
 
@@ -226,7 +226,7 @@ def operational_metrics(weekly: DataFrame) -> DataFrame:
 
 
 def metric_comparison(references: DataFrame, weekly: DataFrame,
-                      policy: RootCausePolicy = RootCausePolicy()) -> DataFrame:
+                      settings: Decomposition = Decomposition()) -> DataFrame:
     """Current value against the mean of the reference weeks, with highlight flag."""
     metrics = operational_metrics(weekly)
     past = references.join(
@@ -239,7 +239,7 @@ def metric_comparison(references: DataFrame, weekly: DataFrame,
     return past.join(metrics, [*KEY, "metric"]).select(
         *KEY, "metric", unit[F.col("metric")].alias("unit"), F.col("value").alias("current_value"),
         "reference_mean", change.alias("absolute_change"), percent.alias("percentage_change"),
-        flag(F.abs(percent) >= policy.metric_highlight_percent).alias("highlighted"),
+        flag(F.abs(percent) >= settings.highlight_pct).alias("highlighted"),
         meaning[F.col("metric")].alias("interpretation"))
 
 

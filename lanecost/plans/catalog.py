@@ -1345,8 +1345,7 @@ def _(spark, sf):
     return inv.note_injection_invariance(a.candidates, a.notes)
 
 
-@query("tamper_detection", passing("bad_header", "index_column", "changed_cost", "changed_percentage", "wrong_flag", "note_on_flagged",
-                                   "unauthorized_note", "duplicate_row", "missing_row", "broken_quoting", column="variant", extra=", true AS detected"))
+@query("tamper_detection", passing(*rp.CHECKS, column="variant", extra=", true AS detected"))
 def _(spark, sf):
     final = cut_lineage(run(spark, sf).final)
     lines = files.contract_lines(spark, files.sink_contract_csv(final, scratch_path(spark, "final")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import baselines, candidates as cand, evidence, explain, reads, report, retrieval, rootcause
 from ..operators.notes import compile_notes
 from ..operators.weekly import weekly_route_metrics
-from ..schemas import KEY, EvidencePolicy, RetrievalPolicy, RootCausePolicy, WEEKLY_COLUMNS
+from ..schemas import KEY, Decomposition, EvidencePolicy, RetrievalPolicy, WEEKLY_COLUMNS
 from ..session import cut_lineage
 
 
@@ -29,11 +29,11 @@ class Analysis:
 
     def __init__(self, spark: SparkSession, shipments: DataFrame, raw_notes: DataFrame, *,
                  threshold: float = 20.0, evidence_policy: EvidencePolicy = EvidencePolicy(),
-                 root_cause_policy: RootCausePolicy = RootCausePolicy(),
+                 decomposition: Decomposition = Decomposition(),
                  retrieval_policy: RetrievalPolicy = RetrievalPolicy()):
         self.spark, self.shipments, self.raw_notes = spark, shipments, raw_notes
         self.threshold, self.evidence_policy = threshold, evidence_policy
-        self.root_cause_policy, self.retrieval_policy = root_cause_policy, retrieval_policy
+        self.decomposition, self.retrieval_policy = decomposition, retrieval_policy
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -159,16 +159,16 @@ class Analysis:
 
     @cached_property
     def contributions(self) -> DataFrame:
-        return rootcause.mix_rate_decomposition(self.references, self.shares, self.root_cause_policy)
+        return rootcause.mix_rate_decomposition(self.references, self.shares, self.decomposition)
 
     @cached_property
     def root_base(self) -> DataFrame:
-        return rootcause.root_cause_base(self.unexplained, self.weekly, self.references, self.root_cause_policy)
+        return rootcause.root_cause_base(self.unexplained, self.weekly, self.references, self.decomposition)
 
     @cached_property
     def analyses(self) -> DataFrame:
         contributions = cut_lineage(self.contributions)
         return rootcause.root_cause_analysis(
             self.root_base, contributions,
-            rootcause.operational_leads(contributions, self.root_cause_policy),
-            rootcause.metric_comparison(self.references, self.weekly, self.root_cause_policy))
+            rootcause.operational_leads(contributions, self.decomposition),
+            rootcause.metric_comparison(self.references, self.weekly, self.decomposition))

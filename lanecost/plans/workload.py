@@ -91,8 +91,8 @@ SELECT concat('N', lpad(CAST(event_id AS STRING), 9, '0')) AS note_id, day AS da
   CASE
     WHEN t = 0 AND event_id % 70 = 0 THEN 'Flooding closed a bridge from Feb 30 to Mar 2.'
     WHEN t = 0 THEN concat('Severe flooding hit this lane from ',
-        substr('JanFebMarAprMayJunJulAugSepOctNovDec', month(day) * 3 - 2, 3), ' ', CAST(day(day) AS STRING),
-        ' to ', substr('JanFebMarAprMayJunJulAugSepOctNovDec', month(day2) * 3 - 2, 3), ' ',
+        split_part('Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec', ' ', CAST(month(day) AS INT)), ' ', CAST(day(day) AS STRING),
+        ' to ', split_part('Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec', ' ', CAST(month(day2) AS INT)), ' ',
         CAST(day(day2) AS STRING), ', which meant detours and higher trip costs.')
     WHEN t = 1 THEN concat('In the festival week there was a temporary surcharge applied by transporters of INR ',
         CAST(event_id % 9 + 2 AS STRING), ' per km.')
