@@ -23,7 +23,7 @@ def normalize_shipments(raw: DataFrame) -> DataFrame:
         c: parsed_number(F.col(c))
         for c in SHIPMENT_NUMERIC_COLUMNS if kinds[c] == "string"
     }
-    changes["shipment_date"] = F.col("shipment_date").cast("date")
+    changes["shipment_date"] = F.col("shipment_date").try_cast("date")  # issues report what is no date
     typed = raw.select(*SHIPMENT_COLUMNS).withColumns(changes)
     return typed.withColumns({
         "route": F.concat_ws("-", "origin", "destination"),
@@ -37,7 +37,7 @@ def normalize_notes(raw: DataFrame) -> DataFrame:
     require_columns(raw, NOTE_COLUMNS)
     return raw.select(
         strip(F.col("note_id")).alias("note_id"),
-        F.col("date").cast("date").alias("date"),
+        F.col("date").try_cast("date").alias("date"),
         strip(F.col("applies_to")).alias("applies_to"),
         "note",
     )

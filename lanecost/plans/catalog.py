@@ -96,7 +96,17 @@ def _sound_rows(spark, sf):
 
 def _write_csv(df: DataFrame, name: str) -> str:
     path = scratch_path(df.sparkSession, name)
-    df.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    df.write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _write_lines(lines: DataFrame, header: str, name: str) -> str:
+    """A text table (column value) of which each part begins with the header."""
+    opens = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    path = scratch_path(lines.sparkSession, name)
+    marked = lines.select("value", opens.alias("opens"))
+    marked.select(F.explode(F.when(F.col("opens"), F.array(F.lit(header), "value")).otherwise(F.array("value"))).alias("value")).write.text(path)
     return path
 
 
@@ -129,11 +139,7 @@ def _(spark, sf):
     line = (F.when(k % 17 == 0, F.array_join(F.slice(fields, 1, 7), ","))
             .when(k % 19 == 0, F.concat(F.array_join(fields, ","), F.lit(",more")))
             .otherwise(F.array_join(fields, ",")))
-    path = scratch_path(spark, "ragged")
-    rows = w.raw_text_rows(spark, sf)
-    header = spark.createDataFrame([(",".join(_RAW), -1)], "value string, place bigint")
-    header.unionByName(rows.select(line.alias("value"), F.col("row_number").alias("place"))).coalesce(1).orderBy(
-        "place").select("value").write.text(path)
+    path = _write_lines(w.raw_text_rows(spark, sf).select(line.alias("value")), ",".join(_RAW), "ragged")
     return files.scan_malformed_rows(files.read_text_table(spark, path, _RAW))
 
 
@@ -141,15 +147,15 @@ def _(spark, sf):
 SELECT 'warning' AS severity, 'malformed_sample_row' AS code, 'output_contract' AS dataset, NULL::VARCHAR AS "column",
   concat('R', event_id::VARCHAR, ',2024-01-01,1.00,+1.0% vs a,+1.0% vs b,Yes,,one, two') AS value FROM events WHERE event_type = 'error'""")
 def _(spark, sf):
+    return files.contract_body_arity(spark, _contract_file(spark, sf))
+
+
+def _contract_file(spark, sf) -> str:
     events = w.table(spark, sf, "events")
     good = "R%s,2024-01-01,1.00,+1.0%% vs a,+1.0%% vs b,Yes,,one"
     text = F.concat(F.format_string(good, F.col("event_id").cast("string")),
                     F.when(F.col("event_type") == "error", ", two").otherwise(""))
-    path = scratch_path(spark, "contract")
-    header = spark.createDataFrame([(",".join(OUTPUT_COLUMNS), 0)], "value string, place int")
-    header.unionByName(events.select(text.alias("value"), F.lit(1).alias("place"))).orderBy("place").select(
-        "value").write.text(path)
-    return files.contract_body_arity(spark, path)
+    return _write_lines(events.select(text.alias("value")), ",".join(OUTPUT_COLUMNS), "contract")
 
 
 _ISSUES = f"""
@@ -176,13 +182,16 @@ def _issues(where: str) -> str:
     return f"SELECT * FROM ({_ISSUES}) a WHERE {where}"
 
 
-@query("load_bundle", f"SELECT dataset, severity, code, count(*) AS issues FROM ({_ISSUES}) a GROUP BY ALL")
+# In a CSV file a missing value is an empty one, so it is reported as blank.
+@query("load_bundle", f"""
+SELECT dataset, severity, CASE code WHEN 'missing_value' THEN 'blank_value' ELSE code END AS code, count(*) AS issues
+FROM ({_ISSUES}) a GROUP BY ALL
+UNION ALL SELECT 'output_contract', 'warning', 'malformed_sample_row', count(*) FROM events WHERE event_type = 'error'""")
 def _(spark, sf):
-    issues = dq.issue_union(dq.shipment_issues(w.raw_text_rows(spark, sf)))
-    notes = w.context_notes(spark, sf).withColumns({
-        "date": F.col("date").cast("string"), "row_number": F.lit(None).cast("bigint")})
-    return dq.issue_union(issues, dq.note_issues(notes)).groupBy("dataset", "severity", "code").agg(
-        F.count(F.lit(1)).alias("issues"))
+    ships = _write_csv(w.raw_text_rows(spark, sf).select(*_RAW), "shipments")
+    notes = _write_csv(w.context_notes(spark, sf).withColumn("date", F.col("date").cast("string")), "notes")
+    issues = files.load_bundle(spark, ships, notes, _contract_file(spark, sf))[2]
+    return issues.groupBy("dataset", "severity", "code").agg(F.count(F.lit(1)).alias("issues"))
 
 
 _FINAL = """

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.normalize import normalize_notes, normalize_shipments
-from ..operators.quality import header_issues, issue_union, note_issues, shipment_issues
+from ..operators.quality import dq_empty, header_issues, issue_union, note_issues, shipment_issues
 from ..schemas import (
     ISSUE_COLUMNS, NOTE_COLUMNS, OUTPUT_COLUMNS, SHIPMENT_COLUMNS, require_columns, text_schema,
 )
@@ -26,8 +28,10 @@ class InputRejected(ValueError):
 # --- CSV ----------------------------------------------------------------------------
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the first line; reads one line, not the file."""
-    return spark.read.option("header", True).option("escape", '"').csv(path).columns
+    """Column names of the first line as they are written, repeated ones included; reads one
+    line, not the file."""
+    line = spark.read.text(path).first()
+    return next(csv.reader([line.value])) if line else []
 
 
 def read_text_table(spark: SparkSession, path: str, columns, multi_line: bool = False) -> DataFrame:
@@ -79,7 +83,7 @@ def scan_shipments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """(normalised shipments, issues). The rows are usable only when no issue is an error."""
     raw = read_text_table(spark, path, SHIPMENT_COLUMNS)
     sound = raw.where("NOT malformed").drop("malformed")
-    issues = issue_union(malformed_issues(raw, "shipments"), shipment_issues(_numbered(sound)))
+    issues = issue_union(dq_empty(raw, "shipments"), malformed_issues(raw, "shipments"), shipment_issues(_numbered(sound)))
     return normalize_shipments(sound), issues
 
 
@@ -87,7 +91,7 @@ def scan_context_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     """(normalised notes, issues). Quoted text may hold commas and line breaks."""
     raw = read_text_table(spark, path, NOTE_COLUMNS, multi_line=True)
     sound = raw.where("NOT malformed").drop("malformed")
-    issues = issue_union(malformed_issues(raw, "context_notes"), note_issues(_numbered(sound)))
+    issues = issue_union(dq_empty(raw, "context_notes"), malformed_issues(raw, "context_notes"), note_issues(_numbered(sound)))
     return normalize_notes(sound), issues
 
 

@@ -119,3 +119,20 @@ def test_fingerprint_ignores_order_but_not_copies(spark):
     assert same.same_rows and same.same_content
     more = files.same_fingerprint(df, df.unionByName(df.limit(1)).unionByName(df.limit(1))).first()
     assert not more.same_rows and not more.same_content
+
+
+def test_a_file_without_rows_and_a_repeated_column_are_reported(spark):
+    empty = write_lines(spark, [",".join(SHIPMENT_COLUMNS)], "empty.csv")
+    rows, issues = files.scan_shipments(spark, empty)
+    assert rows.count() == 0 and [r.code for r in issues.collect()] == ["empty_dataset"]
+    twice = write_lines(spark, [",".join((*SHIPMENT_COLUMNS, "origin"))], "twice.csv")
+    with pytest.raises(files.InputRejected, match="duplicate_column"):
+        files.scan_shipments(spark, twice)
+
+
+def test_a_date_that_is_none_is_an_issue_and_no_crash(spark):
+    values = {"shipment_id": "S1", "origin": "A", "destination": "B", "route_type": "Short", "material": "x", "quantity_tonnes": "1",
+              "distance_km": "2", "freight_cost_inr": "3", "shipment_date": "2024-02-30", "transporter": "t"}
+    path = write_lines(spark, [",".join(SHIPMENT_COLUMNS), ",".join(values[c] for c in SHIPMENT_COLUMNS)], "date.csv")
+    rows, issues = files.scan_shipments(spark, path)
+    assert rows.first().shipment_date is None and [r.code for r in issues.collect()] == ["invalid_date"]
