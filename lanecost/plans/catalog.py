@@ -278,11 +278,10 @@ def _(spark, sf):
 
 @query("dataset_fingerprint", """
 SELECT count(*) AS rows, bit_xor(d) AS xor_digest, sum(d::DECIMAL(38,0))::VARCHAR AS sum_digest FROM (
-  SELECT ('0x' || substr(sha256(concat_ws(chr(31), o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority)), 1, 15))::BIGINT AS d
+  SELECT ('0x' || substr(sha256(concat_ws(chr(31), o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_totalprice::VARCHAR, o_orderdate::VARCHAR, o_orderpriority)), 1, 15))::BIGINT AS d
   FROM orders) t""")
 def _(spark, sf):
-    return files.dataset_fingerprint(w.table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return files.dataset_fingerprint(w.table(spark, sf, "orders"))
 
 
 # --- projection ---------------------------------------------------------------------
@@ -1070,7 +1069,7 @@ def _(spark, sf):
 @query("row_multiset_equality", """
 SELECT (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A') AS only_left, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'N') AS only_right""")
 def _(spark, sf):
-    li = w.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    li = w.table(spark, sf, "lineitem")
     return rp.row_multiset_equality(li.where("l_returnflag <> 'N'"), li.where("l_returnflag <> 'A'"))
 
 
@@ -1128,16 +1127,17 @@ def _(spark, sf):
 _QUERY_TEXT = f"""
 SELECT {K}, concat('Investigate an increase in freight transport cost for route ', route, ' (', route_type, ') during ', week_of::VARCHAR, ' to ',
   (week_of + 6)::VARCHAR, '.', chr(10), 'Trigger: ', CASE WHEN own_hit AND peer_hit THEN 'both' WHEN own_hit THEN 'own' ELSE 'peer' END, '.', chr(10),
-  'Find operational events that explicitly increased freight transport costs or rates.') AS query_text, peer_pct IS NULL AS no_peer FROM cand"""
+  'Find operational events that explicitly increased freight transport costs or rates.') AS query_text, {r('cost_per_tonne_km', 'shown_cost')}, {r('own_pct', 'shown_own')}, {r('peer_pct', 'shown_peer')} FROM cand"""
 
 
 @query("candidate_query_text", _QUERY_TEXT)
 def _(spark, sf):
-    # the three full-precision figures are left out: the engines print doubles differently
+    # the engines print doubles differently: the three figures are read back from their lines
     lines = F.split("query_text", "\n")
+    figure = lambda k: F.regexp_extract(lines[k], r": (.+?)( percent)?\.$", 1).try_cast("double")
     text = ev.candidate_query_text(c.candidates_only(metrics_of(spark, sf)))
     return text.select(*KEY, F.concat_ws("\n", lines[0], lines[4], lines[5]).alias("query_text"),
-                       (lines[3] == "Change versus similar routes: unavailable percent.").alias("no_peer"))
+                       figure(1).alias("shown_cost"), figure(2).alias("shown_own"), figure(3).alias("shown_peer"))
 
 
 @query("note_document_text", """
