@@ -40,12 +40,10 @@ def term_rows(texts: DataFrame, *keys: str | Column) -> DataFrame:
 
 def lexicon(texts: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
     """(id): the hashes of the terms of the band. Every document counts."""
-    rows = term_rows(texts).groupBy("id").agg(F.count(F.lit(1)).alias("documents"), F.max(F.col("term") == "").alias("blank"))
-    rows = rows.where("documents >= 2 or blank")
-    total = rows.where("blank").select(F.col("documents").alias("all"))  # every document has the empty term
-    return rows.where("not blank").join(total).where(
-        (F.col("documents") >= F.lit(least_share) * F.col("all")) & (F.col("documents") <= F.greatest(
-            F.lit(float(LEAST_DOCUMENTS)), F.lit(most_share) * F.col("all")))).select("id")
+    total = texts.count()
+    rows = term_rows(texts).where("term <> ''").groupBy("id").agg(F.count(F.lit(1)).alias("documents"))
+    return rows.where(F.col("documents").between(
+        max(float(LEAST_DOCUMENTS), least_share * total), max(float(LEAST_DOCUMENTS), most_share * total))).select("id")
 
 
 def marks(held: Column) -> Column:
