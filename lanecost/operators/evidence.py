@@ -100,21 +100,24 @@ BLOCK_KEY = ["scope_route", "level", "block"]
 
 def salted_block_join(left: DataFrame, right: DataFrame, right_id: str,
                       hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join on the block key that splits hot keys of ``right`` exactly.
+    """Inner join on the block key that splits hot keys of either side exactly.
 
-    A key with more than ``hot_rows`` rows on the right is dealt over as many
-    salts as needed and its left rows are repeated per salt. There are at most
-    rows/hot_rows such keys, so their table is small; it is joined by measured size.
+    A key with more than ``hot_rows`` rows on a side is dealt over salts of that side, and
+    the other side's rows are repeated per salt, so a task meets about ``hot_rows`` rows of
+    each. There are at most rows / hot_rows such keys; their table is joined by measured size.
     """
-    hot = (
-        right.groupBy(*BLOCK_KEY).count().where(F.col("count") > hot_rows)
-        .select(*BLOCK_KEY, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts")))
-    salts = F.coalesce("_salts", F.lit(1))
-    spread = right.join(hot, BLOCK_KEY, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(right_id), salts).cast("int")).drop("_salts")
-    repeated = left.join(hot, BLOCK_KEY, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return repeated.join(spread, [*BLOCK_KEY, "_salt"]).drop("level", "block", "_salt")
+    def salts(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*BLOCK_KEY).count().where(F.col("count") > hot_rows).select(
+            *BLOCK_KEY, F.ceil(F.col("count") / hot_rows).cast("int").alias(name))
+
+    hot = salts(left, "_l").join(salts(right, "_r"), BLOCK_KEY, "full_outer")
+    lefts, rights = F.coalesce("_l", F.lit(1)), F.coalesce("_r", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), n).cast("int")
+    spread = right.join(hot, BLOCK_KEY, "left").withColumn("_b", dealt(rights, right_id)).withColumn("_a", every(lefts))
+    spread_left = left.join(hot, BLOCK_KEY, "left").withColumn("_a", dealt(lefts, *KEY)).withColumn("_b", every(rights))
+    drop = ("_l", "_r")
+    return spread_left.drop(*drop).join(spread.drop(*drop), [*BLOCK_KEY, "_a", "_b"]).drop("level", "block", "_a", "_b")
 
 
 def structured_recall(candidates: DataFrame, notes: DataFrame) -> DataFrame:
@@ -301,7 +304,7 @@ def decide_verdict(candidates: DataFrame, notes: DataFrame, hits: DataFrame | No
     than the class does without, so the least of both is the exact choice.
     """
     facts = ("vs_own_history_pct", "peer_threshold_breached")
-    joined_classes = candidate_blocks(candidates, *facts).join(evidence_classes(notes), BLOCK_KEY)
+    joined_classes = salted_block_join(candidate_blocks(candidates, *facts), evidence_classes(notes), "note_id")
     exact = F.col("scope_route") != EVERYWHERE
     by_class = joined_classes.select(
         *KEY, "note_id", "notes", "overlap_days", exact.alias("exact_route_scope"),
