@@ -103,11 +103,12 @@ def _scorer(kind: str):
     return dense if kind == "dense" else sparse
 
 
-def _dealt(side: DataFrame, prefix: str, other: DataFrame, block_rows: int) -> DataFrame:
-    """Own block by hash, repeated for every block of the other side."""
+def _dealt(side: DataFrame, prefix: str, rows: DataFrame, other_rows: DataFrame, block_rows: int) -> DataFrame:
+    """Own block by hash, repeated for every block of the other side. ``rows`` and ``other_rows``
+    are the tables the sides were made from: counting them does not make the vectors again."""
     blocks = lambda df, name: df.agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias(name))
-    own = with_scalars(with_scalars(side, blocks(side, "_own")), blocks(other, "_other"))
+    own = with_scalars(with_scalars(side, blocks(rows, "_own")), blocks(other_rows, "_other"))
     mine = F.pmod(F.xxhash64("id"), F.col("_own")).cast("int")
     theirs = F.explode(F.sequence(F.lit(0), F.col("_other") - 1))
     q, d = ("_qb", "_db") if prefix == "q" else ("_db", "_qb")
@@ -115,7 +116,7 @@ def _dealt(side: DataFrame, prefix: str, other: DataFrame, block_rows: int) -> D
 
 
 def block_product(queries: DataFrame, docs: DataFrame, kind: str, reduce_block, schema: T.StructType,
-                  block_rows: int) -> DataFrame:
+                  block_rows: int, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Run ``reduce_block(query_ids, doc_ids, scores)`` on each block pair's score matrix.
 
     A group holds about ``block_rows`` rows of each side whatever the table sizes.
@@ -128,8 +129,9 @@ def block_product(queries: DataFrame, docs: DataFrame, kind: str, reduce_block,
         d = d.sort_values("id", kind="stable").reset_index(drop=True)
         return reduce_block(q["id"].to_numpy(), d["id"].to_numpy(), scores_of(q, d))
 
-    left = _dealt(queries, "q", docs, block_rows).groupBy("_qb", "_db")
-    right = _dealt(docs, "d", queries, block_rows).groupBy("_qb", "_db")
+    q_rows, d_rows = counted or (queries, docs)
+    left = _dealt(queries, "q", q_rows, d_rows, block_rows).groupBy("_qb", "_db")
+    right = _dealt(docs, "d", d_rows, q_rows, block_rows).groupBy("_qb", "_db")
     return left.cogroup(right).applyInPandas(product, schema)
 
 
@@ -139,7 +141,8 @@ def top_k_notes(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_top_k(queries: DataFrame, docs: DataFrame, kind: str, policy: RetrievalPolicy) -> DataFrame:
+def _block_top_k(queries: DataFrame, docs: DataFrame, kind: str, policy: RetrievalPolicy,
+                 counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     k, digits = policy.top_k, policy.score_digits
     schema = T.StructType([
         T.StructField("query_id", queries.schema["id"].dataType),
@@ -155,7 +158,7 @@ def _block_top_k(queries: DataFrame, docs: DataFrame, kind: str, policy: Retriev
             "query_id": np.repeat(q_ids, n), "doc_id": d_ids[best].ravel(),
             "score": np.take_along_axis(rounded, best, axis=1).ravel()})
 
-    return top_k_notes(block_product(queries, docs, kind, keep_best, schema, policy.block_rows), k)
+    return top_k_notes(block_product(queries, docs, kind, keep_best, schema, policy.block_rows, counted), k)
 
 
 def sparse_sides(queries: DataFrame, docs: DataFrame, query_cols=("id", "text"),
@@ -176,7 +179,7 @@ def tfidf_sparse(queries: DataFrame, docs: DataFrame, query_cols=("id", "text"),
                  doc_cols=("id", "text"), policy: RetrievalPolicy = RetrievalPolicy()) -> DataFrame:
     """(query_id, doc_id, score, rank): first k by TF-IDF dot product."""
     q, d = sparse_sides(queries, docs, query_cols, doc_cols)
-    return _block_top_k(q, d, "sparse", policy)
+    return _block_top_k(q, d, "sparse", policy, (queries, docs))
 
 
 def query_note_cross(queries: DataFrame, docs: DataFrame, query_cols=("id", "text"),
@@ -196,7 +199,7 @@ def query_note_cross(queries: DataFrame, docs: DataFrame, query_cols=("id", "tex
             "query_id": q_ids, "scored": rounded.shape[1],
             "zero_scores": (rounded == 0).sum(axis=1), "best_score": rounded.max(axis=1)})
 
-    return block_product(q, d, "sparse", summary, schema, policy.block_rows).groupBy("query_id").agg(
+    return block_product(q, d, "sparse", summary, schema, policy.block_rows, (queries, docs)).groupBy("query_id").agg(
         F.sum("scored").alias("scored"), F.sum("zero_scores").alias("zero_scores"),
         F.max("best_score").alias("best_score"))
 
