@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,7 +14,7 @@ def spark():
     session = (
         session_builder("tests").master("local[4]").config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "4g").getOrCreate())
+        .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lanecost-tests-")).getOrCreate())
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
