@@ -268,12 +268,16 @@ def _(spark, sf):
                        F.size("d.analysis.reference_weeks").alias("references_n"))
 
 
-@query("roundtrip_check", "SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right")
+# Each side lacks the rows of some days; all others must come back from the files as they were.
+@query("roundtrip_check", """
+SELECT count(*) FILTER (day(week_of::DATE) % 5 = 0 AND day(week_of::DATE) % 7 <> 0) AS only_left,
+  count(*) FILTER (day(week_of::DATE) % 7 = 0 AND day(week_of::DATE) % 5 <> 0) AS only_right FROM reviewed""")
 def _(spark, sf):
     final = cut_lineage(run(spark, sf).final)
     path = files.sink_contract_csv(final, scratch_path(spark, "final"))
     back = files.contract_lines(spark, path).where(F.col("route") != "route").select(*OUTPUT_COLUMNS)
-    return files.roundtrip_check(final, back)
+    day = F.dayofmonth(F.to_date("week_of"))
+    return files.roundtrip_check(final.where(day % 7 != 0), back.where(day % 5 != 0))
 
 
 @query("dataset_fingerprint", """
@@ -399,9 +403,31 @@ def _(spark, sf):
     return dq.analytics_input_check(w.shipments(spark, sf))
 
 
-@query("baseline_input_check", passing("key_present", "monday_week", "shipments_present", "positive_finite", "rate_formula", "unique_key"))
+def _verdicts(counts: dict[str, str], table: str) -> str:
+    """Check rows from (check_id: failure count), all over one table."""
+    rows = " UNION ALL ".join(f"SELECT '{i}' AS check_id, ({n})::BIGINT AS failures FROM {table}" for i, n in counts.items())
+    return f"SELECT check_id, failures, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM ({rows}) c"
+
+
+# Weekly rows of which some days have a blank route, a shifted week, no shipment or another rate.
+_BROKEN_WEEKLY = """(SELECT CASE WHEN day(week_of) % 5 = 0 THEN ' ' ELSE route END AS route, route_type,
+  CASE WHEN day(week_of) % 7 = 0 THEN week_of + 1 ELSE week_of END AS week_of, CASE WHEN day(week_of) % 11 = 0 THEN 0 ELSE shipment_count END AS shipment_count,
+  total_freight_cost_inr, total_tonne_km, CASE WHEN day(week_of) % 13 = 0 THEN -cost_per_tonne_km ELSE cost_per_tonne_km END AS cost_per_tonne_km FROM weekly) b"""
+
+
+@query("baseline_input_check", _verdicts({
+    "key_present": "count(*) FILTER (trim(route) = '')", "monday_week": "count(*) FILTER (isodow(week_of) <> 1)",
+    "shipments_present": "count(*) FILTER (shipment_count = 0)", "positive_finite": "count(*) FILTER (cost_per_tonne_km <= 0)",
+    "rate_formula": "count(*) FILTER (abs(cost_per_tonne_km * total_tonne_km - total_freight_cost_inr) > 1e-9 * total_freight_cost_inr)",
+    "unique_key": "count(*) - count(DISTINCT (route, route_type, week_of))"}, _BROKEN_WEEKLY))
 def _(spark, sf):
-    return dq.baseline_input_check(weekly_of(spark, sf))
+    day, col = F.dayofmonth("week_of"), F.col
+    broken = weekly_of(spark, sf).select("*", day.alias("day")).withColumns({
+        "route": F.when(col("day") % 5 == 0, " ").otherwise(col("route")),
+        "week_of": F.when(col("day") % 7 == 0, F.date_add("week_of", 1)).otherwise(col("week_of")),
+        "shipment_count": F.when(col("day") % 11 == 0, 0).otherwise(col("shipment_count")),
+        "cost_per_tonne_km": F.when(col("day") % 13 == 0, -col("cost_per_tonne_km")).otherwise(col("cost_per_tonne_km"))}).drop("day")
+    return dq.baseline_input_check(broken)
 
 
 @query("comparison_input_check", passing("rate_positive", "own_baseline_positive", "peer_baseline_positive",
@@ -640,11 +666,17 @@ def _(spark, sf):
     return wk.independent_recompute(spark, w.shipments(spark, sf))
 
 
-@query("weekly_reconciliation", passing("shipment_count", "total_freight_cost_inr", "total_quantity_tonnes",
-                                        "total_tonne_km", "unique_key", "rate_formula"))
+# Against a weekly table in which some weeks are there twice and some rates are doubled.
+@query("weekly_reconciliation", _verdicts({
+    "shipment_count": "1", "total_freight_cost_inr": "1", "total_quantity_tonnes": "1", "total_tonne_km": "1",
+    "unique_key": "n_twice", "rate_formula": "n_rate"}, """(SELECT count(*) FILTER (day(week_of) % 5 = 0) AS n_twice,
+      count(*) FILTER (day(week_of) % 7 = 0) + count(*) FILTER (day(week_of) % 35 = 0) AS n_rate FROM weekly) b"""))
 def _(spark, sf):
     shipments = w.shipments(spark, sf)
-    return wk.weekly_reconciliation(shipments, wk.weekly_route_metrics(shipments))
+    day = F.dayofmonth("week_of")
+    weekly = wk.weekly_route_metrics(shipments).withColumn(
+        "cost_per_tonne_km", F.when(day % 7 == 0, 2 * F.col("cost_per_tonne_km")).otherwise(F.col("cost_per_tonne_km")))
+    return wk.weekly_reconciliation(shipments, weekly.unionByName(weekly.where(day % 5 == 0)))
 
 
 @query("weekly_summary", """
