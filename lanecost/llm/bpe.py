@@ -29,11 +29,11 @@ from .common import bounded_batches, gather
 #: Pieces up to this many bytes are merged in matrices.
 LONG = 128
 #: Cells of one matrix.
-CELLS = 1 << 20
+CELLS = 1 << 19
 #: Distinct units a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Units taken at a time.
-PIECES = 500_000
+PIECES = 200_000
 _WIDE_SPACE = re.compile(r" (?:\s|\Z)")
 _NONE = np.int64(1 << 40)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -74,22 +74,28 @@ class PairTable:
         return out
 
 
-class Vocabulary:
-    """Ranks of a tiktoken file, the pair table, and the store of units met so far."""
+class Tokens:
+    """The bytes of the tokens of a tiktoken file, as one array; all that decoding needs."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
-            ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}
-        self.ranks = ranks
-        size = max(ranks.values()) + 1
-        tokens = [b""] * size
-        for token, i in ranks.items():
+            self.ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}
+        tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, i in self.ranks.items():
             tokens[i] = token
-        if any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError(f"{path} lacks some of the 256 single bytes")
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+
+class Vocabulary(Tokens):
+    """With the pair table, and the store of units met so far."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        ranks = self.ranks
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError(f"{path} lacks some of the 256 single bytes")
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         keys, values = [], []
         for token, i in ranks.items():
@@ -220,6 +226,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str) -> Tokens:
+    return Tokens(path)
+
+
 @functools.lru_cache(maxsize=2)
 def splitter(pattern: str) -> regex.Pattern:
     # white space as the tiktoken library's engine defines it
@@ -306,7 +317,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", into: str = "d
     schema = T.StructType([*kept.schema.fields, T.StructField(into, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = token_bytes(path)
         for batch in batches:
             lists = batch.column(ids)
             counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
