@@ -178,8 +178,10 @@ def _judged(rows: DataFrame) -> DataFrame:
     """``rows`` whose core occurs more than once, with settled (their span does) and split (to
     be ranked again; of equal spans one is enough). Instead of core and span."""
     mark = F.xxhash64("k1", "k2", "anchor", "near")
-    spans = rows.groupBy("core", "span").agg(F.count(F.lit(1)).alias("places"), F.min(mark).alias("least"))
-    cores = spans.groupBy("core").agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("places") == 1).alias("open"))
+    # written, so that the joins have plain exchanges on both sides and a core of very many
+    # spans can be split
+    spans = written(rows.groupBy("core", "span").agg(F.count(F.lit(1)).alias("places"), F.min(mark).alias("least")))
+    cores = written(spans.groupBy("core").agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("places") == 1).alias("open")))
     shared = spans.join(cores, "core").where("places > 1 or spans > 1")
     verdict = shared.select("core", "span", (F.col("places") > 1).alias("settled"), "least",
                             ((F.col("spans") > 1) & (F.col("open") > 0)).alias("more"))
@@ -192,7 +194,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     ``length`` bytes are all repeated. Ranges overlap; all removed bytes are in one."""
     bounded_batches(docs.sparkSession)
     first = written(docs.mapInArrow(_anchors_of(length, seed), _ANCHOR))
-    again = first.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    again = written(first.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
     shared = written(first.join(again, "core"))
     judged = written(_judged(shared.withColumn("own", F.lit(True))))
     done = [judged]
