@@ -29,11 +29,11 @@ from .common import bounded_batches, gather
 #: Pieces up to this many bytes are merged in matrices.
 LONG = 128
 #: Cells of one matrix.
-CELLS = 1 << 19
+CELLS = 1 << 18
 #: Distinct units a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Units taken at a time.
-PIECES = 200_000
+PIECES = 100_000
 _WIDE_SPACE = re.compile(r" (?:\s|\Z)")
 _NONE = np.int64(1 << 40)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -306,6 +306,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             column = pa.ListArray.from_arrays(
                 pa.array(offsets), pa.array(values), type=pa.list_(pa.field("element", pa.int32(), False)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
+        vocabulary(path).forget()  # the worker may serve other stages next
 
     return kept.mapInArrow(run, schema)
 
