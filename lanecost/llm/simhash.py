@@ -98,10 +98,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     return marked.join(table, "fp").select("doc_id", "body", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes=groups, **settings) -> DataFrame:
     """``docs`` with one row per near-duplicate class: one of those with the smallest doc_id, the
     least by fingerprint and text hash; equal rows are interchangeable."""
-    first = groups(docs, doc_id, text, **settings).where("doc_id <=> component_id")
+    first = classes(docs, doc_id, text, **settings).where("doc_id <=> component_id")
     rows = first.groupBy("root", "component_id", "fp", "body").agg(F.count(F.lit(1)).alias("rows"))
     least = F.min_by(F.struct("body", "rows"), F.struct("fp", "body")).alias("least")
     chosen = written(rows.groupBy("root", "component_id").agg(least).select(
