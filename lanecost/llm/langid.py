@@ -25,6 +25,8 @@ UNKNOWN = "und"
 #: Bytes of text compressed at a time.
 BLOCK = 1024
 LEVEL = 5
+#: A label that gathered less than this share of the richest label's bytes has no say in the others' room.
+LEAST_SHARE = 0.25
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", passages: int = 400,
@@ -39,11 +41,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", passages: i
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"))
     # a written table, one row per label: its size is known, so the texts need not be shuffled by label
-    have = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
-    # a hash below this share leaves about four times the passages, a bounded number per language
+    have = written(rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")))
+    # a hash below this share leaves about four times the passages, a bounded number of texts per language;
+    # an estimate of the texts will do, since the least draws are taken of what is left
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = rows.join(have, "lang").withColumn("draw", draw).where(
-        F.col("draw") * F.col("rows") < 4.0 * passages)
+        F.col("draw") * F.col("texts") < 4.0 * passages)
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - passage_chars) / 2).cast("int") + 1)
     some = few.select("lang", "draw", F.substring(F.col("text"), middle, F.lit(passage_chars)).alias("passage")).distinct()
     order = Window.partitionBy("lang").orderBy("draw", "passage")
@@ -51,9 +54,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", passages: i
     found: dict[str, list[str]] = {}
     for row in some.orderBy("lang", "place").toLocalIterator():
         found.setdefault(row.lang, []).append(row.passage)
-    # what lies last in a dictionary is cheapest to refer to, and all languages get the same room
-    room = min([dictionary_bytes, *(sum(len(p.lower().encode()) + 1 for p in v) for v in found.values())])
-    return {k: "\n".join(v).lower().encode()[:room] for k, v in sorted(found.items())}
+    gathered = {k: "\n".join(v).lower().encode()[:dictionary_bytes] for k, v in sorted(found.items())}
+    # what lies last in a dictionary is cheapest to refer to, and all languages get the same room; a label far
+    # poorer than the richest does not shrink the others and is filled up in front, since zstandard treats
+    # small dictionaries differently
+    richest = max(map(len, gathered.values()), default=0)
+    room = min((len(d) for d in gathered.values() if len(d) >= LEAST_SHARE * richest), default=0)
+    return {k: d[:room].rjust(room, b"\n") for k, d in gathered.items()}
 
 
 @functools.lru_cache(maxsize=8)
