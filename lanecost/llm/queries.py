@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, imatch, kdsearch, langid, linededup, mixing, secrets, simhash, suffixdedup, tokencount
+from . import bpe, chosenpaths, collocations, imatch, kdsearch, langid, linededup, maskrank, mixing, secrets, simhash, suffixdedup, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,18 @@ def simhash_groups(spark, sf_dir):
 @query("op10_suffix_dedup")
 def suffix_dedup(spark, sf_dir):
     return suffixdedup.digests(documents(spark, sf_dir))
+
+
+@query("op11_mask_ranking", maskrank.ORACLE)
+def mask_ranking(spark, sf_dir):
+    return maskrank.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
+
+
+@query("op12_collocations", collocations.oracle(100, 2000))
+def phrase_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+@query("op13_chosen_paths", chosenpaths.ORACLE)
+def chosen_path_groups(spark, sf_dir):
+    return chosenpaths.groups(documents(spark, sf_dir))
