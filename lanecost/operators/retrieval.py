@@ -1,9 +1,9 @@
 """Sparse and dense top-k retrieval, rank fusion and its quality measures.
 
-Scoring every query against every document is what the operators mean (a document
-with score zero still has a rank), but the pairs are never materialised: both sides
-are dealt into bounded blocks, a task multiplies one block pair as a matrix and
-emits k rows per query, and a second top-k merges the blocks.
+Every document has a rank for every query (one with score zero still has), but neither channel
+scores all pairs: the sparse one reads an impact-ordered inverted index (``inverted``), the dense
+one a cover of balls (``metric``). Both are exact. ``block_top_k`` is the plain product of
+bounded blocks that the tests hold them against.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.expressions import with_scalars
 from ..schemas import RetrievalPolicy
+from ..session import cut_lineage
+from . import inverted, metric
 
 # Maximal runs of at least two word characters of any script.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -141,7 +143,7 @@ def top_k_notes(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_top_k(queries: DataFrame, docs: DataFrame, kind: str, policy: RetrievalPolicy,
+def block_top_k(queries: DataFrame, docs: DataFrame, kind: str, policy: RetrievalPolicy,
                  counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     k, digits = policy.top_k, policy.score_digits
     schema = T.StructType([
@@ -179,29 +181,18 @@ def tfidf_sparse(queries: DataFrame, docs: DataFrame, query_cols=("id", "text"),
                  doc_cols=("id", "text"), policy: RetrievalPolicy = RetrievalPolicy()) -> DataFrame:
     """(query_id, doc_id, score, rank): first k by TF-IDF dot product."""
     q, d = sparse_sides(queries, docs, query_cols, doc_cols)
-    return _block_top_k(q, d, "sparse", policy, (queries, docs))
+    return inverted.top_k(q, d, policy.top_k, policy.score_digits)
 
 
 def query_note_cross(queries: DataFrame, docs: DataFrame, query_cols=("id", "text"),
                      doc_cols=("id", "text"), policy: RetrievalPolicy = RetrievalPolicy()) -> DataFrame:
     """What the full product holds per query: documents scored, zero scores, best score."""
-    q, d = sparse_sides(queries, docs, query_cols, doc_cols)
-    schema = T.StructType([
-        T.StructField("query_id", q.schema["id"].dataType),
-        T.StructField("scored", T.LongType()), T.StructField("zero_scores", T.LongType()),
-        T.StructField("best_score", T.DoubleType())])
-
-    digits = policy.score_digits
-
-    def summary(q_ids, d_ids, scores):
-        rounded = np.round(scores, digits)
-        return pd.DataFrame({
-            "query_id": q_ids, "scored": rounded.shape[1],
-            "zero_scores": (rounded == 0).sum(axis=1), "best_score": rounded.max(axis=1)})
-
-    return block_product(q, d, "sparse", summary, schema, policy.block_rows, (queries, docs)).groupBy("query_id").agg(
-        F.sum("scored").alias("scored"), F.sum("zero_scores").alias("zero_scores"),
-        F.max("best_score").alias("best_score"))
+    q, d = (cut_lineage(side) for side in sparse_sides(queries, docs, query_cols, doc_cols))
+    best = inverted.top_k(q, d, 1, policy.score_digits).select("query_id", F.col("score").alias("best_score"))
+    scored = d.agg(F.count(F.lit(1)).alias("scored"))
+    per = q.select(F.col("id").alias("query_id")).join(inverted.matches(q, d), "query_id", "left").join(best, "query_id")
+    return with_scalars(per, scored).select(
+        "query_id", "scored", (F.col("scored") - F.coalesce("matched", F.lit(0))).alias("zero_scores"), "best_score")
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, dimension: DataFrame | None = None) -> DataFrame:
@@ -222,8 +213,9 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, dimension: Da
 def dense_cosine(queries: DataFrame, docs: DataFrame, query_cols=("id", "vector"),
                  doc_cols=("id", "vector"), policy: RetrievalPolicy = RetrievalPolicy()) -> DataFrame:
     """(query_id, doc_id, score, rank): first k by cosine. Vectors are an input."""
-    return _block_top_k(
-        unit_vectors(queries, *query_cols), unit_vectors(docs, *doc_cols), "dense", policy)
+    hits, _ = metric.search(
+        unit_vectors(queries, *query_cols), unit_vectors(docs, *doc_cols), policy.top_k, policy.score_digits, policy.block_rows)
+    return hits
 
 
 # --- fusion -------------------------------------------------------------------------

@@ -23,7 +23,7 @@ from .pipeline import Analysis, analyse
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 K = "route, route_type, week_of"
-SCORES = RetrievalPolicy(score_digits=9)
+SCORES = RetrievalPolicy()
 
 
 def query(name: str, sql: str | None = None):

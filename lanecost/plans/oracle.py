@@ -282,7 +282,7 @@ SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM (
 CTE["idf"] = """
 SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM d_terms GROUP BY term"""
 CTE["sparse_scores"] = """
-SELECT item_id AS query_id, d.doc_id, round(coalesce(s, 0), 9) AS score FROM benchmark CROSS JOIN (SELECT doc_id FROM documents) d
+SELECT item_id AS query_id, d.doc_id, round(coalesce(s, 0), 12) AS score FROM benchmark CROSS JOIN (SELECT doc_id FROM documents) d
 LEFT JOIN (SELECT a.id AS qid, b.id AS did, sum(a.weight * b.weight) AS s FROM q_weights a JOIN d_weights b USING (term)
            GROUP BY ALL) p ON qid = item_id AND did = d.doc_id"""
 CTE["sparse_top"] = """
@@ -293,7 +293,7 @@ SELECT vec_id, label, list_transform(v, lambda e: e / n) AS u FROM (
   SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda e: e * e))) AS n
   FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) a) b"""
 CTE["dense_scores"] = """
-SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.u, b.u), 9) AS score, a.label = b.label AS relevant
+SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.u, b.u), 12) AS score, a.label = b.label AS relevant
 FROM unit a CROSS JOIN unit b"""
 CTE["dense_top"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense_scores) t

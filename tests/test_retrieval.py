@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from lanecost.operators import retrieval as rt
+from lanecost.operators import inverted, metric, retrieval as rt
 from lanecost.schemas import RetrievalPolicy
 
 WORDS = ["freight", "cost", "week", "route", "a", "über", "flood", "toll", "x1", "rise", "no_op", "42"]
@@ -91,3 +91,73 @@ def test_fusion_and_metrics(spark):
     m = rt.retrieval_metrics(fused.withColumnRenamed("fused_rank", "place"), relevance, "place").first()
     assert (m.labelled_queries, m.recall_at_1, m.recall_at_3) == (2, 0.0, 0.25)
     assert m.mean_reciprocal_rank == pytest.approx(1 / 6)
+
+
+def common_texts(spark, seed, n, prefix):
+    """Texts with very frequent and rare words, repeated texts and texts without a word."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        rare = [f"rare{rng.randrange(60)}" for _ in range(rng.randrange(3))]
+        often = rng.choices(WORDS, weights=[2 ** -k for k in range(len(WORDS))], k=rng.randrange(12))
+        rows.append((f"{prefix}{i:04d}", " ".join(rng.sample(often + rare, len(often + rare)))))
+    return spark.createDataFrame(rows + [(f"{prefix}x{i}", rows[3][1]) for i in range(9)], "id string, text string")
+
+
+def hits(df):
+    return sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_inverted_index_equals_the_product_of_all_pairs(spark, k, monkeypatch):
+    monkeypatch.setattr(inverted, "BLOCK", 16)  # frequent terms are dealt over several blocks
+    monkeypatch.setattr(inverted, "FIRST_READ", 2)
+    queries, docs = common_texts(spark, 5, 30, "q"), common_texts(spark, 6, 300, "d")
+    policy = RetrievalPolicy(top_k=k, block_rows=64)
+    q, d = rt.sparse_sides(queries, docs)
+    assert hits(rt.tfidf_sparse(queries, docs, policy=policy)) == hits(rt.block_top_k(q, d, "sparse", policy))
+
+
+def test_inverted_index_reads_less_than_all_postings(spark):
+    q, d = rt.sparse_sides(common_texts(spark, 7, 20, "q"), common_texts(spark, 8, 2000, "d"))
+    index = inverted.build(d)
+    bands = inverted.asked_bands(inverted.exploded(q, "query_id", "qw"), index)
+    row = inverted.work(bands, inverted.kept_bands(bands, inverted.floors(bands, index, 5))).first()
+    assert row.postings_read < row.postings / 2
+
+
+def test_bitmaps_count_documents_that_share_a_term(spark):
+    queries, docs = common_texts(spark, 9, 10, "q"), common_texts(spark, 10, 80, "d")
+    rows = {r.query_id: r for r in rt.query_note_cross(queries, docs).collect()}
+    of = {r.id: set(grams(r.text)) for r in docs.collect()}
+    for r in queries.collect():
+        assert (rows[r.id].scored, rows[r.id].zero_scores) == (89, sum(not of[d] & set(grams(r.text)) for d in of))
+
+
+def test_an_empty_side_gives_no_hits(spark):
+    some, none = common_texts(spark, 11, 5, "q"), spark.createDataFrame([], "id string, text string")
+    assert not rt.tfidf_sparse(some, none).collect() and not rt.tfidf_sparse(none, some).collect()
+    vectors, empty = spark.createDataFrame([("a", [1.0])], "id string, vector array<double>"), spark.createDataFrame([], "id string, vector array<double>")
+    assert not rt.dense_cosine(vectors, empty).collect() and not rt.dense_cosine(empty, vectors).collect()
+
+
+def clustered(spark, seed, n, prefix):
+    """Vectors around a few directions, some exactly equal, one direction with a third of all."""
+    rng = random.Random(seed)
+    centres = [[random.Random(c).gauss(0, 1) for _ in range(6)] for c in range(8)]
+    rows = []
+    for i in range(n):
+        c = centres[0 if i % 3 == 0 else rng.randrange(8)]
+        rows.append((f"{prefix}{i:04d}", list(c) if i % 3 == 0 else [x + rng.gauss(0, 0.05) for x in c]))
+    return spark.createDataFrame(rows, "id string, vector array<double>")
+
+
+@pytest.mark.parametrize("block_rows", [16, 2048])
+def test_ball_cover_equals_the_product_of_all_pairs(spark, block_rows):
+    queries, docs = clustered(spark, 1, 40, "q"), clustered(spark, 2, 500, "d")
+    policy = RetrievalPolicy(top_k=7, block_rows=block_rows)
+    q, d = rt.unit_vectors(queries, "id", "vector"), rt.unit_vectors(docs, "id", "vector")
+    found, work = metric.search(q, d, policy.top_k, policy.score_digits, block_rows)
+    assert hits(found) == hits(rt.block_top_k(q, d, "dense", policy))
+    row = work.first()
+    assert 0 < row.cells_visited < row.cells / 2
