@@ -1,9 +1,10 @@
 """Line dedup by site-relative frequency.
 
 A line is boilerplate on a host when more than ``ratio`` of the host's pages contain it, and
-at least ``min_pages`` pages do. Counting shuffles one row per distinct (host, line) of a map
-task, keyed by the digest of the line, so neither a hot host nor a common line meets in one
-task. The flagged lines of a host are an array; since the shares of a host's lines add up to
+at least ``min_pages`` pages do. Pages of equal text count once, in both numbers: copies of a story
+are not boilerplate of its site. They are merged by the digest of the text first, as digests
+of lines; then counting shuffles one row per distinct (host, line) of a task, so neither a hot host, a
+much copied page nor a common line meets in one task. The flagged lines of a host are an array; since the shares of a host's lines add up to
 its mean number of distinct lines per page, it holds at most (that mean / ratio) digests,
 whatever the number of pages. It is joined by host; Spark broadcasts it only if the written
 table is measured to be small and otherwise splits a skewed host.
@@ -22,10 +23,11 @@ def _lines(text: Column) -> Column:
 
 def boilerplate(pages: DataFrame, text: str, host: str, ratio: float, min_pages: int) -> DataFrame:
     """One row per host with flagged lines: host, digests, pages. Blank lines are never flagged."""
-    slim = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = slim.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    held = slim.select("host", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
-    counts = held.where(F.trim("line") != "").groupBy("host", F.md5(F.col("line").cast("binary")).alias("digest")).agg(
+    line = F.transform(F.filter(F.array_distinct(_lines(F.col(text))), lambda x: F.trim(x) != ""), lambda x: F.md5(x.cast("binary")))
+    slim = pages.select(F.col(host).alias("host"), F.md5(F.col(text).cast("binary")).alias("page"), line.alias("lines"))
+    distinct = written(slim.groupBy("host", "page").agg(F.first("lines").alias("lines")))
+    totals = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = distinct.select("host", F.explode("lines").alias("digest")).groupBy("host", "digest").agg(
         F.count(F.lit(1)).alias("holding")).where(F.col("holding") >= min_pages)
     totals, counts = totals.alias("t"), counts.alias("c")
     common = counts.join(totals, F.col("c.host").eqNullSafe(F.col("t.host"))).where(
@@ -39,8 +41,8 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
 
     ``text`` keeps its other lines in order; ``n_lines`` and ``n_dropped`` are added (and
     replace columns of these names). A null text stays null, with 0 lines; an empty text has
-    one blank line. Null hosts are a host of their own. Repeated rows count as pages of their
-    own. A text that only holds boilerplate becomes empty, its row stays.
+    one blank line. Null hosts are a host of their own. Repeated rows and equal texts of a host count as
+    one page, all null texts too. A text that only holds boilerplate becomes empty, its row stays.
     """
     flagged = written(boilerplate(pages, text, host, ratio, min_pages))
     site, digests = fresh("site"), fresh("digests")
@@ -59,9 +61,9 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
 def oracle(ratio: float, min_pages: int) -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-t AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+t AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
 c AS (SELECT source, line, count(*) AS holding
-      FROM (SELECT DISTINCT k, source, unnest(lines) AS line FROM d) WHERE trim(line) <> '' GROUP BY source, line),
+      FROM (SELECT DISTINCT source, text, unnest(lines) AS line FROM d) WHERE trim(line) <> '' GROUP BY source, line),
 b AS (SELECT c.source, list(line) AS flagged FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
       WHERE holding >= {min_pages} AND holding > {ratio}::DOUBLE * pages GROUP BY c.source),
 j AS (SELECT d.*, list_filter(lines, lambda x: NOT list_contains(coalesce(flagged, []::VARCHAR[]), x)) AS kept

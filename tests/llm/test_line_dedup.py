@@ -7,7 +7,7 @@ from .helpers import odd_rows, table
 
 def brute(rows, ratio, least):
     pages, holding = Counter(), Counter()
-    for _, text, _, host in rows:
+    for text, host in {(text, host) for _, text, _, host in rows}:
         pages[host] += 1
         if text is not None:
             for line in set(text.split("\n")):
@@ -47,3 +47,11 @@ def test_hot_host_and_empty_table(spark):
     check(spark, [(k, "same\n" + str(k), "en", "hot" if k < 900 else "other") for k in range(1000)], 0.5, 5)
     assert drop_boilerplate(table(spark, [])).count() == 0
 
+
+
+def test_copies_of_a_page_are_not_boilerplate(spark):
+    rows = [(k, f"footer\nown {k}", "en", "h") for k in range(100)]
+    rows += [(200 + k, f"story {k // 6}\ntold at length {k // 6}", "en", "h") for k in range(12)]
+    check(spark, rows, 0.03, 5)
+    out = {r.doc_id: r.text for r in drop_boilerplate(table(spark, rows), ratio=0.03, min_pages=5).collect()}
+    assert out[200] == "story 0\ntold at length 0" and out[7] == "own 7"
