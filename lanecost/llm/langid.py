@@ -4,7 +4,9 @@ Fitting gathers a bounded number of passages per language into a raw-content zst
 dictionary. A text is cut into blocks, each block is compressed once with every
 dictionary, case folded, and the language whose blocks are smallest in total wins. Long texts are cut
 so that their own repetitions don't outweigh what the dictionary knows; every block of the
-whole text counts. Narrow margins and texts without letters are rejected.
+whole text counts. Languages keep dictionaries of different sizes, and a larger one makes any text
+smaller; what a dictionary saves on text of the other languages is therefore taken off first,
+measured on their dictionaries. Narrow margins and texts without letters are rejected.
 
 Prediction is a map over partitions; the dictionaries, at most ``languages x dictionary_bytes``,
 travel with the function.
@@ -25,8 +27,6 @@ UNKNOWN = "und"
 #: Bytes of text compressed at a time.
 BLOCK = 1024
 LEVEL = 5
-#: A label that gathered less than this share of the richest label's bytes has no say in the others' room.
-LEAST_SHARE = 0.25
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", passages: int = 400,
@@ -54,13 +54,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", passages: i
     found: dict[str, list[str]] = {}
     for row in some.orderBy("lang", "place").toLocalIterator():
         found.setdefault(row.lang, []).append(row.passage)
-    gathered = {k: "\n".join(v).lower().encode()[:dictionary_bytes] for k, v in sorted(found.items())}
-    # what lies last in a dictionary is cheapest to refer to, and all languages get the same room; a label far
-    # poorer than the richest does not shrink the others and is filled up in front, since zstandard treats
-    # small dictionaries differently
-    richest = max(map(len, gathered.values()), default=0)
-    room = min((len(d) for d in gathered.values() if len(d) >= LEAST_SHARE * richest), default=0)
-    return {k: d[:room].rjust(room, b"\n") for k, d in gathered.items()}
+    return {k: "\n".join(v).lower().encode()[:dictionary_bytes] for k, v in sorted(found.items())}
 
 
 @functools.lru_cache(maxsize=8)
@@ -81,16 +75,30 @@ def sizes(text: str, compressors: list[zstandard.ZstdCompressor]) -> list[int]:
     return [sum(len(c.compress(b)) for b in blocks) for c in compressors]
 
 
+@functools.lru_cache(maxsize=8)
+def offsets(dictionaries: tuple[tuple[str, bytes], ...]) -> list[float]:
+    """Compressed bytes per byte of the other languages' sample with each dictionary; 0 without others."""
+    compressors = _compressors(dictionaries)
+    out = []
+    for k, compressor in enumerate(compressors):
+        others = [data[i : i + BLOCK] for j, (_, data) in enumerate(dictionaries) if j != k for i in range(0, len(data), BLOCK)]
+        held = sum(map(len, others))
+        out.append(sum(len(compressor.compress(x)) for x in others) / held if held else 0.0)
+    return out
+
+
 def judge(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], min_margin: float) -> tuple[str, float, bool]:
     """(language, score, rejected). The score is the lead over the second language, as a
-    share of the second's size; with one language it is 1."""
+    share of the second's size and at most 1; with one language it is 1."""
     if text is None or not dictionaries or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
-    found = sorted(zip(sizes(text, _compressors(dictionaries)), (k for k, _ in dictionaries), strict=True))
+    size = sizes(text, _compressors(dictionaries))
+    length = len(text.lower().encode())
+    found = sorted((n - o * length, k, n) for n, o, (k, _) in zip(size, offsets(dictionaries), dictionaries, strict=True))
     if len(found) == 1:
         return found[0][1], 1.0, False
-    (best, lang), (second, _) = found[:2]
-    score = (second - best) / second
+    (best, lang, _), (second, _, whole) = found[:2]
+    score = min(1.0, (second - best) / whole)
     return lang, score, score < min_margin
 
 
