@@ -46,11 +46,11 @@ CLASSES = (
     CharacterClass("entropy_upper", "0-9A-Z", 20, 20, 3.5),
     CharacterClass("entropy_base64", "A-Za-z0-9+/_=-", 24, 24, 3.9),
 )
-#: Harmless whatever their entropy: alphabets in order, examples, paths and compound words.
-ALLOWED = (
-    r"(?i)0123456789abcdef|abcdefghijklmnopqrst|qwertyuiop",
-    r"(?i)example|placeholder|changeme|dummy|x{6}",
-    r"^/?[A-Za-z]+([/_-]+[A-Za-z]+)+$",
+#: Harmless parts, cut out of a candidate before the rest is judged: alphabets in order, examples.
+HARMLESS_PARTS = r"(?i)0123456789abcdef|abcdefghijklmnopqrst|qwertyuiop|example|placeholder|changeme|dummy|x{6}"
+#: Harmless as a whole, a candidate or what is left of it: paths and compound words.
+HARMLESS = (
+    r"^[/_-]*[A-Za-z]+([/_-]+[A-Za-z]+)+[/_-]*$",
     r"^[A-Z]?[a-z]+$|^[A-Z]+$",
 )
 #: Characters of a section of a candidate.
@@ -110,13 +110,16 @@ def peak_entropy(found: Column, window: int) -> Column:
     return F.coalesce(F.array_max(F.transform(sections, in_section)), F.lit(-1.0))
 
 
-def entropy_spans(text: Column, classes: Sequence[CharacterClass], allowed: Sequence[str]) -> list[Column]:
-    """Spans of each class: start, end, found."""
+def entropy_spans(text: Column, classes: Sequence[CharacterClass], parts: str, allowed: Sequence[str]) -> list[Column]:
+    """Spans of each class: start, end, found. A window counts only if it is free of harmless parts."""
     def harmless(found: Column) -> Column:
         return _any([found.rlike(p) for p in allowed])
 
     def flagged(c: CharacterClass):
-        return lambda s: ~harmless(s["found"]) & (peak_entropy(s["found"], c.window) >= c.bits)
+        def judged(s: Column) -> Column:
+            left = F.filter(F.split(s["found"], parts, -1), lambda x: (F.length(x) >= c.window) & ~harmless(x))
+            return ~harmless(s["found"]) & F.exists(left, lambda x: peak_entropy(x, c.window) >= c.bits)
+        return judged
 
     return [F.filter(matches(text, f"[{c.characters}]{{{c.least},}}"), flagged(c)) for c in classes]
 
@@ -129,14 +132,14 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "secrets", classes: Sequence[CharacterClass] = CLASSES,
-         allowed: Sequence[str] = ALLOWED) -> DataFrame:
+         parts: str = HARMLESS_PARTS, allowed: Sequence[str] = HARMLESS) -> DataFrame:
     """``docs`` with an array of spans: start, end, place (of the kind in the list of kinds), kind,
     found; sorted by start, then kind. A null or empty text has none. Repeated rows are
     scanned each; a column named ``into`` is replaced.
     """
     source = F.coalesce(F.col(text), F.lit(""))
     kinds = [*BASE_KINDS, *(c.kind for c in classes)]
-    spans = [assignments(source), matches(source, ACCESS), matches(source, HEX), *entropy_spans(source, classes, allowed)]
+    spans = [assignments(source), matches(source, ACCESS), matches(source, HEX), *entropy_spans(source, classes, parts, allowed)]
     def named(place: int):
         return lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"), F.lit(place).alias("place"),

@@ -15,7 +15,8 @@ TEXTS = [
     "password = hunter22 token:abc secret:'abcdef' é API_KEY=\"Zz9+/=\"", "password: token: abcdefgh", "token=secret=abcdefg",
     "AKIA" + "B" * 16 + " AKIA123 xAKIAAKIA" + "Q" * 14, "日本 " + "0123456789abcdef" * 2 + " deadbeef" * 2, "a" * 40, "Deadbeef" + "a1" * 12,
     f"key {RANDOM} end", "0123456789abcdefghijklmnopqrstuvwxyz", "path/to/some/very/long/directory/name", f"example-{RANDOM}",
-    "secret", "secret=", "secret= \n abcdefgh", "passwordpasswd:=abcdefgh", RANDOM * 40]
+    "secret", "secret=", "secret= \n abcdefgh", "passwordpasswd:=abcdefgh", RANDOM * 40,
+    f"{RANDOM}/example", f"example{RANDOM}dummy{RANDOM[::-1]}", "example/" + "dummy_" * 9, RANDOM[:14] + "example" + RANDOM[14:]]
 
 
 def entropy(part):
@@ -30,8 +31,10 @@ def brute(text):
     for place, c in enumerate(secrets.CLASSES, 3):
         for m in re.finditer(f"[{c.characters}]+", text):
             run = m[0]
-            if len(run) >= c.least and not any(re.search(p, run) for p in secrets.ALLOWED) and max(
-                    entropy(run[i : i + c.window]) for i in range(len(run) - c.window + 1)) >= c.bits - 1e-9:
+            harmless = lambda x: any(re.search(p, x) for p in secrets.HARMLESS)
+            left = [x for x in re.split(secrets.HARMLESS_PARTS, run) if len(x) >= c.window and not harmless(x)]
+            if len(run) >= c.least and not harmless(run) and max(
+                    (entropy(x[i : i + c.window]) for x in left for i in range(len(x) - c.window + 1)), default=-1) >= c.bits - 1e-9:
                 spans.append((m.start(), place, m.end(), c.kind))
     return base, [f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)]
 
@@ -46,6 +49,9 @@ def test_matches_brute_force(spark):
         want.add((i, ",".join(spans), hashlib.sha256(",".join(base).encode()).hexdigest(), count["assign"], count["access"], count["hex"]))
     assert got == want
     assert any("entropy_base64" in g[1] for g in got)
+    # a secret glued to a harmless word is found, the word by itself is not
+    spans = {TEXTS[i - 50]: s for i, s, *_ in got if i and i >= 50}
+    assert spans[f"{RANDOM}/example"] == f"entropy_base64:0:{len(RANDOM) + 8}" and spans["example/" + "dummy_" * 9] == ""
 
 
 def test_rows_and_columns_stay(spark):
