@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import with_scalars
-from .common import written
+from .common import fresh, written
 
 #: Rows wanted in a bucket, and the most buckets of a source or of the virtual time.
 BUCKET_ROWS, BUCKETS = 1000, 100_000
@@ -75,7 +75,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"),
         F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary")).alias("draw"),
         F.xxhash64(text).alias("body"), *[F.col(c).alias(f"carry_{c}") for c in carry])
-    sized = inputs if carry else written(inputs)
+    sized = written(inputs)
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = written(sources)
     named = cycle_weights(sources.select("source"), weights).withColumnRenamed("source", "named")
@@ -92,9 +92,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
         Window.unboundedPreceding, Window.currentRow)
     queued = rows.withColumn("own", F.sum("size").over(inside)).join(sums, ["place", "bucket"]).withColumn(
         "upto", F.col("ahead") + F.col("own")).drop("own", "ahead", "bucket", "draw", "body")
-    if not carry:
-        queued = written(queued)
-    return _cut(queued, sources, repeats, carry)
+    return _cut(written(queued), sources, repeats, carry)
 
 
 def _entry(k: int) -> Column:
@@ -144,13 +142,16 @@ def _cut(queued: DataFrame, sources: DataFrame, repeats: int, carry: tuple[str,
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, globally sorted by
     virtual finish time. Takes the settings of :func:`plan_mix`."""
-    columns = docs.columns
-    taken = plan_mix(docs, carry=tuple(columns), **settings).where("rounds > 0")
+    # the rows get numbers in a written copy, the plan is made of numbers, and the texts join it once
+    row = fresh("row")
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = plan_mix(held, carry=(row,), **settings).where("rounds > 0")
     entry = F.explode(F.sequence(F.lit(0), F.col("rounds").cast("int") - 1)).alias("round")
-    finish = (F.col("finish") + F.col("round") * F.col("source_size") / F.col("weight")).alias("virtual_finish")
-    copies = taken.select("*", entry).select(finish, *[F.col(f"carry_{c}") for c in columns])
-    ordered = copies.repartitionByRange("virtual_finish", "carry_doc_id" if "doc_id" in columns else "virtual_finish")
-    return ordered.sortWithinPartitions("virtual_finish").select(*[F.col(f"carry_{c}").alias(c) for c in columns])
+    finish, at = fresh("finish"), fresh("at")
+    entries = written(taken.select("finish", "source_size", "weight", F.col(f"carry_{row}").alias(at), entry).select(
+        at, (F.col("finish") + F.col("round") * F.col("source_size") / F.col("weight")).alias(finish)))
+    copies = held.join(entries, F.col(row) == F.col(at))
+    return copies.repartitionByRange(finish, at).sortWithinPartitions(finish, at).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
