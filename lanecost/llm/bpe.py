@@ -21,13 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded_batches, gather
+from .common import bounded_batches, fresh, gather
 
 #: Pieces up to this many bytes are merged in matrices.
 LONG = 128
+#: Texts encoded and checked at a time.
+CHECKED_ROWS = 500
 #: Cells of one matrix.
 CELLS = 1 << 18
 #: Distinct units a worker remembers before it starts afresh.
@@ -321,19 +324,50 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", into: str = "d
         vocab = token_bytes(path)
         for batch in batches:
             lists = batch.column(ids)
-            counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-            which = np.asarray(lists.flatten(), np.int64)
-            size = vocab.lengths[which]
-            data = gather(vocab.bytes, vocab.starts[which], size)
-            ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            column = pa.BinaryArray.from_buffers(
-                pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+            column = _decoded(vocab, np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths().fill_null(0), np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, into])
 
     return kept.mapInArrow(run, schema)
 
 
+def _decoded(vocab: Tokens, which: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Bytes that the ids stand for, ``counts`` ids each."""
+    size = vocab.lengths[which]
+    data = gather(vocab.bytes, vocab.starts[which], size)
+    ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids",
+                   into: str = "round_trip") -> DataFrame:
+    """``docs`` without ``text``, with its token ids, and whether they decode to the text, in one pass
+    of one worker a task. Null texts count as empty; columns named as the new ones are replaced."""
+    bounded_batches(docs.sparkSession)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids, into, text)], F.col(text).alias(fresh(text)))
+    held = kept.columns[-1]
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False),
+                           T.StructField(into, T.BooleanType(), False)])
+    rows = CHECKED_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                texts = batch.column(held)
+                values, counts = encode_texts(texts.to_pylist(), path, pattern)
+                same = pc.equal(_decoded(vocabulary(path), values.astype(np.int64), counts),
+                                pc.fill_null(texts.cast(pa.binary()), b""))
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                column = pa.ListArray.from_arrays(
+                    pa.array(offsets), pa.array(values), type=pa.list_(pa.field("element", pa.int32(), False)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column, same], names=[*batch.schema.names[:-1], ids, into])
+        vocabulary(path).forget()
+
+    return kept.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Number of ids, digest of the ids and digest of the decoded bytes of each document."""
     coded = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path)
