@@ -6,11 +6,12 @@ the shorter rest is counted as a correction. Every place of the corpus is thus o
 longest gram that starts there. The count of a shorter phrase is the flow that leaves it, edges
 and corrections of which it is the beginning, so no shorter gram is ever counted from text.
 
-A phrase that occurs ``least`` times holds only words and word pairs that do. Both are counted
-first, and runs are cut where a word or pair is too rare: a cut is an end like any other, so
-flows of all phrases that can reach the threshold stay exact, and rare text makes no edges.
-What is frequent is handed to the tasks as a bitmap of a fixed size; a false positive costs a
-row, not a wrong count.
+A phrase that occurs ``least`` times holds only words, pairs and triples that do. Words are counted
+first, then pairs of frequent words, then triples of frequent pairs, and from a place no gram is
+read on over a word, pair or triple that is too rare: the shorter rest is a correction like at
+any end, so flows of all phrases that can reach the threshold stay exact, and rare text makes no
+edges. These counts are by hash and only ever too large; what is frequent is handed to the tasks as a
+bitmap of a fixed size. A false positive costs a row, not a wrong count.
 
 Unary paths (nodes through which all flow comes from one edge and leaves by one edge) are
 compacted by pointer doubling to one row per path; phrases of full length are read off the
@@ -31,110 +32,125 @@ from . import wordsplit
 from .common import bounded_batches, written
 
 LONGEST = 5
-#: Bits of the bitmap that tells frequent words and pairs; a bound on what goes to the tasks (1 MB each).
+#: Sizes of the parts that are counted beforehand.
+FILTERED = 3
+#: Bits of the bitmap that tells frequent parts; a bound on what goes to the tasks (1 MB each).
 FILTER_BITS = 1 << 23
+#: Counted rows a task holds before it hands them on.
+HELD_ROWS = 400_000
 _KINDS = wordsplit.separators(b" \t", b".,;:!?\n\v\f\r")
 
 
 class Tokens:
-    """The words of a batch, numbered per language: ``ids`` per place, ``lang`` and ``word`` per number."""
+    """The words of a batch, numbered per language: ``ids`` per place, ``lang``, ``word`` and ``known`` (a
+    hash of both) per number. ``left`` is how many words a gram from a place may have, at most LONGEST."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, bitmaps: list[bytes]):
         found = wordsplit.split(batch.column("text"), _KINDS)
         langs = batch.column("lang").dictionary_encode()
         of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[found.doc] if len(found.doc) else found.doc
         self.ids, pairs = pd.factorize(of * max(1, len(found.distinct)) + found.ids)
-        self.piece = found.piece
-        self.lang = langs.dictionary.take(pa.array(pairs // max(1, len(found.distinct))))
+        self.lang = langs.dictionary.take(pa.array(pairs // max(1, len(found.distinct)))).cast(pa.string())
         self.word = found.distinct.take(pa.array(pairs % max(1, len(found.distinct))))
-
-    def hashed(self) -> np.ndarray:
         keys = pc.binary_join_element_wise(self.lang.cast(pa.large_binary()), self.word, pa.scalar(b"\t", pa.large_binary()))
-        return wordsplit.hashes(keys, 42)
-
-    def runs(self, words: bytes | None, pairs: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words of the filter, and how many words their run still has from there."""
-        known = self.hashed()
-        keep = np.flatnonzero(_in(words, known)[self.ids]) if words is not None else np.arange(len(self.ids))
-        if not len(keep):
-            return keep, keep
-        opens = np.ones(len(keep), bool)
-        opens[1:] = (np.diff(keep) != 1) | (np.diff(self.piece[keep]) != 0)
-        if pairs is not None:
-            at = np.flatnonzero(~opens)
-            both = wordsplit.pair_hashes(known[self.ids[keep[at] - 1]], known[self.ids[keep[at]]])
-            opens[at] = ~_in(pairs, both)
-        firsts = np.flatnonzero(opens)
-        ends = np.append(firsts[1:], len(keep))
-        return keep, ends[np.cumsum(opens) - 1] - np.arange(len(keep))
+        self.known = wordsplit.hashes(keys, 42)
+        n = len(self.ids)
+        ends = np.append(np.flatnonzero(np.diff(found.piece)) + 1, n) if n else np.zeros(0, np.int64)
+        piece = np.cumsum(np.diff(found.piece, prepend=found.piece[:1]) != 0)
+        self.left = np.minimum(ends[piece] - np.arange(n), LONGEST)
+        for size, bitmap in enumerate(bitmaps, 1):
+            at, hashed = self.grams(size)
+            self.left[at[~_in(bitmap, hashed)]] = size - 1
+            for _ in range(LONGEST if len(at) else 0):  # a gram reaches no further than the one from the next place
+                self.left[:-1] = np.minimum(self.left[:-1], self.left[1:] + 1)
+
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places from which a gram of ``size`` words may be read, and 32-bit hashes of these grams."""
+        at = np.flatnonzero(self.left >= size)
+        hashed = self.known[self.ids[at]]
+        for k in range(1, size):
+            hashed = wordsplit.pair_hashes(hashed, self.known[self.ids[at + k]])
+        return at, (hashed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _in(bitmap: bytes, hashed: np.ndarray) -> np.ndarray:
-    bit = (hashed % np.uint64(FILTER_BITS)).astype(np.int64)
+    bit = hashed & (FILTER_BITS - 1)
     return (np.frombuffer(bitmap, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
-_WORDS = "lang string, word string, n long"
-_PAIRS = "pair long, n long"
-_GRAMS = "lang string, size int, gram string, n long"
+def _added_up(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task with the ``n`` of equal keys added up, a bounded number at a time."""
+    held: list[pa.Table] = []
+    rows = 0
+    for table in tables:
+        held.append(table)
+        rows += table.num_rows
+        if rows > HELD_ROWS:
+            held = [_sums(held, keys)]
+            rows = held[0].num_rows
+            if rows > HELD_ROWS // 2:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if rows:
+        yield from _sums(held, keys).to_batches()
+
 
+def _sums(tables: list[pa.Table], keys: list[str]) -> pa.Table:
+    summed = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+    return summed.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).combine_chunks()
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their number; a null word carries the language's number of words."""
-    for batch in batches:
-        found = Tokens(batch)
-        n = np.bincount(found.ids, minlength=len(found.word))
-        totals = pd.Series(n).groupby(found.lang.to_pandas().to_numpy()).sum() if len(n) else pd.Series(dtype="int64")
-        yield pa.RecordBatch.from_arrays([
-            pa.concat_arrays([found.lang.cast(pa.string()), pa.array(list(totals.index), pa.string())]),
-            pa.concat_arrays([found.word.cast(pa.string()), pa.nulls(len(totals), pa.string())]),
-            pa.array(np.append(n, totals.to_numpy()).astype(np.int64))], names=["lang", "word", "n"])
+
+_PARTS = "gram int, lang string, n long"
+_GRAMS = "lang string, size int, gram string, n long"
 
 
-def _count_pairs(words):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_parts(size: int, filters: list):
+    """Hashes of the parts of ``size`` words with their number; words also give a row per language, without
+    hash, of how many there are."""
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in batches:
-            found = Tokens(batch)
-            keep, left = found.runs(words.value, None)
-            known, at = found.hashed(), keep[left > 1]
-            codes, both = pd.factorize(found.ids[at] * max(1, len(known)) + found.ids[at + 1])
-            pair = wordsplit.pair_hashes(known[both // max(1, len(known))], known[both % max(1, len(known))])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(pair.view(np.int64)), pa.array(np.bincount(codes, minlength=len(both)).astype(np.int64))], names=["pair", "n"])
-    return run
-
-
-def _count_grams(words, pairs):
-    """The longest gram from each place, counted per batch."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Tokens(batch, [f.value for f in filters])
+            gram, n = np.unique(found.grams(size)[1], return_counts=True)
+            langs, total = np.zeros(0, object), np.zeros(0, np.int64)
+            if size == 1 and len(found.ids):
+                of = found.lang.dictionary_encode()
+                total = np.bincount(of.indices.to_numpy(zero_copy_only=False)[found.ids], minlength=len(of.dictionary))
+                langs = of.dictionary.to_pylist()
+            yield pa.table({"gram": pa.array([*gram.tolist(), *[None] * len(total)], pa.int32()),
+                            "lang": pa.array([*[None] * len(gram), *langs], pa.string()),
+                            "n": pa.array(np.append(n, total).astype(np.int64))})
+
+    return lambda batches: _added_up(tables(batches), ["gram", "lang"])
+
+
+def _count_grams(filters: list):
+    """The longest gram from each place."""
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in batches:
-            found = Tokens(batch)
-            keep, left = found.runs(words.value, pairs.value)
-            size, code = np.minimum(left, LONGEST), found.ids[keep] if len(keep) else keep
+            found = Tokens(batch, [f.value for f in filters])
+            code, many = found.ids.copy(), max(1, len(found.word))
             for m in range(1, LONGEST + 1):
                 if m > 1:  # number the grams of m words from those of m - 1 words and the next word
-                    at = np.flatnonzero(left >= m)
-                    more, _ = pd.factorize(code[at] * max(1, len(found.word)) + found.ids[keep[at] + m - 1])
-                    code = np.full(len(keep), -1, np.int64)
-                    code[at] = more
-                own = np.flatnonzero(size == m)
+                    at = np.flatnonzero(found.left >= m)
+                    code[at] = pd.factorize(code[at] * many + found.ids[at + m - 1])[0]
+                own = np.flatnonzero(found.left == m)
                 if not len(own):
                     continue
                 _, first, n = np.unique(code[own], return_index=True, return_counts=True)
-                start = keep[own[first]]
+                start = own[first]
                 parts = [found.word.take(pa.array(found.ids[start + k])) for k in range(m)]
                 gram = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if m > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays([
-                    found.lang.take(pa.array(found.ids[start])).cast(pa.string()), pa.array(np.full(len(n), m, np.int32)),
-                    gram.cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "size", "gram", "n"])
-    return run
+                yield pa.table({"lang": found.lang.take(pa.array(found.ids[start])), "size": pa.array(np.full(len(n), m, np.int32)),
+                                "gram": gram.cast(pa.string()), "n": pa.array(n.astype(np.int64))})
+
+    return lambda batches: _added_up(tables(batches), ["lang", "size", "gram"])
 
 
-def _bitmap(frequent: DataFrame, hashed: Column):
+def _bitmap(frequent: DataFrame):
     """Broadcast bitmap of the hashes in ``frequent``; at most FILTER_BITS / 64 rows reach the driver."""
-    bit = frequent.select(F.pmod(hashed, F.lit(FILTER_BITS)).alias("bit"))  # a power of 2, so the sign does not matter
+    bit = frequent.select(F.col("gram").bitwiseAND(FILTER_BITS - 1).alias("bit"))
     rows = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
+        F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")).collect()
     held = np.zeros(FILTER_BITS // 64, np.int64)
     for row in rows:
         held[row["at"]] = row["bits"]
@@ -188,15 +204,17 @@ def graph(docs: DataFrame, least: int, text: str = "text", lang: str = "lang") -
     of such phrases of ``LONGEST`` words."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    words = texts.mapInArrow(_count_words, _WORDS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = written(words.where((F.col("n") >= least) | F.col("word").isNull()))
-    known = _bitmap(words.where("word is not null"), F.xxhash64(F.concat("lang", F.lit("\t"), "word")))
-    pairs = texts.mapInArrow(_count_pairs(known), _PAIRS).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    both = _bitmap(pairs, F.col("pair"))
-    grams = written(texts.mapInArrow(_count_grams(known, both), _GRAMS).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
+    filters: list = []
+    for size in range(1, FILTERED + 1):
+        parts = texts.mapInArrow(_count_parts(size, list(filters)), _PARTS).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+        parts = written(parts.where((F.col("n") >= least) | F.col("gram").isNull()))
+        if size == 1:
+            totals = parts.where("gram is null").select("lang", "n")
+        filters.append(_bitmap(parts.where("gram is not null")))
+    grams = written(texts.mapInArrow(_count_grams(filters), _GRAMS).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
     counts = [written(_flow(grams, m, least)) for m in range(1, LONGEST + 1)]
     paths = written(compact(counts[-1], counts[-2]))
-    return words.where("word is null").select("lang", "n"), counts[:-1], paths
+    return totals, counts[:-1], paths
 
 
 def phrases_of(paths: DataFrame) -> DataFrame:
