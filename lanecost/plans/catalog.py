@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import expressions as fx
 from ..operators import (
-    baselines as b, candidates as c, evidence as ev, explain as ex, invariants as inv, measures as ms,
+    baselines as b, candidates as c, evidence as ev, explain as ex, factorised as fa, invariants as inv, measures as ms,
     normalize as nm, notes as nt, quality as dq, reads as rd, report as rp, retrieval as rt,
     rootcause as rc, weekly as wk,
 )
@@ -224,16 +224,20 @@ def _(spark, sf):
     return files.scan_notes_jsonl(spark, path)
 
 
-def _evidence_json(spark, sf):
-    rows = cut_lineage(run(spark, sf).evidence_rows)
-    return rows, files.sink_evidence_jsonl(rows, scratch_path(spark, "evidence-jsonl"))
+def _audit_json(spark, sf):
+    """The factorised audit, written and read back strictly: results per candidate, memberships of both sides."""
+    a = run(spark, sf)
+    path = fa.write_audit(scratch_path(spark, "evidence-jsonl"), a.candidates, a.notes, a.decisions, a.evidence_policy)
+    like = {"candidates": fa.assessed_of_candidates(a.candidates, a.notes, a.evidence_policy).join(
+                a.decisions.select(*KEY, "verdict", "selected_note_id"), list(KEY)),
+            "notes": ev.note_blocks(fa.seen(a.notes), "note_id", *fa.SEEN), "members": ev.candidate_blocks(a.candidates, *fa.FACTS)}
+    return {k: files.scan_audit_jsonl(spark, f"{path}/{k}", v) for k, v in like.items()}
 
 
 @query("sink_evidence_jsonl", f"SELECT {K}, count(*) AS assessed, min(note_id) AS first_note FROM gated GROUP BY ALL")
 def _(spark, sf):
-    rows, path = _evidence_json(spark, sf)
-    return spark.read.schema(rows.schema).json(path).groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("assessed"), F.min("note_id").alias("first_note"))
+    return _audit_json(spark, sf)["candidates"].groupBy(*KEY).agg(
+        F.sum("notes").alias("assessed"), F.min("first_note_id").alias("first_note"))
 
 
 @query("scan_audit_jsonl", """
@@ -241,8 +245,28 @@ SELECT evidence_level, CASE WHEN evidence_level = 'partial' THEN 'supporting' WH
   ELSE 'rejected' END AS role, count(*) AS pairs FROM gated g
 LEFT JOIN (SELECT route, week_of, selected_note_id AS note_id FROM picked) s USING (route, week_of, note_id) GROUP BY ALL""")
 def _(spark, sf):
-    rows, path = _evidence_json(spark, sf)
-    return files.scan_audit_jsonl(spark, path, rows).groupBy("evidence_level", "role").agg(F.count(F.lit(1)).alias("pairs"))
+    rows = _audit_json(spark, sf)["candidates"]
+    primary = F.when((F.col("evidence_level") == "full") & F.col("selected_note_id").isNotNull(), 1).otherwise(0)
+    per = rows.select("evidence_level", "notes", primary.alias("primary"), *KEY)
+    # of the full notes of a justified candidate one is selected
+    first = per.where("evidence_level = 'full'").groupBy(*KEY).agg(F.max("primary").alias("primary"), F.sum("notes").alias("notes"))
+    full = first.select(F.lit("full").alias("evidence_level"), F.inline(F.array(
+        F.struct(F.lit("primary").alias("role"), F.col("primary").cast("long").alias("notes")),
+        F.struct(F.lit("rejected").alias("role"), (F.col("notes") - F.col("primary")).alias("notes")))))
+    rest = per.where("evidence_level <> 'full'").select(
+        "evidence_level", F.when(F.col("evidence_level") == "partial", "supporting").otherwise("rejected").alias("role"), "notes")
+    return rest.unionByName(full.select("evidence_level", "role", "notes")).groupBy("evidence_level", "role").agg(
+        F.sum("notes").alias("pairs")).where("pairs > 0")
+
+
+@query("audit_of_candidate", f"""
+SELECT {K}, note_id, evidence_level, overlap_days, rejection_codes FROM gated
+WHERE (route, route_type, week_of) IN (SELECT (route, route_type, week_of) FROM (SELECT {K} FROM gated ORDER BY {K} LIMIT 1) t)""")
+def _(spark, sf):
+    # the pairs of one named candidate, spelled out from the memberships that were written
+    audit = _audit_json(spark, sf)
+    named = audit["members"].join(audit["candidates"].select(*KEY).orderBy(*KEY).limit(1), list(KEY), "left_semi")
+    return fa.audit_pairs(audit["notes"], named).select(*KEY, "note_id", "evidence_level", "overlap_days", "rejection_codes")
 
 
 @query("sink_explanation_jsonl", """
@@ -332,11 +356,9 @@ SELECT gate, status, reason_code, count(*) AS pairs FROM (
       CASE WHEN scope_status <> 'in_dataset' THEN 'scope_outside_dataset' WHEN hard AND cover = 'premium' THEN 'global_scope_cannot_explain_peer_premium'
            WHEN hard AND cover = 'small' THEN 'global_magnitude_insufficient' END]) AS reason_code FROM gated) t GROUP BY ALL""")
 def _(spark, sf):
-    return rd_gates(run(spark, sf)).groupBy("gate", "status", "reason_code").agg(F.count(F.lit(1)).alias("pairs"))
-
-
-def rd_gates(a: Analysis) -> DataFrame:
-    return ev.gate_results_view(a.assessed)
+    a = run(spark, sf)
+    counts = fa.assessed_counts(a.candidates, a.notes, a.evidence_policy)
+    return counts.select("pairs", F.inline(ev.gate_results())).groupBy("gate", "status", "reason_code").agg(F.sum("pairs").alias("pairs"))
 
 
 @query("candidate_key", "SELECT route || '|' || week_of::VARCHAR AS candidate_key FROM cand")
@@ -482,9 +504,24 @@ def _(spark, sf):
 
 # --- joins --------------------------------------------------------------------------
 
-@query("structured_recall", f"SELECT {K}, note_id, overlap_days FROM pairs")
+@query("structured_recall", f"""
+SELECT {K}, count(*) AS notes, min(note_id) AS first_note_id, sum(overlap_days)::BIGINT AS overlap_days FROM pairs GROUP BY ALL""")
+def _(spark, sf):
+    a = run(spark, sf)
+    return fa.links_of_candidates(a.candidates, a.notes)
+
+
+@query("structured_recall_of_notes", """
+SELECT note_id, count(*) AS candidates, sum(overlap_days)::BIGINT AS overlap_days FROM pairs GROUP BY ALL""")
+def _(spark, sf):
+    a = run(spark, sf)
+    return fa.links_of_notes(a.candidates, a.notes)
+
+
+@query("recall_classes", "SELECT count(*) AS links FROM pairs")
 def _(spark, sf):
-    return run(spark, sf).recalled
+    a = run(spark, sf)
+    return fa.class_rows(a.candidates, a.notes).agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
 
 
 def _item_hits(spark, sf):
@@ -544,9 +581,11 @@ def _(spark, sf):
         "note_id", "applies_to", "route_known")
 
 
-@query("packet_notes", f"SELECT {K}, note_id, role, event_type, magnitude_text FROM packet_facts")
+@query("packet_notes", f"""
+SELECT {K}, role, event_type, magnitude_text, count(*) AS notes, min(note_id) AS first_note_id FROM packet_facts GROUP BY ALL""")
 def _(spark, sf):
-    return run(spark, sf).packets.select(*KEY, "note_id", "role", "event_type", "magnitude_text")
+    a = run(spark, sf)
+    return fa.supporting_of_candidates(a.candidates, a.notes, a.decisions, "event_type", "magnitude_text", policy=a.evidence_policy)
 
 
 @query("review_output", _FINAL.replace("reason FROM", "review_reason AS reason FROM"))
@@ -724,7 +763,8 @@ def _(spark, sf):
 SELECT code AS rejection_code, count(*) AS pairs FROM (SELECT unnest(string_split(rejection_codes, ',')) AS code FROM gated) t
 WHERE code <> '' GROUP BY code""")
 def _(spark, sf):
-    return ev.rejection_histogram(run(spark, sf).assessed)
+    a = run(spark, sf)
+    return fa.rejection_histogram(fa.assessed_counts(a.candidates, a.notes, a.evidence_policy))
 
 
 @query("structured_additions")
@@ -848,12 +888,19 @@ def _(spark, sf):
     return rt.metrics_from_found(found, totals)
 
 
-@query("structured_union_recall", """
-SELECT count(*) AS labelled, count(*) AS covered, 1.0::DOUBLE AS recall FROM decisions WHERE verdict <> 'unexplained'""")
+@query("structured_union_recall", f"""
+SELECT count(*) AS labelled, count(*) FILTER (hit) AS covered, {r('coalesce(count(*) FILTER (hit)::DOUBLE / nullif(count(*), 0), 0)', 'recall')}
+FROM (SELECT {K}, bool_or(reached) AS hit FROM (
+  SELECT c.route, c.route_type, c.week_of, p.note_id IS NOT NULL AS reached
+  FROM cand c JOIN notes_raw n ON n.applies_to = c.route AND n.date::DATE BETWEEN c.week_of - 28 AND c.week_of + 6
+  LEFT JOIN pairs p ON p.route = c.route AND p.route_type = c.route_type AND p.week_of = c.week_of AND p.note_id = n.note_id) l GROUP BY ALL) t""")
 def _(spark, sf):
+    # labelled are notes about the route of the four weeks before and the week itself, whatever they compile to
     a = run(spark, sf)
-    relevance = a.packets.select(*KEY, "note_id")
-    return rt.structured_union_recall(relevance, a.assessed.select(*KEY, "note_id"), KEY)
+    raw = a.raw_notes.select("note_id", F.col("applies_to").alias("route"), F.col("date").cast("date").alias("written_on"))
+    near = F.col("written_on").between(F.date_sub("week_of", 28), F.date_add("week_of", 6))
+    relevance = cut_lineage(a.candidates.select(*KEY).join(raw, "route").where(near).select(*KEY, "note_id"))
+    return rt.structured_union_recall(relevance, fa.relevant_pairs_reached(relevance, a.notes), KEY)
 
 
 _QUALITY = f"""
@@ -1038,8 +1085,9 @@ def _(spark, sf):
 SELECT route, week_of, note_id, rejection_codes FROM gated WHERE evidence_level = 'rejected'
   AND contains(rejection_codes, 'scope_outside_dataset') AND week_of BETWEEN DATE '2001-01-01' AND DATE '2001-06-30'""")
 def _(spark, sf):
+    a = run(spark, sf)
     return rd.list_rejected_evidence(
-        run(spark, sf).evidence_rows, rejection_code="scope_outside_dataset", week_from=dt.date(2001, 1, 1),
+        a.evidence_rows_of(week_from=dt.date(2001, 1, 1), week_to=dt.date(2001, 6, 30)), rejection_code="scope_outside_dataset", week_from=dt.date(2001, 1, 1),
         week_to=dt.date(2001, 6, 30)).select("route", "week_of", "note_id", "rejection_codes")
 
 
@@ -1206,9 +1254,12 @@ def _(spark, sf):
 
 
 @query("evidence_gate", f"""
-SELECT {K}, note_id, evidence_level, overlap_days, rejection_codes FROM gated""")
+SELECT {K}, evidence_level, rejection_codes, count(*) AS notes, min(note_id) AS first_note_id, sum(overlap_days)::BIGINT AS overlap_days
+FROM gated GROUP BY ALL""")
 def _(spark, sf):
-    return run(spark, sf).assessed.select(*KEY, "note_id", "evidence_level", "overlap_days", "rejection_codes")
+    a = run(spark, sf)
+    return fa.assessed_of_candidates(a.candidates, a.notes, a.evidence_policy).select(
+        *KEY, "evidence_level", "rejection_codes", "notes", "first_note_id", "overlap_days")
 
 
 _DECISION = f"SELECT {K}, verdict, selected_note_id, first_supporting_note_id, full_note_count, supporting_note_count FROM decisions"

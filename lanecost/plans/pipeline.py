@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import baselines, candidates as cand, evidence, explain, reads, report, retrieval, rootcause
+from ..operators import baselines, candidates as cand, evidence, explain, factorised, reads, report, retrieval, rootcause
 from ..operators.notes import compile_notes
 from ..operators.weekly import weekly_route_metrics
 from ..schemas import KEY, Decomposition, EvidencePolicy, RetrievalPolicy, WEEKLY_COLUMNS
@@ -143,6 +143,15 @@ class Analysis:
     def evidence_rows(self) -> DataFrame:
         return reads.evidence_rows(self.assessed, self.decisions, self.notes)
 
+    def evidence_rows_of(self, *, route: str | None = None, week_from=None, week_to=None) -> DataFrame:
+        """Evidence of some candidates: they are chosen before the join, so no other pair is made."""
+        named = self.candidates
+        for condition in (None if route is None else F.col("route") == route,
+                          None if week_from is None else F.col("week_of") >= F.lit(week_from),
+                          None if week_to is None else F.col("week_of") <= F.lit(week_to)):
+            named = named if condition is None else named.where(condition)
+        return reads.evidence_rows(factorised.audit_of(named, self.notes, self.evidence_policy), self.decisions, self.notes)
+
     # --- root causes ---
 
     @cached_property
