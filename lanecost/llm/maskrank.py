@@ -47,7 +47,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, counts = np.unique(found.ids * max(1, len(some)) + place[found.doc], return_counts=True)
         term, at = key // max(1, len(some)), (key % max(1, len(some))).astype(np.int32)
         starts = np.flatnonzero(np.diff(term, prepend=-1) != 0)
-        ends = np.append(starts[1:], len(term))
+        ends = np.append(starts[1:], len(term))[: len(starts)]
         counts = counts.astype(np.int64)
         cut = lambda a: [a[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
         n = len(starts)
