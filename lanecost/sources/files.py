@@ -11,6 +11,7 @@ from ..operators.quality import dq_empty, header_issues, issue_union, note_issue
 from ..schemas import (
     ISSUE_COLUMNS, NOTE_COLUMNS, OUTPUT_COLUMNS, SHIPMENT_COLUMNS, require_columns, text_schema,
 )
+from .records import records
 
 CORRUPT = "_corrupt_record"
 INPUT_NAMES = ("shipment_records.csv", "context_notes.csv", "sample_output_format_v2.csv")
@@ -34,32 +35,26 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([line.value])) if line else []
 
 
-def read_text_table(spark: SparkSession, path: str, columns, multi_line: bool = False) -> DataFrame:
-    """All columns as text, in the given order of the contract, plus the corrupt record.
+def read_text_table(spark: SparkSession, path: str, columns) -> DataFrame:
+    """All columns as text, in the given order of the contract, ``malformed`` and ``row_number``.
 
-    Nothing is trimmed and no text stands for NULL. ``row_number`` is filled only when
-    the file carries such a column; a distributed scan has no line counter.
+    Records are split where no quote is open, in parallel (see ``records``), so a field may hold
+    line breaks. Nothing is trimmed and no text stands for NULL. Blank lines are left out, but
+    counted by ``row_number``, which is 2 for the first record of the first file. A record that a file
+    ends in the middle of is malformed.
     """
-    header = read_header(spark, path)
+    rows, headers, _ = records(spark, path)
+    header = next(csv.reader(headers[:1])) if headers else []
     found = header_issues(header, columns, path)
-    if found:
-        raise InputRejected(f"header of {path}: {found}")
-    schema = text_schema(header, CORRUPT)
-    raw = (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).option("escape", '"')
-        .option("multiLine", multi_line).option("enforceSchema", False)
-        .option("columnPruning", False)  # a pruned parse would not see ragged records
-        .csv(path))
+    if found or len(headers) > 1:
+        raise InputRejected(f"header of {path}: {found or headers}")
+    parsed = F.from_csv("value", ", ".join(f"`{c}` string" for c in (*header, CORRUPT)), {
+        "columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE", "escape": '"', "maxCharsPerColumn": "-1"})
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     # an empty field is empty text: no text of a CSV file stands for NULL
-    return raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in header],
-                      _is_corrupt(F.col(header[0])).alias("malformed"))
-
-
-def _is_corrupt(any_field):
-    """Corrupt flag. It also reads one field, because Spark refuses a query that needs
-    nothing but the corrupt record of a raw file."""
-    return F.col(CORRUPT).isNotNull() | F.coalesce(F.length(any_field) < 0, F.lit(False))
+    return rows.where(F.trim("value") != "").select("row_number", odd.alias("_odd"), parsed.alias("r")).select(
+        *[F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in header],
+        (F.col(f"r.{CORRUPT}").isNotNull() | F.col("_odd")).alias("malformed"), "row_number")
 
 
 def malformed_issues(raw: DataFrame, dataset: str) -> DataFrame:
@@ -75,24 +70,20 @@ def scan_malformed_rows(raw: DataFrame) -> DataFrame:
                    F.count_if("malformed").alias("malformed_rows"))
 
 
-def _numbered(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("row_number", F.lit(None).cast("bigint"))
-
-
 def scan_shipments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(normalised shipments, issues). The rows are usable only when no issue is an error."""
     raw = read_text_table(spark, path, SHIPMENT_COLUMNS)
     sound = raw.where("NOT malformed").drop("malformed")
-    issues = issue_union(dq_empty(raw, "shipments"), malformed_issues(raw, "shipments"), shipment_issues(_numbered(sound)))
-    return normalize_shipments(sound), issues
+    issues = issue_union(dq_empty(raw, "shipments"), malformed_issues(raw, "shipments"), shipment_issues(sound))
+    return normalize_shipments(sound.drop("row_number")), issues
 
 
 def scan_context_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(normalised notes, issues). Quoted text may hold commas and line breaks."""
-    raw = read_text_table(spark, path, NOTE_COLUMNS, multi_line=True)
+    raw = read_text_table(spark, path, NOTE_COLUMNS)
     sound = raw.where("NOT malformed").drop("malformed")
-    issues = issue_union(dq_empty(raw, "context_notes"), malformed_issues(raw, "context_notes"), note_issues(_numbered(sound)))
-    return normalize_notes(sound), issues
+    issues = issue_union(dq_empty(raw, "context_notes"), malformed_issues(raw, "context_notes"), note_issues(sound))
+    return normalize_notes(sound.drop("row_number")), issues
 
 
 def contract_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from lanecost.operators import quality as dq, report as rp
 from lanecost.schemas import OUTPUT_COLUMNS, SHIPMENT_COLUMNS
 from lanecost.session import scratch_path
 from lanecost.sources import files
+from lanecost.sources.records import records
 
 GOOD = dict(shipment_id="S1", origin="A", destination="B", route_type="Short", material="m", quantity_tonnes="1.5",
             distance_km="10", freight_cost_inr="100", shipment_date="2024-02-29", transporter="t")
@@ -136,3 +137,64 @@ def test_a_date_that_is_none_is_an_issue_and_no_crash(spark):
     path = write_lines(spark, [",".join(SHIPMENT_COLUMNS), ",".join(values[c] for c in SHIPMENT_COLUMNS)], "date.csv")
     rows, issues = files.scan_shipments(spark, path)
     assert rows.first().shipment_date is None and [r.code for r in issues.collect()] == ["invalid_date"]
+
+
+def messy_rows(n):
+    """Fields with commas, doubled quotes and line breaks of both kinds, also empty and blank ones."""
+    import random
+    rng = random.Random(n)
+    odd = ["", " ", "a,b", 'say "no"', "two\nlines", "\n", 'x"\n"y', "last\n\n", "über,\n日本", "plain"]
+    return [(f"N{i}", "2024-01-03", rng.choice(odd), "".join(rng.choice(odd) for _ in range(rng.randrange(1, 5)))) for i in range(n)]
+
+
+@pytest.mark.parametrize(("size", "end"), [(40, "\n"), (97, "\r\n"), (1 << 20, "\n")])
+def test_quoted_breaks_across_split_borders(spark, size, end):
+    """Splits of a few bytes, so that records reach over one or several borders."""
+    import csv
+    import io
+
+    want = messy_rows(60)
+    text = io.StringIO()
+    writer = csv.writer(text, lineterminator=end)
+    writer.writerow(["note_id", "date", "applies_to", "note"])
+    writer.writerows(want)
+    path = write_lines(spark, [], "messy.csv")
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write("﻿" + text.getvalue())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        table = files.read_text_table(spark, path, ("note_id", "date", "applies_to", "note"))
+        got = {r.row_number: (r.note_id, r.date, r.applies_to, r.note, r.malformed) for r in table.collect()}
+        rows, _, closed = records(spark, path)
+        assert closed and rows.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {k: (*w, False) for k, w in enumerate(want, 2)}
+
+
+def test_issues_carry_the_row_number_of_the_file(spark):
+    head = ",".join(SHIPMENT_COLUMNS)
+    path = write_lines(spark, [head, "S1,A,B,Short,m,1,10,5,2024-01-03,t", "", '"S2\nx",A,B,Short,"steel\nrod",x,10,5,2024-01-03,t',
+                               "S3,A", "S4,A,B,Short,m,1,10,0,2024-01-03,t", "S4,A,B,Short,m,1,10,1,2024-01-03,t"])
+    rows, issues = files.scan_shipments(spark, path)
+    got = sorted((r.code, r.column, r.row_number) for r in issues.collect() if r.code != "malformed_csv")
+    assert got == [("duplicate_identifier", "shipment_id", 6), ("duplicate_identifier", "shipment_id", 7),
+                   ("invalid_type", "quantity_tonnes", 4), ("non_positive_value", "freight_cost_inr", 6)]
+    assert rows.where("shipment_id like 'S2%'").first().material == "steel\nrod"
+
+
+def test_several_files_are_numbered_one_after_another_and_an_open_quote_is_malformed(spark):
+    from pathlib import Path
+
+    head = "note_id,date,applies_to,note"
+    first = write_lines(spark, [head, "N1,2024-01-01,a,b", 'N2,2024-01-01,a,"b\nc"'], "part-1.csv")
+    (Path(first).parent / "part-2.csv").write_text(head + "\nN3,2024-01-01,a,b\nN4,2024-01-01,a,\"open\nrest\n", encoding="utf-8")
+    (Path(first).parent / "part-3.csv").write_text(head + "\nN5,2024-01-01,a,b\n", encoding="utf-8")
+    table = files.read_text_table(spark, str(Path(first).parent), head.split(","))
+    assert sorted((r.row_number, r.note_id, r.malformed) for r in table.collect()) == [
+        (2, "N1", False), (3, "N2", False), (4, "N3", False), (5, "N4", True), (6, "N5", False)]
+    (Path(first).parent / "part-4.csv").write_text("a,b\n1,2\n", encoding="utf-8")
+    with pytest.raises(files.InputRejected, match="header"):
+        files.read_text_table(spark, str(Path(first).parent), head.split(","))
