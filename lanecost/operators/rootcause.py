@@ -170,8 +170,8 @@ def category_support(settings: Decomposition = Decomposition()):
     moved = (F.col("entry_effect") != 0) | (F.col("exit_effect") != 0)
     return (
         F.when(moved & ((now == 0) | (weeks == 0)), "transition_only")
-        .when((now >= settings.support.shipments_now)
-              & (past >= settings.support.shipments_before) & (weeks >= settings.support.weeks_before), "strong")
+        .when((now >= settings.shipments_now)
+              & (past >= settings.shipments_before) & (weeks >= settings.weeks_before), "strong")
         .otherwise("limited"))
 
 
@@ -193,12 +193,11 @@ def lead_rank(contributions: DataFrame, settings: Decomposition = Decomposition(
     """
     net = F.col("net_contribution")
     eligible = contributions.where(
-        (net != 0) & (F.abs(net) >= settings.lead.least_effect)
-        & (F.coalesce("absolute_effect_share_pct", F.lit(0.0)) >= settings.lead.least_share_pct)
+        (net != 0) & (F.abs(net) >= settings.least_effect)
+        & (F.coalesce("absolute_effect_share_pct", F.lit(0.0)) >= settings.least_share_pct)
     ).withColumn("kind", F.when(net > 0, "lead").otherwise("offset"))
     order = Window.partitionBy(*KEY, "lens", "kind").orderBy(F.abs(net).desc(), "category")
-    limit = F.when(F.col("kind") == "lead", settings.lead.shown[0]).otherwise(
-        min(settings.lead.shown))
+    limit = F.when(F.col("kind") == "lead", settings.leads_shown).otherwise(settings.offsets_shown)
     return eligible.withColumn("lead_rank", F.row_number().over(order)).where(F.col("lead_rank") <= limit)
 
 

@@ -85,15 +85,6 @@ def passing(*ids: str, column: str = "check_id", extra: str = ", 0::BIGINT AS fa
 
 _RAW = ("shipment_id", "origin", "destination", "route_type", "material", "quantity_tonnes", "distance_km",
         "freight_cost_inr", "shipment_date", "transporter")
-# rows of the raw text table without a broken value
-_SOUND = (" AND ".join(f"o_orderkey % {m} <> 0" for m in (41, 43, 47, 53, 59, 61, 71, 73, 79, 83, 89, 97, 101, 107,
-                                                        109, 113, 127, 131, 137)))
-
-
-def _sound_rows(spark, sf):
-    return w.raw_text_rows(spark, sf).where(_SOUND.replace("o_orderkey", "(row_number - 2)"))
-
-
 def _write_csv(df: DataFrame, name: str) -> str:
     path = scratch_path(df.sparkSession, name)
     df.write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
@@ -110,19 +101,58 @@ def _write_lines(lines: DataFrame, header: str, name: str) -> str:
     return path
 
 
-_SHIP_SQL = f"""
-SELECT trim(shipment_id) AS shipment_id, trim(origin) AS origin, trim(destination) AS destination,
-  trim(route_type) AS route_type, trim(material) AS material,
-  {r("replace(trim(quantity_tonnes), '_', '')::DOUBLE", 'quantity_tonnes')}, {r('distance_km::DOUBLE', 'distance_km')},
-  {r('freight_cost_inr::DOUBLE', 'freight_cost_inr')}, shipment_date::DATE AS shipment_date, trim(transporter) AS transporter,
-  trim(origin) || '-' || trim(destination) AS route, date_trunc('week', shipment_date::DATE)::DATE AS week_of,
-  {r("replace(trim(quantity_tonnes), '_', '')::DOUBLE * distance_km::DOUBLE", 'tonne_km')}
-FROM raw_rows WHERE {_SOUND.replace('o_orderkey', '(row_number - 2)')}"""
+_ISSUES = f"""
+SELECT 'error' AS severity, code, 'shipments' AS dataset, col AS "column", row_number FROM (
+  SELECT row_number, unnest([{', '.join(repr(x) for x in SHIPMENT_TEXT_COLUMNS)}]) AS col,
+    unnest([{', '.join(f"CASE WHEN {x} IS NULL THEN 'missing_value' WHEN trim({x}) = '' THEN 'blank_value' END" for x in SHIPMENT_TEXT_COLUMNS)}]) AS code FROM raw_rows
+  UNION ALL
+  SELECT row_number, unnest([{', '.join(repr(x) for x in SHIPMENT_NUMERIC_COLUMNS)}]),
+    unnest([{', '.join(f"CASE WHEN {x} IS NULL THEN 'missing_value' WHEN trim({x}) = '' THEN 'blank_value' WHEN trim({x}) = 'abc' THEN 'invalid_type' WHEN trim({x}) IN ('nan', 'inf') THEN 'non_finite_value' WHEN try_cast(replace(trim({x}), '_', '') AS DOUBLE) <= 0 THEN 'non_positive_value' END" for x in SHIPMENT_NUMERIC_COLUMNS)}]) FROM raw_rows
+  UNION ALL
+  SELECT row_number, 'shipment_date', CASE WHEN shipment_date IS NULL THEN 'missing_value' WHEN trim(shipment_date) = '' THEN 'blank_value'
+    WHEN NOT regexp_full_match(shipment_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_cast(shipment_date AS DATE) IS NULL THEN 'invalid_date' END FROM raw_rows
+  UNION ALL
+  SELECT row_number, 'route_type', 'invalid_route_type' FROM raw_rows WHERE trim(route_type) NOT IN ('Short', 'Medium', 'Long') AND trim(route_type) <> ''
+  UNION ALL
+  SELECT row_number, 'tonne_km', 'non_finite_value' FROM raw_rows WHERE (quantity_tonnes = '1e308' AND distance_km = '1e10')
+    OR (distance_km = 'inf' AND quantity_tonnes <> 'nan' AND try_cast(replace(trim(quantity_tonnes), '_', '') AS DOUBLE) > 0)
+  UNION ALL
+  SELECT row_number, 'shipment_id', 'duplicate_identifier' FROM (SELECT row_number, trim(shipment_id) AS id, count(*) OVER (PARTITION BY trim(shipment_id)) AS n FROM raw_rows) d
+  WHERE id <> '' AND n > 1) i WHERE code IS NOT NULL"""
+
+
+def _finite_only(df: DataFrame) -> DataFrame:
+    """Not-a-number and infinite values as NULL, which both engines show alike."""
+    return df.withColumns({c: F.when(fx.finite(F.col(c)), F.col(c)) for c in (*SHIPMENT_NUMERIC_COLUMNS, "tonne_km")})
+
 
+def _ship_sql(missing: str) -> str:
+    """The whole raw table, typed; ``missing`` is what a missing text value becomes."""
+    text = {c: f"coalesce(trim({c}), {missing})" for c in SHIPMENT_TEXT_COLUMNS}
+    number = lambda c: f"try_cast(replace(trim({c}), '_', '') AS DOUBLE)"
+    shown_ = lambda c: r(f"CASE WHEN isfinite({c}) THEN {c} END", c)
+    return f"""
+SELECT {', '.join(f'{v} AS {c}' for c, v in text.items())}, {', '.join(shown_(c) for c in (*SHIPMENT_NUMERIC_COLUMNS, 'tonne_km'))},
+  shipment_date, {text['origin']} || '-' || {text['destination']} AS route, date_trunc('week', shipment_date)::DATE AS week_of
+FROM (SELECT * REPLACE ({', '.join(f'{number(c)} AS {c}' for c in SHIPMENT_NUMERIC_COLUMNS)},
+    CASE WHEN regexp_full_match(trim(shipment_date), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(trim(shipment_date) AS DATE) END AS shipment_date),
+  {number('quantity_tonnes')} * {number('distance_km')} AS tonne_km FROM raw_rows) t"""
 
-@query("scan_shipments", _SHIP_SQL)
+
+@query("scan_shipments", _ship_sql("''"))
+def _(spark, sf):
+    return _finite_only(files.scan_shipments(spark, _write_csv(w.raw_text_rows(spark, sf).select(*_RAW), "shipments"))[0])
+
+
+# every issue of a written file leads back to the row it was found in
+@query("issue_rows", f"""
+SELECT CASE a.code WHEN 'missing_value' THEN 'blank_value' ELSE a.code END AS code, a."column", coalesce(shipment_id, '') AS shipment_id, freight_cost_inr,
+  count(*) AS issues FROM ({_ISSUES}) a JOIN raw_rows USING (row_number) GROUP BY ALL""")
 def _(spark, sf):
-    return files.scan_shipments(spark, _write_csv(_sound_rows(spark, sf).select(*_RAW), "shipments"))[0]
+    path = _write_csv(w.raw_text_rows(spark, sf).select(*_RAW), "shipments")
+    raw = cut_lineage(files.read_text_table(spark, path, _RAW))
+    return dq.shipment_issues(raw.drop("malformed")).join(raw, "row_number").groupBy(
+        "code", "column", "shipment_id", "freight_cost_inr").agg(F.count(F.lit(1)).alias("issues"))
 
 
 @query("scan_context_notes", "SELECT note_id, date, applies_to, note FROM notes_raw")
@@ -158,26 +188,6 @@ def _contract_file(spark, sf) -> str:
     return _write_lines(events.select(text.alias("value")), ",".join(OUTPUT_COLUMNS), "contract")
 
 
-_ISSUES = f"""
-SELECT 'error' AS severity, code, 'shipments' AS dataset, col AS "column", row_number FROM (
-  SELECT row_number, unnest([{', '.join(repr(x) for x in SHIPMENT_TEXT_COLUMNS)}]) AS col,
-    unnest([{', '.join(f"CASE WHEN {x} IS NULL THEN 'missing_value' WHEN trim({x}) = '' THEN 'blank_value' END" for x in SHIPMENT_TEXT_COLUMNS)}]) AS code FROM raw_rows
-  UNION ALL
-  SELECT row_number, unnest([{', '.join(repr(x) for x in SHIPMENT_NUMERIC_COLUMNS)}]),
-    unnest([{', '.join(f"CASE WHEN {x} IS NULL THEN 'missing_value' WHEN trim({x}) = '' THEN 'blank_value' WHEN trim({x}) = 'abc' THEN 'invalid_type' WHEN trim({x}) IN ('nan', 'inf') THEN 'non_finite_value' WHEN try_cast(replace(trim({x}), '_', '') AS DOUBLE) <= 0 THEN 'non_positive_value' END" for x in SHIPMENT_NUMERIC_COLUMNS)}]) FROM raw_rows
-  UNION ALL
-  SELECT row_number, 'shipment_date', CASE WHEN shipment_date IS NULL THEN 'missing_value' WHEN trim(shipment_date) = '' THEN 'blank_value'
-    WHEN NOT regexp_full_match(shipment_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_cast(shipment_date AS DATE) IS NULL THEN 'invalid_date' END FROM raw_rows
-  UNION ALL
-  SELECT row_number, 'route_type', 'invalid_route_type' FROM raw_rows WHERE trim(route_type) NOT IN ('Short', 'Medium', 'Long') AND trim(route_type) <> ''
-  UNION ALL
-  SELECT row_number, 'tonne_km', 'non_finite_value' FROM raw_rows WHERE (quantity_tonnes = '1e308' AND distance_km = '1e10')
-    OR (distance_km = 'inf' AND quantity_tonnes <> 'nan' AND try_cast(replace(trim(quantity_tonnes), '_', '') AS DOUBLE) > 0)
-  UNION ALL
-  SELECT row_number, 'shipment_id', 'duplicate_identifier' FROM (SELECT row_number, trim(shipment_id) AS id, count(*) OVER (PARTITION BY trim(shipment_id)) AS n FROM raw_rows) d
-  WHERE id <> '' AND n > 1) i WHERE code IS NOT NULL"""
-
-
 def _issues(where: str) -> str:
     return f"SELECT * FROM ({_ISSUES}) a WHERE {where}"
 
@@ -314,9 +324,9 @@ def _(spark, sf):
 
 # --- projection ---------------------------------------------------------------------
 
-@query("normalize_shipments", _SHIP_SQL)
+@query("normalize_shipments", _ship_sql("NULL"))
 def _(spark, sf):
-    return nm.normalize_shipments(_sound_rows(spark, sf))
+    return _finite_only(nm.normalize_shipments(w.raw_text_rows(spark, sf)))
 
 
 @query("normalize_notes", "SELECT note_id, date, applies_to, note FROM notes_raw")

@@ -198,3 +198,13 @@ def test_several_files_are_numbered_one_after_another_and_an_open_quote_is_malfo
     (Path(first).parent / "part-4.csv").write_text("a,b\n1,2\n", encoding="utf-8")
     with pytest.raises(files.InputRejected, match="header"):
         files.read_text_table(spark, str(Path(first).parent), head.split(","))
+
+
+def test_two_types_of_a_route_in_one_week_are_no_repeated_key(spark):
+    final = output(spark, 8)
+    final = final.unionByName(final.limit(1).withColumn("cost_per_tonne_km", F.lit("2.00")))
+    rows, headers = files.output_rows(files.contract_lines(spark, files.sink_contract_csv(final, scratch_path(spark, "final"))))
+    failures = {r.check_id: r.failures for r in rp.output_contract_checks(rows, final, headers).collect()}
+    assert failures["output.unique_keys"] == 0
+    failures = {r.check_id: r.failures for r in rp.output_contract_checks(rows.unionByName(rows.limit(1)), final, headers).collect()}
+    assert failures["output.unique_keys"] == 1
