@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.expressions import flag, iso
 from ..schemas import KEY, OUTPUT_COLUMNS, require_columns
 from .candidates import candidates_only, typed_display
+from .reconcile import surplus
 
 # Fixed values of the output contract.
 REVIEW_UNEXPLAINED = (
@@ -27,13 +28,9 @@ def key_set_difference(left: DataFrame, right: DataFrame, keys) -> DataFrame:
 
 
 def row_multiset_equality(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: rows that one side holds more often than the other. One shuffle, and
-    equal rows are merged before it."""
-    cols = left.columns
-    both = left.withColumn("_side", F.lit(1)).unionByName(
-        right.select(*cols).withColumn("_side", F.lit(-1)))
-    surplus = both.groupBy(*cols).agg(F.sum("_side").alias("_n"))
-    return surplus.agg(
+    """One row: rows that one side holds more often than the other. Buckets of rows whose hashes
+    agree are not shuffled at all (see ``reconcile``)."""
+    return surplus(left, right).agg(
         F.coalesce(F.sum(F.when(F.col("_n") > 0, F.col("_n"))), F.lit(0)).alias("only_left"),
         F.coalesce(F.sum(F.when(F.col("_n") < 0, -F.col("_n"))), F.lit(0)).alias("only_right"))
 
