@@ -427,20 +427,35 @@ def _(spark, sf):
     return dq.dq_report(dq.shipment_issues(raw), rows(raw, "shipments").unionByName(rows(notes, "context_notes")))
 
 
-@query("analytics_input_check", """
-SELECT check_id, failures, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM (
-""" + passing("id_present", "key_present", "monday_week", "positive_finite", "tonne_km_consistent", extra=", 0::BIGINT AS failures") +
-       " UNION ALL SELECT 'id_unique', count(*) - count(DISTINCT shipment_id) FROM shipments) c")
-def _(spark, sf):
-    return dq.analytics_input_check(w.shipments(spark, sf))
-
-
 def _verdicts(counts: dict[str, str], table: str) -> str:
     """Check rows from (check_id: failure count), all over one table."""
     rows = " UNION ALL ".join(f"SELECT '{i}' AS check_id, ({n})::BIGINT AS failures FROM {table}" for i, n in counts.items())
     return f"SELECT check_id, failures, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM ({rows}) c"
 
 
+def _when(every: int, value, column: str):
+    """``value`` on the days of the month that ``every`` divides, else the column."""
+    return F.when(F.col("_day") % every == 0, value).otherwise(F.col(column))
+
+
+# Shipments of which some days have no id or route, a shifted week, no cost or another tonne-kilometre.
+_BROKEN_SHIPMENTS = """(SELECT CASE WHEN d % 17 = 0 THEN ' ' ELSE shipment_id END AS shipment_id, CASE WHEN d % 5 = 0 THEN ' ' ELSE route END AS route,
+  CASE WHEN d % 7 = 0 THEN week_of + 1 ELSE week_of END AS week_of, CASE WHEN d % 11 = 0 THEN 0 ELSE freight_cost_inr END AS freight_cost_inr,
+  quantity_tonnes * distance_km AS product, CASE WHEN d % 13 = 0 THEN 2 * tonne_km ELSE tonne_km END AS tonne_km
+  FROM (SELECT *, day(shipment_date) AS d FROM shipments) s) b"""
+
+
+@query("analytics_input_check", _verdicts({
+    "id_present": "count(*) FILTER (trim(shipment_id) = '')", "key_present": "count(*) FILTER (trim(route) = '')",
+    "monday_week": "count(*) FILTER (isodow(week_of) <> 1)", "positive_finite": "count(*) FILTER (freight_cost_inr <= 0)",
+    "tonne_km_consistent": "count(*) FILTER (tonne_km <> product)", "id_unique": "count(*) - count(DISTINCT trim(shipment_id))"}, _BROKEN_SHIPMENTS))
+def _(spark, sf):
+    broken = w.shipments(spark, sf).withColumn("_day", F.dayofmonth("shipment_date")).withColumns({
+        "shipment_id": _when(17, " ", "shipment_id"), "route": _when(5, " ", "route"), "week_of": _when(7, F.date_add("week_of", 1), "week_of"),
+        "freight_cost_inr": _when(11, 0, "freight_cost_inr"), "tonne_km": _when(13, 2 * F.col("tonne_km"), "tonne_km")})
+    return dq.analytics_input_check(broken.drop("_day"))
+
+
 # Weekly rows of which some days have a blank route, a shifted week, no shipment or another rate.
 _BROKEN_WEEKLY = """(SELECT CASE WHEN day(week_of) % 5 = 0 THEN ' ' ELSE route END AS route, route_type,
   CASE WHEN day(week_of) % 7 = 0 THEN week_of + 1 ELSE week_of END AS week_of, CASE WHEN day(week_of) % 11 = 0 THEN 0 ELSE shipment_count END AS shipment_count,
@@ -462,11 +477,28 @@ def _(spark, sf):
     return dq.baseline_input_check(broken)
 
 
-@query("comparison_input_check", passing("rate_positive", "own_baseline_positive", "peer_baseline_positive",
-                                         "history_count_range", "peer_count_range", "own_availability",
-                                         "peer_availability", "unique_key"))
+# Baselines with wrong signs, counts out of range, a missing peer and repeated keys on some days.
+_BROKEN_BASELINES = """(SELECT route, route_type, week_of, CASE WHEN d % 13 = 0 THEN -cost_per_tonne_km ELSE cost_per_tonne_km END AS rate,
+  CASE WHEN d % 5 = 0 THEN -own ELSE own END AS own, CASE WHEN d % 7 = 0 THEN NULL WHEN d % 3 = 0 THEN -peer ELSE peer END AS peer,
+  CASE WHEN d % 11 = 0 THEN 9 ELSE history_weeks_used END AS n, CASE WHEN d % 17 = 0 THEN -1 ELSE peer_routes_used END AS p
+  FROM (SELECT *, day(week_of) AS d FROM baselines UNION ALL SELECT *, day(week_of) FROM baselines WHERE day(week_of) % 19 = 0) s) b"""
+
+
+@query("comparison_input_check", _verdicts({
+    "rate_positive": "count(*) FILTER (rate <= 0)", "own_baseline_positive": "count(*) FILTER (own <= 0)",
+    "peer_baseline_positive": "count(*) FILTER (peer <= 0)", "history_count_range": "count(*) FILTER (n NOT BETWEEN 0 AND 8)",
+    "peer_count_range": "count(*) FILTER (p < 0)", "own_availability": "count(*) FILTER ((own IS NULL) <> (n = 0))",
+    "peer_availability": "count(*) FILTER ((peer IS NULL) <> (p = 0))",
+    "unique_key": "count(*) - count(DISTINCT (route, route_type, week_of))"}, _BROKEN_BASELINES))
 def _(spark, sf):
-    return dq.comparison_input_check(baselines_of(spark, sf))
+    own, peer = "own_history_avg_cost_per_tonne_km", "similar_routes_avg_cost_per_tonne_km"
+    sound = cut_lineage(baselines_of(spark, sf))
+    twice = sound.unionByName(sound.where(F.dayofmonth("week_of") % 19 == 0)).withColumn("_day", F.dayofmonth("week_of"))
+    broken = twice.withColumns({
+        "cost_per_tonne_km": _when(13, -F.col("cost_per_tonne_km"), "cost_per_tonne_km"), own: _when(5, -F.col(own), own),
+        peer: F.when(F.col("_day") % 7 == 0, None).when(F.col("_day") % 3 == 0, -F.col(peer)).otherwise(F.col(peer)),
+        "history_weeks_used": _when(11, 9, "history_weeks_used"), "peer_routes_used": _when(17, -1, "peer_routes_used")})
+    return dq.comparison_input_check(broken.drop("_day"))
 
 
 @query("candidate_rule", f"""
@@ -477,30 +509,68 @@ def _(spark, sf):
                                         "peer_threshold_breached", "candidate_anomaly")
 
 
-@query("candidate_input_check", passing("own_availability", "peer_availability", "own_finite", "peer_finite", "unique_key"))
+_BROKEN_COMPARISONS = """(SELECT route, route_type, week_of, own, peer, CASE WHEN d % 5 = 0 THEN NULL WHEN d % 3 = 0 THEN 'inf'::DOUBLE ELSE own_pct END AS own_pct,
+  CASE WHEN d % 7 = 0 THEN 'nan'::DOUBLE WHEN d % 11 = 0 THEN 1.0 ELSE peer_pct END AS peer_pct
+  FROM (SELECT *, day(week_of) AS d FROM metrics UNION ALL SELECT *, day(week_of) FROM metrics WHERE day(week_of) % 19 = 0) s) b"""
+
+
+@query("candidate_input_check", _verdicts({
+    "own_availability": "count(*) FILTER ((own_pct IS NULL) <> (own IS NULL))", "peer_availability": "count(*) FILTER ((peer_pct IS NULL) <> (peer IS NULL))",
+    "own_finite": "count(*) FILTER (NOT isfinite(own_pct))", "peer_finite": "count(*) FILTER (NOT isfinite(peer_pct))",
+    "unique_key": "count(*) - count(DISTINCT (route, route_type, week_of))"}, _BROKEN_COMPARISONS))
 def _(spark, sf):
-    return dq.candidate_input_check(c.percent_deviation(baselines_of(spark, sf)))
+    sound = cut_lineage(c.percent_deviation(baselines_of(spark, sf)))
+    twice = sound.unionByName(sound.where(F.dayofmonth("week_of") % 19 == 0)).withColumn("_day", F.dayofmonth("week_of"))
+    day = F.col("_day")
+    broken = twice.withColumns({
+        "vs_own_history_pct": F.when(day % 5 == 0, None).when(day % 3 == 0, float("inf")).otherwise(F.col("vs_own_history_pct")),
+        "vs_similar_routes_pct": F.when(day % 7 == 0, float("nan")).when(day % 11 == 0, 1.0).otherwise(F.col("vs_similar_routes_pct"))})
+    return dq.candidate_input_check(broken.drop("_day"))
+
+
+_BROKEN_NOTES = """(SELECT CASE WHEN d % 5 = 0 THEN ' ' || note_id WHEN d % 3 = 0 THEN 'N-COPY' ELSE note_id END AS note_id,
+  CASE WHEN d % 7 = 0 THEN '' ELSE applies_to END AS applies_to, CASE WHEN d % 11 = 0 THEN NULL ELSE date END AS date,
+  CASE WHEN d % 13 = 0 THEN ' ' ELSE note END AS note FROM (SELECT *, day(date::DATE) AS d FROM notes_raw) s) b"""
 
 
-@query("notes_input_check", passing("text_present", "trimmed", "date_present", "notes_present", "routes_usable",
-                                    "routes_present", "id_unique"))
+@query("notes_input_check", _verdicts({
+    "text_present": "count(*) FILTER (trim(note_id) = '' OR trim(applies_to) = '' OR trim(note) = '')",
+    "trimmed": "count(*) FILTER (note_id <> trim(note_id) OR applies_to <> trim(applies_to))", "date_present": "count(*) FILTER (date IS NULL)",
+    "notes_present": "CASE WHEN count(*) = 0 THEN 1 ELSE 0 END", "routes_usable": "0 * count(*) + (SELECT count(DISTINCT route) FROM weekly WHERE route LIKE 'A%')",
+    "routes_present": "0 * count(*)", "id_unique": "count(*) - count(DISTINCT note_id)"}, _BROKEN_NOTES))
 def _(spark, sf):
-    return dq.notes_input_check(w.context_notes(spark, sf), w.shipments(spark, sf).select("route").distinct())
+    notes = w.context_notes(spark, sf).withColumn("_day", F.dayofmonth(F.col("date").cast("date")))
+    broken = notes.withColumns({
+        "note_id": F.when(F.col("_day") % 5 == 0, F.concat(F.lit(" "), "note_id")).when(F.col("_day") % 3 == 0, "N-COPY").otherwise(F.col("note_id")),
+        "applies_to": _when(7, "", "applies_to"), "date": _when(11, None, "date"), "note": _when(13, " ", "note")}).drop("_day")
+    routes = w.shipments(spark, sf).select("route").distinct()
+    spaced = routes.select(F.when(F.col("route").startswith("A"), F.concat("route", F.lit(" "))).otherwise(F.col("route")).alias("route"))
+    return dq.notes_input_check(broken, spaced)
 
 
+# claims of some days end before they begin
 @query("compiled_claim_check", """
-SELECT count(*) AS notes, count(*) FILTER (compile_error IS NOT NULL) AS not_compiled, 0::BIGINT AS inconsistent,
-  0::BIGINT AS gate_inconsistent FROM compiled""")
+SELECT count(*) AS notes, count(*) FILTER (compile_error IS NOT NULL) AS not_compiled,
+  count(*) FILTER (compile_error IS NULL AND day(effective_from) % 5 = 0) AS inconsistent,
+  count(*) FILTER (compile_error IS NULL AND day(effective_from) % 5 = 0) AS gate_inconsistent FROM compiled""")
 def _(spark, sf):
-    return nt.compiled_claim_check(compiled_of(spark, sf))
+    compiled = compiled_of(spark, sf)
+    late = F.when(F.dayofmonth("effective_from") % 5 == 0, F.date_sub("effective_from", 1)).otherwise(F.col("effective_to"))
+    return nt.compiled_claim_check(compiled.withColumn("effective_to", late))
 
 
+# some justified decisions are given out as unexplained, some selected notes and counts are changed
 @query("packet_authority_check", """
-SELECT 0::BIGINT AS packet_without_decision, 0::BIGINT AS justified_shape, 0::BIGINT AS partial_shape,
-  0::BIGINT AS unexplained_shape, 0::BIGINT AS supporting_matches""")
+SELECT 0::BIGINT AS packet_without_decision, count(*) FILTER (verdict = 'justified' AND d % 5 <> 0 AND d % 7 = 0) AS justified_shape, 0::BIGINT AS partial_shape,
+  count(*) FILTER (verdict = 'justified' AND d % 5 = 0) AS unexplained_shape, count(*) FILTER (d % 3 = 0) AS supporting_matches
+FROM (SELECT *, day(week_of) AS d FROM decisions) x""")
 def _(spark, sf):
     a = run(spark, sf)
-    return ev.packet_authority_check(a.decisions, a.packets)
+    broken = a.decisions.withColumn("_day", F.dayofmonth("week_of")).withColumns({
+        "verdict": F.when((F.col("_day") % 5 == 0) & (F.col("verdict") == "justified"), "unexplained").otherwise(F.col("verdict")),
+        "selected_note_id": F.when((F.col("_day") % 7 == 0) & (F.col("verdict") == "justified"), "N-OTHER").otherwise(F.col("selected_note_id")),
+        "supporting_note_count": F.when(F.col("_day") % 3 == 0, F.col("supporting_note_count") + 1).otherwise(F.col("supporting_note_count"))})
+    return ev.packet_authority_check(broken.drop("_day"), a.packets)
 
 
 @query("output_contract_checks", passing(*[f"output.{x}" for x in rp.CHECKS],
