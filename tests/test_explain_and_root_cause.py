@@ -131,3 +131,14 @@ def test_rollup_fails_on_a_missed_target(spark):
     metrics = spark.createDataFrame([("a", "m1", True, .9, 1.0, "eq"), ("b", "m2", True, .2, None, "informational")],
                                     "domain string, metric_id string, blocking boolean, value double, target double, target_relation string")
     assert {r.domain: r.status for r in ms.check_rollup(checks, metrics).collect()} == {"a": "fail", "b": "pass"}
+
+
+def test_offsets_shown_have_a_limit_of_their_own(spark):
+    from lanecost.operators.rootcause import lead_rank
+    from lanecost.schemas import Decomposition
+
+    rows = [("A-B", "Short", None, "material", f"c{k}", (-1) ** k * (1.0 + k), 50.0, "strong") for k in range(8)]
+    df = spark.createDataFrame(rows, "route string, route_type string, week_of date, lens string, category string, net_contribution double, "
+                                     "absolute_effect_share_pct double, support_level string")
+    ranked = lead_rank(df, Decomposition(leads_shown=1, offsets_shown=2)).collect()
+    assert sorted((r.kind, r.category) for r in ranked) == [("lead", "c6"), ("offset", "c5"), ("offset", "c7")]
