@@ -8,7 +8,7 @@ of at most ``LEAF`` texts are compared exhaustively on the sketches. Missing a p
 trees has a probability of about 3e-5; more alike pairs are missed less often.
 
 Large groups of near copies would never fall apart by branching. In a larger node every text is
-compared with the node's least one, texts close to it stay held there together with all that
+compared with the node's least ones, texts close to the least stay held there together with all that
 may be like them, and only the others branch on. What the sketches call alike is confirmed on
 the full sets before it is a link. In a second pass, texts held in one node that are not yet in
 one component are compared: each that is not of the node's largest component with all others, a bounded block of them at a
@@ -37,8 +37,9 @@ TREES, PLACES, LEAF, HOT, DEPTH = 12, 48, 128, 50_000, 8
 #: threshold 38 agree on average, and 25 or less once in 300,000 pairs; what is like a text that does not
 #: branch on shares 0.45 of its node's least text, 22 places on average.
 ALIKE, NEAR, CLOSE = 26, 16, 36
-#: Texts of a node that are compared with the others at a time in the second pass.
-MINORS = 128
+#: Texts of a large node that all others are compared with in the first pass, and texts of a node that are
+#: compared with the others at a time in the second.
+HEADS, MINORS = 16, 128
 _KINDS = wordsplit.separators(b" \t\n\v\f\r")
 _RANDOM = np.random.default_rng(13)
 _FACTORS = _RANDOM.integers(0, 1 << 32, PLACES, np.uint32) | np.uint32(1)
@@ -169,35 +170,45 @@ def _out(kind: int, rows: _Rows, other=None, full: bool = True) -> pa.RecordBatc
 
 
 def _small(rows: _Rows) -> Iterator[pa.RecordBatch]:
-    """Compare the texts of each node, all with all. Links to the least go out; if there are others, the
-    node's texts are held for the second pass."""
+    """Compare the texts of each node, all with all. Each goes out with the one before it that is most alike,
+    the likeliest link; if there are other pairs, the node's texts are held for the second pass."""
     starts = np.flatnonzero(np.diff(rows.node, prepend=rows.node[0] - 1 if len(rows.node) else 0) != 0)
     size = np.diff(np.append(starts, len(rows.node)))
     place = np.arange(len(rows.node)) - np.repeat(starts, size)
-    hold = np.zeros(len(rows.node), bool)
+    many, best, partner = (np.zeros(len(rows.node), np.int64) for _ in range(3))
     for step in range(1, int(size.max(initial=1))):
         right = np.flatnonzero(place >= step)
         left = right - step
         fits = _fits(rows.n[left], rows.n[right])
         left, right = left[fits], right[fits]
-        like = (rows.sketch[left] == rows.sketch[right]).sum(axis=1) >= ALIKE
-        left, right = left[like], right[like]
-        head = place[left] == 0
-        if head.any():
-            yield _out(PAIR, rows.pick(right[head]), rows.fp[left[head]], full=False)
-        hold[left[~head]] = True
-        hold[right[~head]] = True
-    if hold.any():
-        yield _out(HELD, rows.pick(np.flatnonzero(hold)), full=False)
-
-
-def _large(rows: _Rows, head: _Rows) -> Iterator[pa.RecordBatch]:
-    """Texts of one node that is larger than a leaf; ``head`` is its least text."""
-    agree = (rows.sketch == head.sketch[0]).sum(axis=1)
-    link = (agree >= ALIKE) & _fits(rows.n, head.n[0]) & (rows.fp != head.fp[0])
-    if link.any():
-        at = np.flatnonzero(link)
-        yield _out(PAIR, rows.pick(at), [head.fp[0]] * len(at), full=False)
+        agree = (rows.sketch[left] == rows.sketch[right]).sum(axis=1)
+        like = agree >= ALIKE
+        left, right, agree = left[like], right[like], agree[like]
+        many[right] += 1
+        many[left] += 1
+        closer = agree > best[right]
+        best[right[closer]], partner[right[closer]] = agree[closer], left[closer]
+    linked = np.flatnonzero(best)
+    if len(linked):
+        yield _out(PAIR, rows.pick(linked), rows.fp[partner[linked]], full=False)
+    others = np.add.reduceat(many, starts) > 2 * np.add.reduceat((best > 0).astype(np.int64), starts) if len(starts) else np.zeros(0, bool)
+    hold = np.flatnonzero(np.repeat(others, size) & (many > 0))
+    if len(hold):
+        yield _out(HELD, rows.pick(hold), full=False)
+
+
+def _large(rows: _Rows, heads: _Rows) -> Iterator[pa.RecordBatch]:
+    """Texts of one node that is larger than a leaf; ``heads`` are its least texts. Each goes out with the
+    head that is most alike; nearness to the least one decides who is held and who branches on."""
+    agree = (rows.sketch == heads.sketch[0]).sum(axis=1)
+    best, partner = np.zeros(len(rows.node), np.int64), np.zeros(len(rows.node), np.int64)
+    for k in range(len(heads.node)):
+        own = (rows.sketch == heads.sketch[k]).sum(axis=1) * (_fits(rows.n, heads.n[k]) & (rows.fp != heads.fp[k]))
+        closer = own > best
+        best[closer], partner[closer] = own[closer], k
+    at = np.flatnonzero(best >= ALIKE)
+    if len(at):
+        yield _out(PAIR, rows.pick(at), heads.fp[partner[at]], full=False)
     yield _out(HELD, rows.pick(np.flatnonzero(agree >= NEAR)), full=False)
     further = rows.pick(np.flatnonzero(agree < CLOSE))
     at, named = children(further.node.view(np.uint64), further.sketch)
@@ -222,7 +233,7 @@ def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if head is not None and rows.node[a] == head.node[0]:
                 yield from _large(rows.pick(slice(a, b)), head)
             elif b - a > LEAF:
-                head = rows.pick(slice(a, a + 1))
+                head = rows.pick(slice(a, a + HEADS))
                 yield from _large(rows.pick(slice(a, b)), head)
             elif last:
                 carry = rows.pick(slice(a, b))
