@@ -1,15 +1,17 @@
 """Exact nearest vectors by angle over a cover of balls.
 
-Pivots are a bounded sample of the vectors. Each vector belongs to the ball of its nearest pivot
-and, by its angle to the pivot, to a ring of it. By the triangle inequality of angles a vector of
-a ring with angles from ``low`` to ``high`` is at least ``max(0, a - high, low - a)`` away from a
-query at angle ``a`` of the pivot. Every query first looks into the cells (rings of balls)
-nearest to it until it has seen k vectors, and then only into those whose bound reaches its
-k-th score.
+Pivots are a bounded sample of the vectors. Each vector belongs to the ball of its nearest pivot;
+a ball that is larger than a block is cut into rings by the angle to its pivot. By the triangle
+inequality of angles a vector of a ring with angles from ``low`` to ``high`` is at least
+``max(0, a - high, low - a)`` away from a query at angle ``a`` of the pivot. Every query first looks
+into the cells (rings of balls) nearest to it until it has seen k vectors, and then only into
+those whose bound reaches its k-th score. Only cells that are visited become rows.
 
 Queries meet cells in blocks: a cell of more than ``block_rows`` vectors is dealt over parts, and
-so are the queries of a cell, so a task multiplies two bounded blocks whatever the data. Pivots
-are at most ``PIVOTS`` vectors and go to every task.
+so are the queries of a cell, so a task multiplies two bounded blocks whatever the data. Where
+vectors have no structure all cells are visited, which then is the product of all blocks; cells
+hold a quarter of a block or more, so that this costs little more than the plain product.
+Pivots are at most ``PIVOTS`` vectors and go to every task.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
 
-PIVOTS, RINGS = 256, 16
+PIVOTS = 256
 SLACK = 1e-7  # of an angle; arccos loses half the digits near 0
 
 
-def pivots(vectors: DataFrame, most: int = PIVOTS) -> np.ndarray:
-    """A matrix of about the square root of all vectors, at most ``most``; the draw is by hash of the id."""
+def pivots(vectors: DataFrame, block_rows: int, most: int = PIVOTS) -> np.ndarray:
+    """A matrix of about one pivot per quarter of a block, at most ``most``; the draw is by hash of the id."""
     count = vectors.count()
-    wanted = int(min(most, max(1, round(count ** 0.5))))
+    wanted = int(min(most, max(1, 4 * count // block_rows)))
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").collect() if count else []
     return np.array([r["vector"] for r in rows], dtype="float64")
 
@@ -39,47 +41,58 @@ def _angles(centres: np.ndarray):
     return run
 
 
-def cover(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Written (id, vector, ball, ring, angle)."""
-    angles, rings = _angles(centres), RINGS
+def cover(vectors: DataFrame, centres: np.ndarray, block_rows: int) -> DataFrame:
+    """Written (id, vector, ball, angle, ring)."""
+    angles = _angles(centres)
 
     def assign(batches):
         for frame in batches:
             if len(frame):
                 found = angles(frame["vector"])
                 ball = found.argmin(axis=1)
-                angle = found[np.arange(len(found)), ball]
-                yield frame.assign(ball=ball.astype("int32"), angle=angle, ring=np.floor(angle / np.pi * rings * 2).astype("int32"))
+                yield frame.assign(ball=ball.astype("int32"), angle=found[np.arange(len(found)), ball])
 
     schema = T.StructType([*vectors.select("id", "vector").schema.fields, T.StructField("ball", T.IntegerType()),
-                           T.StructField("angle", T.DoubleType()), T.StructField("ring", T.IntegerType())])
-    return cut_lineage(vectors.select("id", "vector").mapInPandas(assign, schema))
+                           T.StructField("angle", T.DoubleType())])
+    members = cut_lineage(vectors.select("id", "vector").mapInPandas(assign, schema))
+    sizes = members.groupBy("ball").agg(F.max("angle").alias("_wide"), F.ceil(F.count(F.lit(1)) / block_rows).alias("_rings"))
+    at = F.floor(F.col("angle") / F.greatest(F.col("_wide"), F.lit(1e-12)) * F.col("_rings"))
+    return cut_lineage(members.join(sizes, "ball").withColumn(
+        "ring", F.least(at, F.col("_rings") - 1).cast("int")).select("id", "vector", "ball", "angle", "ring"))
 
 
 def cells_of(covered: DataFrame, block_rows: int) -> DataFrame:
-    """(ball, ring, low, high, many, parts): at most pivots x 2 x rings rows."""
+    """(ball, ring, low, high, many, parts): as many rows as pivots and blocks."""
     return cut_lineage(covered.groupBy("ball", "ring").agg(
         F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("many"),
         F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts")))
 
 
-def reach(queries: DataFrame, centres: np.ndarray, cells: DataFrame) -> DataFrame:
-    """(query_id, ball, ring, least): how near, as an angle, a vector of each cell can be."""
-    rows = cells.orderBy("ball", "ring").collect()  # bounded by the number of pivots and rings
-    ball, ring, low, high = (np.array([r[c] for r in rows]) for c in ("ball", "ring", "low", "high"))
-    angles = _angles(centres)
+def visits(queries: DataFrame, centres: np.ndarray, cells: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query_id, ball, ring) of the cells each query visits. ``queries`` has id, vector and floor: without a
+    floor the nearest cells with k vectors; with one, the other cells whose nearest possible vector reaches it."""
+    rows = cells.orderBy("ball", "ring").collect()
+    ball, ring, low, high, many = (np.array([r[c] for r in rows]) for c in ("ball", "ring", "low", "high", "many"))
+    angles, slack, spare = _angles(centres), SLACK, 10.0 ** -digits
 
-    def bounds(batches):
+    def choose(batches):
         for frame in batches:
-            if len(frame) and len(ball):
-                found = angles(frame["vector"])[:, ball]
-                least = np.maximum(0.0, np.maximum(found - high, low - found))
-                yield pd.DataFrame({"query_id": np.repeat(frame["id"].to_numpy(), len(ball)), "ball": np.tile(ball, len(frame)).astype("int32"),
-                                    "ring": np.tile(ring, len(frame)).astype("int32"), "least": least.ravel(), "away": found.ravel()})
+            if not len(frame) or not len(ball):
+                continue
+            away = angles(frame["vector"])[:, ball]
+            least = np.maximum(0.0, np.maximum(away - high, low - away))
+            order = np.lexsort((np.broadcast_to(np.arange(len(ball)), away.shape), away, least), axis=1)
+            ahead = np.cumsum(many[order], axis=1) - many[order]
+            first = np.zeros(away.shape, bool)
+            np.put_along_axis(first, order, ahead < k, axis=1)
+            floor, begun = frame["floor"].to_numpy(dtype="float64"), frame["begun"].to_numpy()
+            reaches = np.isnan(floor)[:, None] | (np.cos(np.maximum(0.0, least - slack)) >= floor[:, None] - spare)
+            q, c = np.nonzero(np.where(begun[:, None], reaches & ~first, first))
+            yield pd.DataFrame({"query_id": frame["id"].to_numpy()[q], "ball": ball[c].astype("int32"), "ring": ring[c].astype("int32")})
 
     schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("ball", T.IntegerType()),
-                           T.StructField("ring", T.IntegerType()), T.StructField("least", T.DoubleType()), T.StructField("away", T.DoubleType())])
-    return queries.select("id", "vector").mapInPandas(bounds, schema)
+                           T.StructField("ring", T.IntegerType())])
+    return cut_lineage(queries.select("id", "vector", "floor", "begun").mapInPandas(choose, schema))
 
 
 def _product(k: int, digits: int):
@@ -96,14 +109,14 @@ def _product(k: int, digits: int):
     return run
 
 
-def _visited(visits: DataFrame, queries: DataFrame, covered: DataFrame, cells: DataFrame, k: int, digits: int, block_rows: int) -> DataFrame:
-    """The k best of the cells each query visits (visits: query_id, ball, ring)."""
-    asked = visits.groupBy("ball", "ring").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+def _visited(chosen: DataFrame, queries: DataFrame, covered: DataFrame, cells: DataFrame, k: int, digits: int, block_rows: int) -> DataFrame:
+    """The k best of the cells each query visits (chosen: query_id, ball, ring)."""
+    asked = chosen.groupBy("ball", "ring").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     shape = cut_lineage(asked.join(cells.select("ball", "ring", "parts"), ["ball", "ring"]))
     dealt = lambda by, n: F.pmod(F.xxhash64(by), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = covered.join(shape, ["ball", "ring"]).withColumn("part", dealt("id", "parts")).withColumn("block", every("blocks"))
-    right = visits.join(shape, ["ball", "ring"]).withColumn("block", dealt("query_id", "blocks")).withColumn("part", every("parts"))
+    right = chosen.join(shape, ["ball", "ring"]).withColumn("block", dealt("query_id", "blocks")).withColumn("part", every("parts"))
     right = right.join(queries.select(F.col("id").alias("query_id"), "vector"), "query_id")
     schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("doc_id", covered.schema["id"].dataType),
                            T.StructField("score", T.DoubleType())])
@@ -125,22 +138,17 @@ def search(queries: DataFrame, docs: DataFrame, k: int, digits: int, block_rows:
     not null and unique on each side. An empty side gives no rows.
     """
     queries, docs = cut_lineage(queries), cut_lineage(docs)
-    centres = pivots(docs)
-    covered = cover(docs, centres) if len(centres) else docs.select(
+    centres = pivots(docs, block_rows)
+    covered = cover(docs, centres, block_rows) if len(centres) else docs.select(
         "id", "vector", F.lit(0).alias("ball"), F.lit(0.0).alias("angle"), F.lit(0).alias("ring"))
     cells = cells_of(covered, block_rows)
-    bounds = cut_lineage(reach(queries, centres, cells).join(cells.select("ball", "ring", "many"), ["ball", "ring"]))
-    near = Window.partitionBy("query_id").orderBy("least", "away", "ball", "ring").rowsBetween(Window.unboundedPreceding, -1)
-    start = bounds.withColumn("ahead", F.coalesce(F.sum("many").over(near), F.lit(0))).where(F.col("ahead") < k).select("query_id", "ball", "ring")
-    start = cut_lineage(start)
+    fresh = queries.withColumns({"floor": F.lit(None).cast("double"), "begun": F.lit(False)})
+    start = visits(fresh, centres, cells, k, digits)
     first = cut_lineage(_ranked(_visited(start, queries, covered, cells, k, digits, block_rows), k))
-    kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    # a cell is left out if even its nearest possible vector scores below the k-th, rounding included
-    enough = F.col("floor").isNull() | (F.cos(F.greatest(F.lit(0.0), F.col("least") - SLACK)) >= F.col("floor") - 10.0 ** -digits)
-    rest = cut_lineage(bounds.join(kth, "query_id", "left").where(enough).join(start, ["query_id", "ball", "ring"], "left_anti").select(
-        "query_id", "ball", "ring"))
-    more = _visited(rest, queries, covered, cells, k, digits, block_rows)
-    hits = _ranked(first.drop("rank").unionByName(more), k)
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    rest = visits(queries.join(kth, "id", "left").withColumn("begun", F.lit(True)), centres, cells, k, digits)
+    hits = _ranked(first.drop("rank").unionByName(_visited(rest, queries, covered, cells, k, digits, block_rows)), k)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    work = count(bounds, "cells").join(count(start.union(rest), "cells_visited"))
+    work = count(queries, "queries").join(count(cells, "cells")).join(count(start.union(rest), "cells_visited")).select(
+        (F.col("queries") * F.col("cells")).alias("cells"), "cells_visited")
     return hits, work
