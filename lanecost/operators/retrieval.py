@@ -167,13 +167,13 @@ def sparse_sides(queries: DataFrame, docs: DataFrame, query_cols=("id", "text"),
                  doc_cols=("id", "text")) -> tuple[DataFrame, DataFrame]:
     """Packed TF-IDF vectors of both sides; document terms no query has are left out
     after the length was taken, since they cannot add to a score."""
-    q_terms = text_terms(queries, *query_cols)
-    d_terms = text_terms(docs, *doc_cols)
+    q_terms = cut_lineage(text_terms(queries, *query_cols))
+    d_terms = cut_lineage(text_terms(docs, *doc_cols))  # counted and packed, for both sides
     q_ids = queries.select(F.col(query_cols[0]).alias("id"))
     d_ids = docs.select(F.col(doc_cols[0]).alias("id"))
     asked = q_terms.select("term").distinct().withColumn("_asked", F.lit(True))
-    vocabulary = inverse_document_frequency(d_terms, d_ids).join(asked, "term", "left").select(
-        "term", "idf", F.coalesce("_asked", F.lit(False)).alias("used"))
+    vocabulary = cut_lineage(inverse_document_frequency(d_terms, d_ids).join(asked, "term", "left").select(
+        "term", "idf", F.coalesce("_asked", F.lit(False)).alias("used")))
     return packed_vectors(q_ids, q_terms, vocabulary.where("used")), packed_vectors(d_ids, d_terms, vocabulary)
 
 
