@@ -12,7 +12,7 @@ compared with the node's least ones, texts close to the least stay held there to
 may be like them, and only the others branch on. What the sketches call alike is confirmed on
 the full sets before it is a link. In a second pass, texts held in one node that are not yet in
 one component are compared: each that is not of the node's largest component with all others, a bounded block of them at a
-time.
+time. It runs twice: once only for the most alike other of each text, then, with the components that gives, for all.
 
 Equal sets are one row from the start. A level is one shuffle by node; a node of more than ``HOT``
 rows is dealt over several tasks, whose texts meet again in its children. Tasks keep at most
@@ -245,30 +245,36 @@ def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _small(carry)
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cross(best: bool):
     """Second pass over blocks, sorted so that a block's minor texts come first: pairs of a minor
-    text and any other of a different component whose sketches are alike."""
-    block, minor = None, None
-    for batch in batches:
-        rows, roots = _Rows.of(batch), np.array(batch.column("root").to_pylist(), dtype=object)
-        keys = np.stack([batch.column("node").to_numpy(), batch.column("block").to_numpy()], axis=1)
-        leads = batch.column("lead").to_numpy(zero_copy_only=False)
-        bounds = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]]) if len(keys) else [0]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if block is None or (keys[a] != block).any():
-                block, minor, own = keys[a], None, None
-            first = int(leads[a:b].sum())
-            if first:
-                more = rows.pick(slice(a, a + first))
-                minor, own = more.after(minor), roots[a : a + first] if minor is None else np.concatenate([own, roots[a : a + first]])
-            rest, of = rows.pick(slice(a + first, b)), roots[a + first : b]
-            for k in range(len(minor.node) if minor is not None and len(rest.node) else 0):
-                fits = np.flatnonzero((of != own[k]) & _fits(rest.n, minor.n[k]))
-                like = fits[(rest.sketch[fits] == minor.sketch[k]).sum(axis=1) >= ALIKE]
-                if len(like):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([min(minor.fp[k], x) for x in rest.fp[like]], pa.binary()),
-                         pa.array([max(minor.fp[k], x) for x in rest.fp[like]], pa.binary())], names=["a", "b"])
+    text and any other of a different component whose sketches are alike; ``best``: of a batch only the
+    most alike other of each minor text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, minor = None, None
+        for batch in batches:
+            rows, roots = _Rows.of(batch), np.array(batch.column("root").to_pylist(), dtype=object)
+            keys = np.stack([batch.column("node").to_numpy(), batch.column("block").to_numpy()], axis=1)
+            leads = batch.column("lead").to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]]) if len(keys) else [0]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if block is None or (keys[a] != block).any():
+                    block, minor, own = keys[a], None, None
+                first = int(leads[a:b].sum())
+                if first:
+                    more = rows.pick(slice(a, a + first))
+                    minor, own = more.after(minor), roots[a : a + first] if minor is None else np.concatenate([own, roots[a : a + first]])
+                rest, of = rows.pick(slice(a + first, b)), roots[a + first : b]
+                for k in range(len(minor.node) if minor is not None and len(rest.node) else 0):
+                    fits = np.flatnonzero((of != own[k]) & _fits(rest.n, minor.n[k]))
+                    agree = (rest.sketch[fits] == minor.sketch[k]).sum(axis=1)
+                    like = fits[agree >= ALIKE]
+                    if best and len(like):
+                        like = fits[[int(agree.argmax())]]
+                    if len(like):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([min(minor.fp[k], x) for x in rest.fp[like]], pa.binary()),
+                             pa.array([max(minor.fp[k], x) for x in rest.fp[like]], pa.binary())], names=["a", "b"])
+    return run
 
 
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -328,8 +334,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(found.where(100 * shared >= 80 * union).select("a", "b"))
 
 
-def _left_over(held: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one node in different components with like sketches."""
+def _left_over(held: DataFrame, nodes: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+    """Pairs of one node in different components with like sketches, all or (``best``) the likeliest links."""
     rooted = held.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "node", "fp", F.coalesce("root", "fp").alias("root"))
     sizes = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("many"))
@@ -343,7 +349,7 @@ def _left_over(held: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
     columns = ("node", "block", "lead", "fp", "n", "sketch", "root")
     ordered = own.select(*columns).union(every.select(*columns)).repartition("node", "block").sortWithinPartitions(
         "node", "block", F.desc("lead"))
-    return ordered.mapInArrow(_cross, "a binary, b binary").distinct()
+    return ordered.mapInArrow(_cross(best), "a binary, b binary").distinct()
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -363,8 +369,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     pairs, held = candidates(nodes)
     links = confirmed(pairs, texts, nodes)
-    more = confirmed(written(_left_over(held, nodes, components(links)).join(pairs, ["a", "b"], "left_anti")), texts, nodes)
-    roots = components(links.union(more)).withColumnRenamed("node", "fp")
+    for best in (True, False):  # what the likeliest links bring together need not be compared pair by pair
+        asked = written(_left_over(held, nodes, components(links), best).join(pairs, ["a", "b"], "left_anti"))
+        links = written(links.union(confirmed(asked, texts, nodes)))
+        pairs = written(pairs.union(asked))
+    roots = components(links).withColumnRenamed("node", "fp")
     rooted = nodes.select("fp", "least").join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     table = written(rooted.join(classes, "root").select("fp", "component_id"))
