@@ -13,6 +13,7 @@ may be like them, and only the others branch on. What the sketches call alike is
 the full sets before it is a link. In a second pass, texts held in one node that are not yet in
 one component are compared: each that is not of the node's largest component with all others, a bounded block of them at a
 time. It runs twice: once only for the most alike other of each text, then, with the components that gives, for all.
+In that pass sketches of ``FINE`` tokens decide after the short ones, so that few pairs are left that are no links.
 
 Equal sets are one row from the start. A level is one shuffle by node; a node of more than ``HOT``
 rows is dealt over several tasks, whose texts meet again in its children. Tasks keep at most
@@ -40,10 +41,15 @@ ALIKE, NEAR, CLOSE = 26, 16, 36
 #: Texts of a large node that all others are compared with in the first pass, and texts of a node that are
 #: compared with the others at a time in the second.
 HEADS, MINORS = 16, 128
+#: Tokens of a fine sketch, and how many must agree: 410 do on average at the threshold, and under 367 less often
+#: than once in 300,000 pairs. A pair at 0.7 is let through once in 4 times, one at 0.65 once in 1,000.
+FINE, FINELY = 512, 367
 _KINDS = wordsplit.separators(b" \t\n\v\f\r")
 _RANDOM = np.random.default_rng(13)
 _FACTORS = _RANDOM.integers(0, 1 << 32, PLACES, np.uint32) | np.uint32(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 32, PLACES, np.uint32)
+_FINE_FACTORS = _RANDOM.integers(0, 1 << 32, FINE, np.uint32) | np.uint32(1)
+_FINE_SHIFTS = _RANDOM.integers(0, 1 << 32, FINE, np.uint32)
 PAIR, HELD, GROW = 0, 1, 2
 _ROW = "node long, fp binary, n long, sketch binary"
 _STEP = "kind int, node long, fp binary, n long, sketch binary, other binary"
@@ -69,16 +75,26 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed[first], np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(texts)))]).astype(np.int64)
 
 
-def sketches(hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """16 bits of each of the ``PLACES`` minwise tokens of the sets, which are not empty."""
+def _tokens(hashed: np.ndarray, bounds: np.ndarray, factors: np.ndarray, shifts: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits of one minwise token of each set and factor; no set is empty."""
     folded = (hashed ^ hashed >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(bounds) - 1, PLACES), np.uint16)
-    for k in range(PLACES):
-        least = np.minimum.reduceat(folded * _FACTORS[k] + _SHIFTS[k], bounds[:-1])
-        out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    out = np.empty((len(bounds) - 1, len(factors)), f"u{bits // 8}")
+    for k in range(len(factors)):
+        least = np.minimum.reduceat(folded * factors[k] + shifts[k], bounds[:-1])
+        out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
     return out
 
 
+def sketches(hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """16 bits of each of the ``PLACES`` minwise tokens of the sets, which are not empty."""
+    return _tokens(hashed, bounds, _FACTORS, _SHIFTS, 16)
+
+
+def fine_sketches(hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """8 bits of each of ``FINE`` further minwise tokens of the sets, which are not empty."""
+    return _tokens(hashed, bounds, _FINE_FACTORS, _FINE_SHIFTS, 8)
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, fp (digest of the set), n, sketch; without shingles fp and sketch are null."""
     for batch in batches:
@@ -247,29 +263,33 @@ def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cross(best: bool):
     """Second pass over blocks, sorted so that a block's minor texts come first: pairs of a minor
-    text and any other of a different component whose sketches are alike; ``best``: of a batch only the
-    most alike other of each minor text."""
+    text and any other of a different component whose sketches are alike, the short and the fine ones;
+    ``best``: of a batch only the most alike other of each minor text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, minor = None, None
+        block, minor, own, detail = None, None, None, None
         for batch in batches:
             rows, roots = _Rows.of(batch), np.array(batch.column("root").to_pylist(), dtype=object)
             keys = np.stack([batch.column("node").to_numpy(), batch.column("block").to_numpy()], axis=1)
             leads = batch.column("lead").to_numpy(zero_copy_only=False)
+            fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
             bounds = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]]) if len(keys) else [0]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if block is None or (keys[a] != block).any():
-                    block, minor, own = keys[a], None, None
+                    block, minor, own, detail = keys[a], None, None, None
                 first = int(leads[a:b].sum())
                 if first:
-                    more = rows.pick(slice(a, a + first))
-                    minor, own = more.after(minor), roots[a : a + first] if minor is None else np.concatenate([own, roots[a : a + first]])
-                rest, of = rows.pick(slice(a + first, b)), roots[a + first : b]
+                    lead = slice(a, a + first)
+                    own, detail = (roots[lead], fine[lead]) if minor is None else (
+                        np.concatenate([own, roots[lead]]), np.concatenate([detail, fine[lead]]))
+                    minor = rows.pick(lead).after(minor)
+                rest, of, finer = rows.pick(slice(a + first, b)), roots[a + first : b], fine[a + first : b]
                 for k in range(len(minor.node) if minor is not None and len(rest.node) else 0):
                     fits = np.flatnonzero((of != own[k]) & _fits(rest.n, minor.n[k]))
-                    agree = (rest.sketch[fits] == minor.sketch[k]).sum(axis=1)
-                    like = fits[agree >= ALIKE]
+                    like = fits[(rest.sketch[fits] == minor.sketch[k]).sum(axis=1) >= ALIKE]
+                    agree = (finer[like] == detail[k]).sum(axis=1)
                     if best and len(like):
-                        like = fits[[int(agree.argmax())]]
+                        like, agree = like[[int(agree.argmax())]], agree.max(keepdims=True)
+                    like = like[agree >= FINELY]
                     if len(like):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([min(minor.fp[k], x) for x in rest.fp[like]], pa.binary()),
@@ -307,46 +327,60 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, hashes) of the sets in ``wanted`` (fp, least): least is the doc_id of a row that has it."""
+def _of_sets(docs: DataFrame, wanted: DataFrame, name: str, kind: str, make) -> DataFrame:
+    """(fp, ``name``): what ``make`` makes of the hashes and bounds of the sets in ``wanted`` (fp, least); least
+    is the doc_id of a row that has it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed, bounds = shingle_sets(batch.column("text"))
             held = memoryview(hashed.tobytes())
             fp = [xxhash.xxh3_128_digest(held[8 * a : 8 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashed.view(np.int64)))],
-                names=["fp", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), make(hashed, bounds)], names=["fp", name])
 
     asked = wanted.select(F.col("least").alias("id")).distinct()
     rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    made = rows.mapInArrow(run, "fp binary, hashes array<long>")
+    made = rows.mapInArrow(run, f"fp binary, {name} {kind}")
     return made.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
+def _hash_lists(hashed: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashed.view(np.int64)))
+
+
+def _fine_rows(hashed: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A row whose doc_id is that of a wanted one may have no shingles; it has no fine sketch."""
+    some = np.diff(bounds) > 0
+    made = iter(fine_sketches(hashed, np.append(bounds[:-1][some], bounds[-1])) if some.any() else ())
+    return pa.array([next(made).tobytes() if has else None for has in some.tolist()], pa.binary())
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that reach the similarity on their full sets."""
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = written(_sets(docs, nodes.join(wanted, "fp", "left_semi")))
+    sets = written(_of_sets(docs, nodes.join(wanted, "fp", "left_semi"), "hashes", "array<long>", _hash_lists))
     shared = F.size(F.array_intersect("in_a", "in_b"))
     union = F.size("in_a") + F.size("in_b") - shared
     found = pairs.join(sets.toDF("b", "in_b"), "b").join(sets.toDF("a", "in_a"), "a")
     return written(found.where(100 * shared >= 80 * union).select("a", "b"))
 
 
-def _left_over(held: DataFrame, nodes: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
-    """Pairs of one node in different components with like sketches, all or (``best``) the likeliest links."""
+def _apart(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, fp, root, minor) of the nodes whose held texts are in several components; minor: not in the largest."""
     rooted = held.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "node", "fp", F.coalesce("root", "fp").alias("root"))
     sizes = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("many"))
     most = sizes.groupBy("node").agg(F.max_by("root", F.struct("many", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    open_ = rooted.join(most, "node").select("node", "fp", "root", (F.col("root") != F.col("major")).alias("minor"))
-    open_ = written(open_.join(nodes.select("fp", "sketch", "n"), "fp"))
+    return rooted.join(most, "node").select("node", "fp", "root", (F.col("root") != F.col("major")).alias("minor"))
+
+
+def _crossed(apart: DataFrame, marks: DataFrame, best: bool) -> DataFrame:
+    """Pairs of one node in different components with like sketches, all or (``best``) the likeliest links."""
+    open_ = written(apart.join(marks, "fp"))
     blocks = open_.where("minor").groupBy("node").agg(F.ceil(F.count(F.lit(1)) / MINORS).alias("blocks"))
     dealt = open_.join(blocks, "node")
     own = dealt.where("minor").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("lead", F.lit(True))
     every = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lead", F.lit(False))
-    columns = ("node", "block", "lead", "fp", "n", "sketch", "root")
+    columns = ("node", "block", "lead", "fp", "n", "sketch", "fine", "root")
     ordered = own.select(*columns).union(every.select(*columns)).repartition("node", "block").sortWithinPartitions(
         "node", "block", F.desc("lead"))
     return ordered.mapInArrow(_cross(best), "a binary, b binary").distinct()
@@ -369,10 +403,14 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     pairs, held = candidates(nodes)
     links = confirmed(pairs, texts, nodes)
+    apart = written(_apart(held, components(links)))
+    open_ = nodes.join(apart.select("fp").distinct(), "fp", "left_semi")
+    marks = written(open_.join(_of_sets(texts, open_, "fine", "binary", _fine_rows), "fp").select("fp", "n", "sketch", "fine"))
     for best in (True, False):  # what the likeliest links bring together need not be compared pair by pair
-        asked = written(_left_over(held, nodes, components(links), best).join(pairs, ["a", "b"], "left_anti"))
+        asked = written(_crossed(apart, marks, best).join(pairs, ["a", "b"], "left_anti"))
         links = written(links.union(confirmed(asked, texts, nodes)))
-        pairs = written(pairs.union(asked))
+        if best:
+            pairs, apart = written(pairs.union(asked)), _apart(held, components(links))
     roots = components(links).withColumnRenamed("node", "fp")
     rooted = nodes.select("fp", "least").join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

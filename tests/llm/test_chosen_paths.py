@@ -93,3 +93,24 @@ def test_sets_are_those_of_the_texts():
 
 def test_empty_table(spark):
     assert groups(spark, []) == [] and len(groups(spark, [(1, None, None, None), (2, "", "x", "y")])) == 2
+
+
+def test_fine_sketches_agree_as_often_as_the_sets_are_alike():
+    texts = [" ".join(words("fine", 300)), edited(words("fine", 300), "a", 12), edited(words("fine", 300), "b", 60), ""]
+    hashed, bounds = cp.shingle_sets(pa.array(texts))
+    made = [np.frombuffer(x, np.uint8) if x else None for x in cp._fine_rows(hashed, bounds).to_pylist()]
+    assert made[3] is None and len(made[0]) == cp.FINE
+    agree = lambda a, b: int((made[a] == made[b]).sum())
+    for other in (1, 2):
+        a, b = shingles(texts[0]), shingles(texts[other])
+        like = len(a & b) / len(a | b)
+        assert abs(agree(0, other) - cp.FINE * like) < 60 and (agree(0, other) >= cp.FINELY) == (like >= 0.8)
+
+
+def test_second_pass_links_across_components_of_a_node(spark, monkeypatch):
+    """Two groups of near copies, linked only by one text of each, in nodes that hold them all."""
+    base = words("pass", 200)
+    rows = [(k, edited(base, f"u{k % 2}v{k}", 4 + k % 12), "en", "s") for k in range(120)]
+    monkeypatch.setattr(cp, "LEAF", 8)
+    monkeypatch.setattr(cp, "MINORS", 4)
+    assert groups(spark, rows) == brute(rows)
