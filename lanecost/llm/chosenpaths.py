@@ -41,9 +41,9 @@ ALIKE, NEAR, CLOSE = 26, 16, 36
 #: Texts of a large node that all others are compared with in the first pass, and texts of a node that are
 #: compared with the others at a time in the second.
 HEADS, MINORS = 16, 128
-#: Tokens of a fine sketch, and how many must agree: 410 do on average at the threshold, and under 367 less often
-#: than once in 300,000 pairs. A pair at 0.7 is let through once in 4 times, one at 0.65 once in 1,000.
-FINE, FINELY = 512, 367
+#: Tokens of a fine sketch, and how many must agree: 820 do on average at the threshold, and under 759 less often
+#: than once in 600,000 pairs. A pair at 0.72 is let through once in 13 times, one at 0.7 once in 400.
+FINE, FINELY = 1024, 759
 _KINDS = wordsplit.separators(b" \t\n\v\f\r")
 _RANDOM = np.random.default_rng(13)
 _FACTORS = _RANDOM.integers(0, 1 << 32, PLACES, np.uint32) | np.uint32(1)
