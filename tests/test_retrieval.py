@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lanecost.operators import inverted, metric, retrieval as rt
 from lanecost.schemas import RetrievalPolicy
@@ -118,6 +119,19 @@ def test_inverted_index_equals_the_product_of_all_pairs(spark, k, monkeypatch):
     assert hits(rt.tfidf_sparse(queries, docs, policy=policy)) == hits(rt.block_top_k(q, d, "sparse", policy))
 
 
+@pytest.mark.parametrize("held", [50, 10 ** 6])
+def test_postings_of_a_block_equal_postings_as_rows(spark, held, monkeypatch):
+    queries, docs = common_texts(spark, 5, 30, "q"), common_texts(spark, 6, 300, "d")
+    rows, cross = hits(rt.tfidf_sparse(queries, docs)), sorted(rt.query_note_cross(queries, docs).collect())
+    monkeypatch.setattr(inverted, "SPELLED", 0)
+    monkeypatch.setattr(inverted, "HELD", held)
+    monkeypatch.setattr(inverted, "build", None)  # no posting becomes a row
+    monkeypatch.setattr(rt, "FREQUENT", 3)
+    policy = RetrievalPolicy(block_rows=64)
+    assert hits(rt.tfidf_sparse(queries, docs, policy=policy)) == rows
+    assert sorted(rt.query_note_cross(queries, docs, policy=policy).collect()) == cross
+
+
 def test_inverted_index_reads_less_than_all_postings(spark):
     q, d = rt.sparse_sides(common_texts(spark, 7, 20, "q"), common_texts(spark, 8, 2000, "d"))
     index = inverted.build(d)
@@ -161,3 +175,13 @@ def test_ball_cover_equals_the_product_of_all_pairs(spark, block_rows):
     assert hits(found) == hits(rt.block_top_k(q, d, "dense", policy))
     row = work.first()
     assert 0 < row.cells_visited <= row.cells and (block_rows > 16 or row.cells_visited < row.cells / 2)
+
+
+def test_a_query_is_sent_once_to_a_unit_of_cells(spark):
+    docs = rt.unit_vectors(clustered(spark, 2, 500, "d"), "id", "vector")
+    centres = metric.pivots(docs, 16)
+    cells = metric.cells_of(metric.cover(docs, centres, 16), 16)
+    queries = docs.withColumns({"floor": F.lit(-1.0), "begun": F.lit(True)})
+    sent = metric.visits(queries, centres, cells, 5, 12)
+    units = cells.select("unit").distinct().count()
+    assert units < cells.count() / 4 and sent.count() <= 500 * units < sent.agg(F.sum("many")).first()[0]
