@@ -77,3 +77,12 @@ def test_the_audit_stores_a_note_once(spark, tmp_path):
     listed = lambda df: sorted(map(str, df.select(*columns).collect()))
     assert listed(fa.audit_pairs(fa.audit_memberships(read["notes"]), read["members"])) == listed(gated)
     assert read["candidates"].agg(F.sum("notes")).first()[0] == 60
+
+
+def test_claims_of_the_gate_are_not_broadcast(spark):
+    c, n = candidates(spark), notes(spark, 4)
+    hits = spark.createDataFrame([("A-B", "Short", MONDAY, "N0")], f"{KEYS}, note_id string")
+    gated = ev.evidence_gate(c, hits, n)
+    plan = gated._jdf.queryExecution().sparkPlan().toString()
+    joined = [line for line in plan.split("\n") if "Join [note_id" in line]
+    assert len(joined) == 1 and "SortMergeJoin" in joined[0] and gated.count() == 1
