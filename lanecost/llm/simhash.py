@@ -21,9 +21,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded_batches, fresh, written
 from .components import components
+from .wordsplit import pair_hashes
 
 #: Shingles hashed at a time.
 BLOCK = 1 << 16
+#: Bounds of the blocks of a fingerprint that ``index_keys`` takes two at a time: of five blocks two are equal within three bits.
+BLOCKS = (0, 13, 26, 39, 52, 64)
+_MASKS = np.array([sum(((1 << BLOCKS[k + 1]) - (1 << BLOCKS[k])) for k in two) for two in combinations(range(len(BLOCKS) - 1), 2)], np.uint64)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """Fingerprint of hashed shingles (unsigned 64 bits each): bit i is set if it is set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        votes += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * votes > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+def index_keys(fingerprint: int) -> np.ndarray:
+    """A key for each two blocks; fingerprints that differ in at most three bits share one."""
+    blocks = np.array([fingerprint], np.int64).view(np.uint64) & _MASKS
+    return pair_hashes(blocks, np.arange(len(_MASKS), dtype=np.uint64)).view(np.int64)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
