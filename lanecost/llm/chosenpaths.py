@@ -11,9 +11,8 @@ Large groups of near copies would never fall apart by branching. In a larger nod
 compared with the node's least ones, texts close to the least stay held there together with all that
 may be like them, and only the others branch on. What the sketches call alike is confirmed on
 the full sets before it is a link. In a second pass, texts held in one node that are not yet in
-one component are compared: each that is not of the node's largest component with all others, a bounded block of them at a
-time. It runs twice: once only for the most alike other of each text, then, with the components that gives, for all.
-In that pass sketches of ``FINE`` tokens decide after the short ones, so that few pairs are left that are no links.
+one component are compared: in a node of more than ``MINORS`` of them first each with the one that is held together with
+most others, then, with the components that gives, all by a join on the rarest shingles (``prefixes``), which loses no link.
 
 Equal sets are one row from the start. A level is one shuffle by node; a node of more than ``HOT``
 rows is dealt over several tasks, whose texts meet again in its children. Tasks keep at most
@@ -29,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from . import wordsplit
+from . import prefixes, wordsplit
 from .common import bounded_batches, written
 from .components import components
 
@@ -38,10 +37,10 @@ TREES, PLACES, LEAF, HOT, DEPTH = 12, 48, 128, 50_000, 8
 #: threshold 38 agree on average, and 25 or less once in 300,000 pairs; what is like a text that does not
 #: branch on shares 0.45 of its node's least text, 22 places on average.
 ALIKE, NEAR, CLOSE = 26, 16, 36
-#: Texts of a large node that all others are compared with in the first pass, and texts of a node that are
-#: compared with the others at a time in the second.
+#: Texts of a large node that all others are compared with in the first pass, and texts of a node above which
+#: the second pass compares them with one of them first.
 HEADS, MINORS = 16, 128
-#: Tokens of a fine sketch, and how many must agree: 820 do on average at the threshold, and under 759 less often
+#: Tokens of a fine sketch (a closer estimate of the similarity; the join does without), and how many must agree: 820 do on average at the threshold, and under 759 less often
 #: than once in 600,000 pairs. A pair at 0.72 is let through once in 13 times, one at 0.7 once in 400.
 FINE, FINELY = 1024, 759
 _KINDS = wordsplit.separators(b" \t\n\v\f\r")
@@ -261,42 +260,6 @@ def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _small(carry)
 
 
-def _cross(best: bool):
-    """Second pass over blocks, sorted so that a block's minor texts come first: pairs of a minor
-    text and any other of a different component whose sketches are alike, the short and the fine ones;
-    ``best``: of a batch only the most alike other of each minor text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, minor, own, detail = None, None, None, None
-        for batch in batches:
-            rows, roots = _Rows.of(batch), np.array(batch.column("root").to_pylist(), dtype=object)
-            keys = np.stack([batch.column("node").to_numpy(), batch.column("block").to_numpy()], axis=1)
-            leads = batch.column("lead").to_numpy(zero_copy_only=False)
-            fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-            bounds = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]]) if len(keys) else [0]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if block is None or (keys[a] != block).any():
-                    block, minor, own, detail = keys[a], None, None, None
-                first = int(leads[a:b].sum())
-                if first:
-                    lead = slice(a, a + first)
-                    own, detail = (roots[lead], fine[lead]) if minor is None else (
-                        np.concatenate([own, roots[lead]]), np.concatenate([detail, fine[lead]]))
-                    minor = rows.pick(lead).after(minor)
-                rest, of, finer = rows.pick(slice(a + first, b)), roots[a + first : b], fine[a + first : b]
-                for k in range(len(minor.node) if minor is not None and len(rest.node) else 0):
-                    fits = np.flatnonzero((of != own[k]) & _fits(rest.n, minor.n[k]))
-                    like = fits[(rest.sketch[fits] == minor.sketch[k]).sum(axis=1) >= ALIKE]
-                    agree = (finer[like] == detail[k]).sum(axis=1)
-                    if best and len(like):
-                        like, agree = like[[int(agree.argmax())]], agree.max(keepdims=True)
-                    like = like[agree >= FINELY]
-                    if len(like):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([min(minor.fp[k], x) for x in rest.fp[like]], pa.binary()),
-                             pa.array([max(minor.fp[k], x) for x in rest.fp[like]], pa.binary())], names=["a", "b"])
-    return run
-
-
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, held): pairs (a, b) of sets whose sketches are alike, and (node, fp) of texts to be compared
     with others of the node if they are in different components."""
@@ -354,36 +317,33 @@ def _fine_rows(hashed: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([next(made).tobytes() if has else None for has in some.tolist()], pa.binary())
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, hashes): the sets in ``wanted`` (fp, least)."""
+    return written(_of_sets(docs, wanted, "hashes", "array<long>", _hash_lists))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that reach the similarity on their full sets."""
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = written(_of_sets(docs, nodes.join(wanted, "fp", "left_semi"), "hashes", "array<long>", _hash_lists))
     shared = F.size(F.array_intersect("in_a", "in_b"))
     union = F.size("in_a") + F.size("in_b") - shared
     found = pairs.join(sets.toDF("b", "in_b"), "b").join(sets.toDF("a", "in_a"), "a")
     return written(found.where(100 * shared >= 80 * union).select("a", "b"))
 
 
-def _apart(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, fp, root, minor) of the nodes whose held texts are in several components; minor: not in the largest."""
-    rooted = held.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "node", "fp", F.coalesce("root", "fp").alias("root"))
-    sizes = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("many"))
-    most = sizes.groupBy("node").agg(F.max_by("root", F.struct("many", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    return rooted.join(most, "node").select("node", "fp", "root", (F.col("root") != F.col("major")).alias("minor"))
+def _apart(held: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, fp, root, many) of the nodes whose held texts are in several components; many: texts of the node."""
+    roots = components(links).withColumnRenamed("node", "fp")
+    rooted = held.join(roots, "fp", "left").select("node", "fp", F.coalesce("root", "fp").alias("root"))
+    several = rooted.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high")
+    return written(rooted.join(several, "node").select("node", "fp", "root", "many"))
 
 
-def _crossed(apart: DataFrame, marks: DataFrame, best: bool) -> DataFrame:
-    """Pairs of one node in different components with like sketches, all or (``best``) the likeliest links."""
-    open_ = written(apart.join(marks, "fp"))
-    blocks = open_.where("minor").groupBy("node").agg(F.ceil(F.count(F.lit(1)) / MINORS).alias("blocks"))
-    dealt = open_.join(blocks, "node")
-    own = dealt.where("minor").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("lead", F.lit(True))
-    every = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lead", F.lit(False))
-    columns = ("node", "block", "lead", "fp", "n", "sketch", "fine", "root")
-    ordered = own.select(*columns).union(every.select(*columns)).repartition("node", "block").sortWithinPartitions(
-        "node", "block", F.desc("lead"))
-    return ordered.mapInArrow(_cross(best), "a binary, b binary").distinct()
+def _to_centre(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of each text of a large node and the one that is held together with most others, of another component."""
+    shared = apart.where(F.col("many") > MINORS).withColumnRenamed("node", "key").join(nodes.select("fp", "n"), "fp")
+    fits = 100 * F.least("n", "centre.n") >= 80 * F.greatest("n", "centre.n")
+    return prefixes.to_centre(written(shared)).where(fits & (F.col("root") != F.col("centre.root"))).select(
+        F.least("fp", "centre.fp").alias("a"), F.greatest("fp", "centre.fp").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -402,15 +362,14 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     nodes = written(marked.where("n > 0").groupBy("fp").agg(
         F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     pairs, held = candidates(nodes)
-    links = confirmed(pairs, texts, nodes)
-    apart = written(_apart(held, components(links)))
-    open_ = nodes.join(apart.select("fp").distinct(), "fp", "left_semi")
-    marks = written(open_.join(_of_sets(texts, open_, "fine", "binary", _fine_rows), "fp").select("fp", "n", "sketch", "fine"))
-    for best in (True, False):  # what the likeliest links bring together need not be compared pair by pair
-        asked = written(_crossed(apart, marks, best).join(pairs, ["a", "b"], "left_anti"))
-        links = written(links.union(confirmed(asked, texts, nodes)))
-        if best:
-            pairs, apart = written(pairs.union(asked)), _apart(held, components(links))
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    links = confirmed(pairs, _sets(texts, nodes.join(wanted, "fp", "left_semi")))
+    apart = _apart(held, links)
+    sets = _sets(texts, nodes.join(apart.select("fp").distinct(), "fp", "left_semi"))
+    central = written(_to_centre(apart, nodes).join(pairs, ["a", "b"], "left_anti"))
+    links = written(links.union(confirmed(central, sets)))
+    open_ = _apart(held, links).select("fp", "root").distinct()
+    links = written(links.union(confirmed(prefixes.apart(written(sets.join(open_, "fp")), 0.8), sets)))
     roots = components(links).withColumnRenamed("node", "fp")
     rooted = nodes.select("fp", "least").join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
