@@ -141,17 +141,30 @@ def _cut(queued: DataFrame, sources: DataFrame, repeats: int, carry: tuple[str,
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, globally sorted by
-    virtual finish time. Takes the settings of :func:`plan_mix`."""
-    # the rows get numbers in a written copy, the plan is made of numbers, and the texts join it once
-    row = fresh("row")
-    held = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    taken = plan_mix(held, carry=(row,), **settings).where("rounds > 0")
+    virtual finish time. Takes the settings of :func:`plan_mix`. ``docs`` is read twice and must give the same rows
+    each time, as a written table does."""
+    # rows are named by two hashes of all their values, the plan is made of names, and the texts join it once
+    maps = {f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()}
+    whole = [F.to_json(F.struct(f"`{c}`")) if c in maps else F.col(f"`{c}`") for c in docs.columns]
+    one, two, finish, again = fresh("one"), fresh("two"), fresh("finish"), fresh("again")
+    named = docs.withColumns({one: F.xxhash64(F.lit(1), *whole, *[F.isnull(c) for c in whole]),
+                              two: F.xxhash64(F.lit(2), *whole, *[F.isnull(c) for c in whole])})
+    plan = plan_mix(named, carry=(one, two), **settings)
+    taken = written(plan.select("finish", "source_size", "weight", "rounds", F.col(f"carry_{one}").alias("one"), F.col(f"carry_{two}").alias("two")))
     entry = F.explode(F.sequence(F.lit(0), F.col("rounds").cast("int") - 1)).alias("round")
-    finish, at = fresh("finish"), fresh("at")
-    entries = written(taken.select("finish", "source_size", "weight", F.col(f"carry_{row}").alias(at), entry).select(
-        at, (F.col("finish") + F.col("round") * F.col("source_size") / F.col("weight")).alias(finish)))
-    copies = held.join(entries, F.col(row) == F.col(at))
-    return copies.repartitionByRange(finish, at).sortWithinPartitions(finish, at).select(*[F.col(f"`{c}`") for c in docs.columns])
+    entries = taken.where("rounds > 0").select("one", "two", "finish", "source_size", "weight", entry).select(
+        "one", "two", (F.col("finish") + F.col("round") * F.col("source_size") / F.col("weight")).alias(finish))
+    equal = written(taken.groupBy("one", "two").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(
+        "one", "two", F.lit(True).alias(again)))
+    entries = written(entries.join(equal, ["one", "two"], "left"))
+    same = (F.col(one) == F.col("one")) & (F.col(two) == F.col("two"))
+    columns = [*[F.col(f"`{c}`") for c in docs.columns], one, two, finish]
+    once = named.join(entries.where(F.col(again).isNull()).drop(again), same).select(*columns)
+    # equal rows are interchangeable: one of them stands for all
+    several = named.join(equal.drop(again), same, "left_semi").dropDuplicates([one, two]).join(
+        entries.where(again).drop(again), same).select(*columns)
+    copies = once.union(several)
+    return copies.repartitionByRange(finish, one, two).sortWithinPartitions(finish, one, two).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
