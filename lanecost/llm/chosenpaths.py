@@ -12,7 +12,8 @@ compared with the node's least ones, texts close to the least stay held there to
 may be like them, and only the others branch on. What the sketches call alike is confirmed on
 the full sets before it is a link. In a second pass, texts held in one node that are not yet in
 one component are compared: in a node of more than ``MINORS`` of them first each with the one that is held together with
-most others, then, with the components that gives, all by a join on the rarest shingles (``prefixes``), which loses no link.
+most others, then, with the components that gives, all by a join on the rarest shingles (``prefixes``), first with one text of
+each larger component, then, where that left them apart, with every text, which loses no link.
 
 Equal sets are one row from the start. A level is one shuffle by node; a node of more than ``HOT``
 rows is dealt over several tasks, whose texts meet again in its children. Tasks keep at most
@@ -367,9 +368,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     apart = _apart(held, links)
     sets = _sets(texts, nodes.join(apart.select("fp").distinct(), "fp", "left_semi"))
     central = written(_to_centre(apart, nodes).join(pairs, ["a", "b"], "left_anti"))
-    links = written(links.union(confirmed(central, sets)))
-    open_ = _apart(held, links).select("fp", "root").distinct()
-    links = written(links.union(confirmed(prefixes.apart(written(sets.join(open_, "fp")), 0.8), sets)))
+    by_centre = confirmed(central, sets)
+    open_ = prefixes.rerooted(apart.select("fp", "root").distinct(), by_centre)
+    rest = prefixes.linked(written(sets.join(open_, "fp")), 0.8, lambda found: confirmed(found, sets))
+    links = written(links.union(by_centre).union(rest))
     roots = components(links).withColumnRenamed("node", "fp")
     rooted = nodes.select("fp", "least").join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -16,13 +16,14 @@ order is the same for all sets, and the result too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
+from .components import components
 
 #: Bits of the number of buckets that elements are counted in: at most so many rows reach the driver, one byte each
 #: goes to the tasks.
@@ -85,33 +86,82 @@ def _heads(levels, similarity: float):
             of, place, n, elements = of[use], place[use], n[use], elements[order][use]
             at = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(elements), pa.array(place), pa.array(n), batch.column("fp").take(at), batch.column("root").take(at),
+                [pa.array(elements), pa.array(place), pa.array(n), *(batch.column(c).take(at) for c in ("fp", "root", "members")),
                  pa.array(place <= n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)), *(pa.array(signs[of, k]) for k in range(SIGNS))],
-                names=["element", "place", "n", "fp", "root", "low", *_signs()])
+                names=["element", "place", "n", "fp", "root", "members", "low", *_signs()])
     return run
 
 
-def apart(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of sets of different components that may reach the similarity: all that do, and few others.
-
-    ``sets``: fp, hashes (distinct longs), root (the component, of the type of fp). Sets of size 0 are in no pair.
-    """
+def _heads_of(sets: DataFrame, similarity: float) -> DataFrame:
     kind = sets.schema["fp"].dataType.simpleString()
-    heads = written(sets.select("fp", "hashes", "root").mapInArrow(
-        _heads(_levels(sets), similarity), f"element long, place long, n long, fp {kind}, root {kind}, low boolean"
+    return written(sets.select("fp", "hashes", "root", "members").mapInArrow(
+        _heads(_levels(sets), similarity), f"element long, place long, n long, fp {kind}, root {kind}, members long, low boolean"
         + "".join(f", {c} long" for c in _signs())))
+
+
+def _shared(heads: DataFrame) -> DataFrame:
+    """The rows of the elements that several components hold."""
     several = heads.groupBy("element").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("element")
-    met = written(heads.join(several, "element", "left_semi"))
-    x, y = met.alias("x"), met.where("low").alias("y")
-    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.fp") < F.col("x.fp")))
+    return written(heads.join(several, "element", "left_semi"))
+
+
+def _may_be_like(x: DataFrame, y: DataFrame, similarity: float, by: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of sets x and y of different components that meet in an element, where ``by`` holds."""
     least = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-9
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _signs()), F.lit(0))
     alike = (left >= least) & (differ <= F.col("x.n") + F.col("y.n") - 2 * least + 1e-6)
-    pairs = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.root") != F.col("y.root")) & smaller & alike)
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.element") == F.col("y.element")) & (F.col("x.root") != F.col("y.root")) & by & alike)
     return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
+def _smaller() -> Column:
+    """Whether set y of a pair is the smaller one."""
+    return (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.fp") < F.col("x.fp")))
+
+
+def _all_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    return _may_be_like(met, met.where("low"), similarity, _smaller())
+
+
+def _first_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs of ``_all_pairs`` those of a set and one that stands for a larger component at the element, another one
+    at each."""
+    chosen = F.min_by(F.struct(*[c for c in met.columns if c not in ("element", "root")]), F.xxhash64("element", "fp"))
+    standing = met.groupBy("element", "root").agg(chosen.alias("one")).select("element", "root", "one.*")
+    larger = F.struct("y.members", "y.root") > F.struct("x.members", "x.root")
+    return _may_be_like(met, standing, similarity, larger & F.when(_smaller(), F.col("y.low")).otherwise(F.col("x.low")))
+
+
+def apart(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets of different components that may reach the similarity: all that do, and few others.
+
+    ``sets``: fp, hashes (distinct longs), root (the component, of the type of fp). Sets of size 0 are in no pair.
+    """
+    return _all_pairs(_shared(_heads_of(sets.withColumn("members", F.lit(0).cast("long")), similarity)), similarity)
+
+
+def rerooted(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """``rooted`` (root, and more) with the components that ``links`` (a, b: members of them, by ``fp``) make of its own."""
+    of = rooted.select("fp", "root").distinct()
+    met = links.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b")
+    moved = components(met.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).toDF("root", "least")
+    return rooted.join(moved, "root", "left").withColumn("root", F.coalesce("least", "root")).drop("least")
+
+
+def linked(sets: DataFrame, similarity: float, confirmed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links between the components of ``sets`` (as in ``apart``) that join all which a pair at the similarity joins;
+    ``confirmed`` writes those of the pairs that reach it.
+
+    A text may be like thousands of another component, and one link is enough. So at each element first every set meets
+    one set of each larger component only; what that leaves apart meets as in ``apart``, which loses nothing.
+    """
+    members = sets.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    met = _shared(_heads_of(written(sets.join(members, "root")), similarity))
+    first = confirmed(_first_pairs(met, similarity))
+    return first.union(confirmed(_all_pairs(_shared(written(rerooted(met, first))), similarity)))
+
+
 def to_centre(shared: DataFrame) -> DataFrame:
     """``shared`` (key, fp, many: texts of the key, and more) with ``centre``: fp and the other columns of the text of
     each key that meets most others over all its keys."""

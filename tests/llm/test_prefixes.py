@@ -38,6 +38,34 @@ def test_all_like_pairs_of_different_components_and_few_others(spark):
     assert prefixes.apart(spark.createDataFrame([], "fp long, hashes array<long>, root long"), 0.8).count() == 0
 
 
+def test_texts_like_a_whole_component_do_not_meet_all_of_it(spark):
+    """One link joins a text to a component of many texts that are all like it; chains over several components stay whole."""
+    rng, base = random.Random(9), [rng_word * 7 + 1 for rng_word in range(200)]
+    sets = {k: sorted({*base[: 190 + k % 9], *rng.sample(range(10 ** 6, 10 ** 9), 2), *(5 * 10 ** 5 + x for x in range(k % 4))}) for k in range(120)}
+    sets |= {500 + k: sorted({*base[: 150 + k], -1 - k, -2 - k}) for k in range(6)}
+    rows = [(k, h, 0 if k < 90 else k) for k, h in sets.items()]
+    asked = []
+
+    def confirmed(pairs):
+        found = [(r.a, r.b) for r in pairs.collect()]
+        asked.append(len(found))
+        like = [(a, b) for a, b in found if 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})]
+        return spark.createDataFrame(like, "a long, b long")
+
+    table = spark.createDataFrame(rows, "fp long, hashes array<long>, root long")
+    links = [(r.a, r.b) for r in prefixes.linked(table, 0.8, confirmed).collect()]
+    root = {k: r for k, _, r in rows}
+    by_all = dict(root)
+    for found, of in ((links, root), ([(a, b) for a in sets for b in sets if a < b and 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})], by_all)):
+        for a, b in found:
+            low, high = sorted((of[a], of[b]))
+            of.update({k: low for k, r in of.items() if r == high})
+    assert root == by_all and len(set(root.values())) < 10
+    assert 0 < sum(asked) < prefixes.apart(table, 0.8).count() / 3
+    empty = spark.createDataFrame([], "fp long, hashes array<long>, root long")
+    assert prefixes.linked(empty, 0.8, confirmed).count() == 0
+
+
 def test_near_copies_that_are_not_alike_are_not_compared_pair_by_pair(spark, monkeypatch):
     """A large group around one text of which many members differ too much to be linked."""
     asked = []
