@@ -11,11 +11,13 @@ first, then pairs of frequent words, then triples of frequent pairs, and from a
 read on over a word, pair or triple that is too rare: the shorter rest is a correction like at
 any end, so flows of all phrases that can reach the threshold stay exact, and rare text makes no
 edges. These counts are by hash and only ever too large; what is frequent is handed to the tasks as a
-bitmap of a fixed size. A false positive costs a row, not a wrong count.
+bitmap of a fixed size, two bits each. A false positive costs a row, not a wrong count.
 
 Unary paths (nodes through which all flow comes from one edge and leaves by one edge) are
 compacted by pointer doubling to one row per path; phrases of full length are read off the
 paths. Hot words and languages are no hot tasks: all counting is by phrase, with map-side combine.
+Every task hands on nearly all frequent phrases, so the last pass runs in few tasks: rows are the phrases
+times the tasks, which would grow with the square of the input if both grew.
 """
 
 from __future__ import annotations
@@ -36,8 +38,14 @@ LONGEST = 5
 FILTERED = 3
 #: Bits of the bitmap that tells frequent parts; a bound on what goes to the tasks (1 MB each).
 FILTER_BITS = 1 << 23
-#: Counted rows a task holds before it hands them on.
-HELD_ROWS = 400_000
+#: Counted rows a task holds before it hands them on, and rows it hands on at a time.
+HELD_ROWS, HANDED_ROWS = 400_000, 20_000
+#: Bytes of text that a task splits into words at a time.
+TEXT_BYTES = 1 << 20
+#: Tasks of the last pass for each core.
+WAVES = 2
+#: Makes the second bit of a hash; less than 31 bits, so that products stay below 63.
+_SECOND = 0x2F0B4C47
 _KINDS = wordsplit.separators(b" \t", b".,;:!?\n\v\f\r")
 
 
@@ -74,8 +82,20 @@ class Tokens:
 
 
 def _in(bitmap: bytes, hashed: np.ndarray) -> np.ndarray:
-    bit = hashed & (FILTER_BITS - 1)
-    return (np.frombuffer(bitmap, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+    held = np.frombuffer(bitmap, np.uint8)
+    mixed = (hashed.view(np.uint32).astype(np.int64) * _SECOND >> 20).astype(np.int32)  # as in _bitmap
+    out = np.ones(len(hashed), bool)
+    for bit in (hashed & (FILTER_BITS - 1), mixed & (FILTER_BITS - 1)):
+        out &= (held[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, about ``TEXT_BYTES`` at a time."""
+    for batch in batches:
+        step = max(1, len(batch) // (batch.nbytes // TEXT_BYTES + 1))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
 
 
 def _added_up(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +109,10 @@ def _added_up(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.Record
             held = [_sums(held, keys)]
             rows = held[0].num_rows
             if rows > HELD_ROWS // 2:
-                yield from held[0].to_batches()
+                yield from held[0].to_batches(HANDED_ROWS)
                 held, rows = [], 0
     if rows:
-        yield from _sums(held, keys).to_batches()
+        yield from _sums(held, keys).to_batches(HANDED_ROWS)
 
 
 def _sums(tables: list[pa.Table], keys: list[str]) -> pa.Table:
@@ -108,16 +128,16 @@ def _count_parts(size: int, filters: list):
     """Hashes of the parts of ``size`` words with their number; words also give a row per language, without
     hash, of how many there are."""
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = Tokens(batch, [f.value for f in filters])
             gram, n = np.unique(found.grams(size)[1], return_counts=True)
-            langs, total = np.zeros(0, object), np.zeros(0, np.int64)
+            langs, total = [], np.zeros(0, np.int64)
             if size == 1 and len(found.ids):
                 of = found.lang.dictionary_encode()
                 total = np.bincount(of.indices.to_numpy(zero_copy_only=False)[found.ids], minlength=len(of.dictionary))
                 langs = of.dictionary.to_pylist()
-            yield pa.table({"gram": pa.array([*gram.tolist(), *[None] * len(total)], pa.int32()),
-                            "lang": pa.array([*[None] * len(gram), *langs], pa.string()),
+            yield pa.table({"gram": pa.concat_arrays([pa.array(gram, pa.int32()), pa.nulls(len(total), pa.int32())]),
+                            "lang": pa.concat_arrays([pa.nulls(len(gram), pa.string()), pa.array(langs, pa.string())]),
                             "n": pa.array(np.append(n, total).astype(np.int64))})
 
     return lambda batches: _added_up(tables(batches), ["gram", "lang"])
@@ -126,7 +146,7 @@ def _count_parts(size: int, filters: list):
 def _count_grams(filters: list):
     """The longest gram from each place."""
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = Tokens(batch, [f.value for f in filters])
             code, many = found.ids.copy(), max(1, len(found.word))
             for m in range(1, LONGEST + 1):
@@ -148,8 +168,9 @@ def _count_grams(filters: list):
 
 def _bitmap(frequent: DataFrame):
     """Broadcast bitmap of the hashes in ``frequent``; at most FILTER_BITS / 64 rows reach the driver."""
-    bit = frequent.select(F.col("gram").bitwiseAND(FILTER_BITS - 1).alias("bit"))
-    rows = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(
+    second = F.shiftright(F.col("gram").cast("long").bitwiseAND(0xFFFFFFFF) * F.lit(_SECOND), 20).bitwiseAND(FILTER_BITS - 1).cast("int")
+    bits = frequent.select(F.explode(F.array(F.col("gram").bitwiseAND(FILTER_BITS - 1), second)).alias("bit"))
+    rows = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")).collect()
     held = np.zeros(FILTER_BITS // 64, np.int64)
     for row in rows:
@@ -157,6 +178,11 @@ def _bitmap(frequent: DataFrame):
     return frequent.sparkSession.sparkContext.broadcast(held.tobytes())
 
 
+def _few_tasks(texts: DataFrame) -> DataFrame:
+    """``texts`` in at most ``WAVES`` tasks a core, without a shuffle."""
+    return texts.coalesce(WAVES * texts.sparkSession.sparkContext.defaultParallelism)
+
+
 def _head(gram: str, n: int) -> Column:
     return F.substring_index(gram, " ", n)
 
@@ -211,7 +237,7 @@ def graph(docs: DataFrame, least: int, text: str = "text", lang: str = "lang") -
         if size == 1:
             totals = parts.where("gram is null").select("lang", "n")
         filters.append(_bitmap(parts.where("gram is not null")))
-    grams = written(texts.mapInArrow(_count_grams(filters), _GRAMS).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
+    grams = written(_few_tasks(texts).mapInArrow(_count_grams(filters), _GRAMS).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
     counts = [written(_flow(grams, m, least)) for m in range(1, LONGEST + 1)]
     paths = written(compact(counts[-1], counts[-2]))
     return totals, counts[:-1], paths

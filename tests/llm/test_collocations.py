@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lanecost.llm import collocations as co
@@ -87,6 +89,31 @@ def test_unary_paths_are_compacted(spark):
     assert {(r.phrase, r.a) for r in counts[1].collect()} >= {("a b", 10), ("j k", 5), ("t u", 5)}
 
 
+def test_bitmaps_let_few_rare_phrases_through(spark):
+    """A rare phrase that is taken for a frequent one is a row of the last pass; with one bit 1.2 in 100 were."""
+    hashed = lambda low, high: spark.range(low, high).selectExpr("cast(xxhash64(id) >> 32 as int) as gram")
+    frequent = hashed(0, 100_000)
+    bitmap = co._bitmap(frequent).value
+    of = lambda rows: np.array([r.gram for r in rows.collect()], np.int32)
+    assert len(bitmap) == co.FILTER_BITS // 8 and co._in(bitmap, of(frequent)).all()
+    assert co._in(bitmap, of(hashed(200_000, 400_000))).mean() < 0.002
+
+
+def test_phrases_are_added_up_in_few_tasks(spark):
+    """Each task of the last pass hands on most frequent phrases, so its tasks must not grow with the input."""
+    many = 5 * co.WAVES * spark.sparkContext.defaultParallelism
+    docs = table(spark, corpus(3, 60)).repartition(many)
+    assert co._few_tasks(docs).rdd.getNumPartitions() == many // 5
+    assert found(spark, corpus(3, 60), 7) == sorted(tuple(r) for r in co.collocations(docs, 7).collect())
+
+
+def test_texts_are_split_in_bounded_parts(spark):
+    batch = pa.record_batch({"lang": ["en"] * 40, "text": ["x" * 100_000] * 39 + [None]})
+    parts = list(co._slices(iter([batch, batch.slice(0, 0)])))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) >= 4
+    assert max(p.nbytes for p in parts) < 2 * co.TEXT_BYTES
+
+
 def test_products_beyond_64_bits(spark):
     from pyspark.sql import functions as F
     wide = lambda c: F.lit(c).cast("decimal(18,0)")
