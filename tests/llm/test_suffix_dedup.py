@@ -85,3 +85,19 @@ def test_digests(spark):
     got = sorted(map(tuple, sd.digests(table(spark, rows)).collect()))
     want = [(i, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in brute(rows, 400)]
     assert got == sorted(want)
+
+
+def test_query_shows_the_remaining_text(spark, tmp_path):
+    """Sizes and digests don't tell what was removed; the query also returns what is left."""
+    from lanecost.llm.queries import QUERIES
+
+    passage = "".join(random.Random(4).choice("abcdef ") for _ in range(450))
+    rows = [(1, "one " + passage + " é end", "en", "s"), (2, "other " + passage, "en", "s"), (3, "alone", "en", "s"), (4, None, "en", "s"),
+            (5, "à" + "x" * 399, "en", "s"), (6, "á" + "x" * 399, "en", "s"), (7, "\u0420" + "x" * 399, "en", "s")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op10_suffix_dedup"](spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = {r.doc_id: r for r in out.collect()}
+    kept = {i: k for i, _, _, k in brute(rows, 400)}
+    assert {i: r.text for i, r in got.items()} == {i: k.decode(errors="replace") for i, k in kept.items()}
+    assert got[1].text == "one é end" and got[2].text == "other" and got[4].text == "" and got[5].text == "\ufffd"
