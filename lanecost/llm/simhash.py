@@ -88,8 +88,9 @@ def links(distinct: DataFrame, max_distance: int = 3) -> DataFrame:
     found = []
     for upper in (False, True):
         keyed = distinct.select(F.col("fp").alias("b"), _half(F.col("fp"), upper).alias("key"))
+        # sorted, never broadcast: the probes are as many as the ball times what Spark sizes them at
         probes = distinct.select(F.col("fp").alias("a"), F.explode(ball).alias("flip")).select(
-            "a", _half(F.col("a"), upper).bitwiseXOR(F.col("flip")).alias("key"))
+            "a", _half(F.col("a"), upper).bitwiseXOR(F.col("flip")).alias("key")).hint("merge")
         near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
         pairs = probes.join(keyed, (probes["key"] == keyed["key"]) & near).select("a", "b")
         if upper:  # those whose lower halves meet as well have been found there

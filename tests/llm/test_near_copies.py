@@ -77,6 +77,12 @@ def test_links_lose_nothing(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_probes_are_never_broadcast(spark):
+    """A ball of 33 probes a fingerprint is sized as one row of it, so a small table would be sent as a large one."""
+    plan = simhash.links(spark.range(50).toDF("fp"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_of_each(spark):
     rows = corpus()
     out = simhash.one_of_each(table(spark, rows))
