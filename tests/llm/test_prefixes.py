@@ -113,3 +113,22 @@ def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
     rows = [(1, " ".join(own)), (2, " ".join([*own[:399], "x"])), (3, " ".join(words("other", 400, 9_000))), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text"))
     assert {r.doc_id: r.component_id for r in nearcopies.groups(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_texts_of_a_key_meet_however_far_they_are_from_its_centre(spark, monkeypatch):
+    """Two pairs and strangers share one key and no other; what is unlike the text in the middle is still compared."""
+    monkeypatch.setattr(nearcopies, "keys", lambda hashes: nearcopies.np.array([7], nearcopies.np.int64))
+    monkeypatch.setattr(nearcopies, "BANDS", 0)
+    bits_of = lambda t: simhash.of_hashes(nearcopies.shingles(t, 5))
+    rows = [(100 + k, " ".join(words(f"stranger{k}", 200, 9_000))) for k in range(3)]
+    for pair in range(2):
+        own = words(f"pair{pair}", 200, 9_000)
+        found = None
+        for places in range(1, 150):  # at 0.8 or more, and no two blocks of the fingerprint in common
+            edited = " ".join("edit" if k in (places, places + 30) else w for k, w in enumerate(own))
+            if not {*simhash.index_keys(bits_of(" ".join(own))).tolist()} & {*simhash.index_keys(bits_of(edited)).tolist()}:
+                found = edited
+        assert found and jaccard(" ".join(own), found) >= 0.8
+        rows += [(2 * pair, " ".join(own)), (2 * pair + 1, found)]
+    got = {r.doc_id: r.component_id for r in nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 100: 100, 101: 101, 102: 102}
