@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lanecost.operators import inverted, metric, retrieval as rt
+from lanecost.operators import inverted, metric, termweights, retrieval as rt
 from lanecost.schemas import RetrievalPolicy
 
 WORDS = ["freight", "cost", "week", "route", "a", "über", "flood", "toll", "x1", "rise", "no_op", "42"]
@@ -185,3 +185,35 @@ def test_a_query_is_sent_once_to_a_unit_of_cells(spark):
     sent = metric.visits(queries, centres, cells, 5, 12)
     units = cells.select("unit").distinct().count()
     assert units < cells.count() / 4 and sent.count() <= 500 * units < sent.agg(F.sum("many")).first()[0]
+
+
+def test_lengths_by_parts_equal_terms_as_rows(spark, monkeypatch):
+    """Repeated and null ids, texts without words; the document side makes no term a row."""
+    docs = common_texts(spark, 6, 300, "d").union(spark.createDataFrame(
+        [("d0003", "rare1 again"), (None, "rare2 rare3"), (None, None), ("e", None), ("f", "! ?"), ("g", "Über über ÜBER x yy")], "id string, text string"))
+    queries = common_texts(spark, 5, 30, "q").union(spark.createDataFrame([("r", "über yy unknown"), ("s", "")], "id string, text string"))
+
+    def sides():
+        return [sorted((r.id or "", sorted((t, round(w, 12)) for t, w in zip(r.terms, r.weights))) for r in side.collect())
+                for side in rt.sparse_sides(queries, docs)]
+
+    monkeypatch.setattr(rt, "KNOWN_ROWS", 0)
+    rows = sides()
+    monkeypatch.setattr(rt, "KNOWN_ROWS", 1000)
+    text_terms, split = rt.text_terms, []
+    monkeypatch.setattr(rt, "text_terms", lambda texts, *cols: split.append(texts) or text_terms(texts, *cols))
+    for words, texts in ((1, 4096), (100, 20), (10 ** 6, 50)):
+        monkeypatch.setattr(termweights, "WORDS", words)
+        monkeypatch.setattr(termweights, "TEXTS", texts)
+        assert sides() == rows
+    assert split == [queries] * 3
+
+
+def test_a_frequent_term_is_sent_once_a_batch(spark):
+    """The rows that are shuffled hold a term once for all texts of a batch."""
+    asked = spark.sparkContext.broadcast(termweights.hashes_of(["common"]))
+    docs = spark.range(1000).selectExpr("CAST(id AS STRING) AS id", "concat('common own', id) AS text").coalesce(1)
+    words = rt.text_words(docs, "id", "text").coalesce(1)
+    rows = words.mapInArrow(termweights._splitting(asked, 3, 10 ** 6), termweights.ROW.format("string")).where("part >= 0").collect()
+    many = [n for r in rows for n in termweights._numbers()[1](r["many"], r["n"])]
+    assert len(rows) == 3 and sorted(many) == [1] * 2000 + [1000]
